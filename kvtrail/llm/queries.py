@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvtrail.llm import packing, pieces, records, token_counts
+from kvtrail.llm import line_rules, packing, pieces, quality_net, records, token_counts, toxicity
 from kvtrail.llm.storage import shared_folder
 
 
@@ -36,6 +36,17 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), 1024)
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
+    return _with_held_out(toxicity.score(docs, model), 3, 1)
+
+
+def _with_held_out(scored: DataFrame, modulus: int, held_out: int) -> DataFrame:
+    flag = F.coalesce(quality_net.remainder(modulus) == held_out, F.lit(False))
+    return scored.select("doc_id", flag.alias("held_out"), "score", "predicted")
+
+
 def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark, "token-records")
     records.write_shards(_table(spark, sf_dir, "documents"), f"{folder}/shards")
@@ -43,10 +54,23 @@ def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.with_global_start(index).select("doc_id", "start", "n_tokens", "ids_crc32", "shard", "byte_offset")
 
 
+def op8_quality_net(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    net = quality_net.fit(docs, _table(spark, sf_dir, "labels"))
+    return _with_held_out(quality_net.score(docs, net), 5, 0)
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rules.apply_rules(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_packing": op3_packing,
+    "op5_toxicity": op5_toxicity,
     "op6_token_records": op6_token_records,
+    "op8_quality_net": op8_quality_net,
+    "op9_quality_rules": op9_quality_rules,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op9_quality_rules": line_rules.ORACLE_SQL}
