@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvtrail.llm import line_rules, packing, pieces, quality_net, records, token_counts, toxicity
+from kvtrail.llm import line_rules, packing, pieces, quality_net, records, token_counts, topk, toxicity
 from kvtrail.llm.storage import shared_folder
 
 
@@ -36,6 +36,12 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), 1024)
 
 
+def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.integer_vectors(_table(spark, sf_dir, "embeddings"))
+    blocks = topk.block_count(vectors)
+    return topk.search(topk.build_index(vectors, blocks), vectors.where("vec_id % 100 = 0"), blocks, 10)
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
@@ -68,9 +74,10 @@ QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_packing": op3_packing,
+    "op4_exact_topk": op4_exact_topk,
     "op5_toxicity": op5_toxicity,
     "op6_token_records": op6_token_records,
     "op8_quality_net": op8_quality_net,
     "op9_quality_rules": op9_quality_rules,
 }
-ORACLE_SQL: dict[str, str] = {"op9_quality_rules": line_rules.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_exact_topk": topk.ORACLE_SQL, "op9_quality_rules": line_rules.ORACLE_SQL}
