@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvtrail.llm import line_rules, packing, pieces, quality_net, records, token_counts, topk, toxicity
+from kvtrail.llm import jaccard, line_rules, packing, pieces, quality_net, records, token_counts, topk, toxicity
 from kvtrail.llm.storage import shared_folder
 
 
@@ -70,6 +70,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.apply_rules(_table(spark, sf_dir, "documents"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_sentencepiece": op2_sentencepiece,
@@ -79,5 +83,10 @@ QUERIES = {
     "op6_token_records": op6_token_records,
     "op8_quality_net": op8_quality_net,
     "op9_quality_rules": op9_quality_rules,
+    "op10_jaccard_join": op10_jaccard_join,
+}
+ORACLE_SQL: dict[str, str] = {
+    "op4_exact_topk": topk.ORACLE_SQL,
+    "op9_quality_rules": line_rules.ORACLE_SQL,
+    "op10_jaccard_join": jaccard.ORACLE_SQL,
 }
-ORACLE_SQL: dict[str, str] = {"op4_exact_topk": topk.ORACLE_SQL, "op9_quality_rules": line_rules.ORACLE_SQL}
