@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvtrail.llm import jaccard, line_rules, packing, pieces, quality_net, records, token_counts, topk, toxicity
+from kvtrail.llm import jaccard, line_rules, packing, pieces, quality_net, records, suffix_dedup, token_counts, topk, toxicity
 from kvtrail.llm.storage import shared_folder
 
 
@@ -60,6 +60,10 @@ def op6_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.with_global_start(index).select("doc_id", "start", "n_tokens", "ids_crc32", "shard", "byte_offset")
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_digest(_table(spark, sf_dir, "documents"))
+
+
 def op8_quality_net(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     net = quality_net.fit(docs, _table(spark, sf_dir, "labels"))
@@ -81,6 +85,7 @@ QUERIES = {
     "op4_exact_topk": op4_exact_topk,
     "op5_toxicity": op5_toxicity,
     "op6_token_records": op6_token_records,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_quality_net": op8_quality_net,
     "op9_quality_rules": op9_quality_rules,
     "op10_jaccard_join": op10_jaccard_join,
