@@ -275,9 +275,14 @@ def _labelled(names: DataFrame, groups: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component, all columns as they are."""
-    kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    """The row of each component whose doc_id is the smallest, all columns as they are.
+
+    Of repeated rows (same doc_id and text) one stays. Rows without a doc_id stay.
+    """
+    kept = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_root")).distinct()
+    found = docs.join(kept, F.col("doc_id").cast("long") == F.col("_root"), "left_semi")
+    once = found.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).drop("_text")
+    return once.unionByName(docs.where("doc_id is null"))
 
 
 ORACLE_SQL = r"""

@@ -79,6 +79,16 @@ class QualityNet:
         return (both, np.concatenate([sizes[pair] + sizes[pair + 1], sizes[lone]])), np.concatenate([owner[pair], owner[lone]])
 
 
+@dataclass
+class ConstantScore:
+    """Stands in for a model where there is nothing to learn from."""
+
+    value: float
+
+    def scores(self, texts: list) -> np.ndarray:
+        return np.full(len(texts), self.value)
+
+
 def segments(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """All bytes, starts of the segments (plus the end), and the text of each segment."""
     raw = [t or b"\n" for t in raw]
@@ -151,10 +161,11 @@ def remainder(modulus: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_PER_LABEL, modulus: int = 5, held_out: int = 0) -> QualityNet:
+def fit(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_PER_LABEL, modulus: int = 5, held_out: int = 0) -> QualityNet | ConstantScore:
     """Fit on at most `per_label` labelled texts of each label, drawn by a hash of the doc_id, none of them held out.
 
-    Labels of rows with a null doc_id or label are passed over; of several labels of one document the lowest counts.
+    Without texts of both labels, the only label there is becomes the score of all
+    texts; without any, all are good. Labels of rows with a null doc_id or label are passed over; of several labels of one document the lowest counts.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & (remainder(modulus) != held_out))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("label"))
@@ -163,7 +174,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_PER_LABEL, mo
     for label in (0, 1):
         rows += joined.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label).collect()
     if len({r.label for r in rows}) < 2:
-        raise ValueError("fitting needs labelled texts of good and of low quality")
+        return ConstantScore(float(rows[0].label) if rows else 1.0)
     texts, good = [r.text for r in rows], [r.label == 1 for r in rows]
     cuts = _short_cuts([t for t, g in zip(texts, good, strict=True) if g])
     return train([t.encode() for t in texts + cuts], np.array(good + [True] * len(cuts)))

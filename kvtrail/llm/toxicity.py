@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kvtrail.llm.quality_net import remainder
+from kvtrail.llm.quality_net import ConstantScore, remainder
 from kvtrail.llm.text import blocks, code_points, span_hashes, texts_of
 
 SPAN, DECAY = 6, 0.6
@@ -330,10 +330,11 @@ def _logistic(margin: np.ndarray, toxic: np.ndarray, trims: int = 4) -> tuple[fl
     return float(max(w[0], 0.1)), float(w[1])
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_PER_LABEL, modulus: int = 3, held_out: int = 1) -> ToxicityModel:
+def fit(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_PER_LABEL, modulus: int = 3, held_out: int = 1) -> ToxicityModel | ConstantScore:
     """Fit on at most `per_label` labelled texts of each label, drawn by a hash of the doc_id, none of them held out.
 
-    Rows with a null doc_id or label are passed over; of several labels of one document the highest counts.
+    Without texts of both labels, the only label there is becomes the score of all
+    texts; without any, none is toxic. Rows with a null doc_id or label are passed over; of several labels of one document the highest counts.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (remainder(modulus) != held_out))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("label"))
@@ -342,7 +343,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_PER_LABEL, mo
     for label in (0, 1):
         rows += joined.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label).collect()
     if len({r.label for r in rows}) < 2:
-        raise ValueError("fitting needs labelled texts of both kinds")
+        return ConstantScore(float(rows[0].label) if rows else 0.0)
     return train([r.text for r in rows], np.array([r.label == 1 for r in rows]))
 
 
