@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from kvtrail.plans import catalog
+from kvtrail.plans import history_queries as _history  # noqa: F401
+
+QUERIES = catalog.QUERIES
+ORACLE_SQL = catalog.ORACLE_SQL
