@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from kvtrail.plans import catalog
+from kvtrail.plans import filter_queries as _filters  # noqa: F401
 from kvtrail.plans import history_queries as _history  # noqa: F401
+from kvtrail.plans import kv_queries as _kv  # noqa: F401
 
 QUERIES = catalog.QUERIES
 ORACLE_SQL = catalog.ORACLE_SQL
