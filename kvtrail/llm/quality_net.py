@@ -161,18 +161,27 @@ def remainder(modulus: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
 
 
+def labelled_texts(docs: DataFrame, labels: DataFrame, column: str, several, per_label: int, modulus: int, held_out: int) -> list:
+    """Rows (text, label) of at most `per_label` labelled documents of each label, none of them held out.
+
+    The labels are drawn first, by a hash of the doc_id; that sample is small and
+    bounded, so it is broadcast to fetch the whole texts.
+    """
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull() & (remainder(modulus) != held_out))
+    known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(several(column).alias("label"))
+    drawn = [known.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label) for label in (0, 1)]
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = texts.join(F.broadcast(drawn[0].union(drawn[1])), "doc_id").select("doc_id", "text", "label").collect()
+    return sorted(rows, key=lambda r: (r.label, r.doc_id, r.text))
+
+
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_PER_LABEL, modulus: int = 5, held_out: int = 0) -> QualityNet | ConstantScore:
     """Fit on at most `per_label` labelled texts of each label, drawn by a hash of the doc_id, none of them held out.
 
     Without texts of both labels, the only label there is becomes the score of all
     texts; without any, all are good. Labels of rows with a null doc_id or label are passed over; of several labels of one document the lowest counts.
     """
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & (remainder(modulus) != held_out))
-    known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("label"))
-    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(known, "doc_id")
-    rows = []
-    for label in (0, 1):
-        rows += joined.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label).collect()
+    rows = labelled_texts(docs, labels, "quality", F.min, per_label, modulus, held_out)
     if len({r.label for r in rows}) < 2:
         return ConstantScore(float(rows[0].label) if rows else 1.0)
     texts, good = [r.text for r in rows], [r.label == 1 for r in rows]
