@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kvtrail.llm.quality_net import ConstantScore, remainder
+from kvtrail.llm.quality_net import ConstantScore, labelled_texts
 from kvtrail.llm.text import blocks, code_points, span_hashes, texts_of
 
 SPAN, DECAY = 6, 0.6
@@ -129,7 +129,7 @@ def by_length(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iter
     n = ends - starts
     for length in np.unique(n).tolist():
         pick = np.flatnonzero(n == length)
-        for part in np.array_split(pick, max(1, len(pick) // 20_000)):
+        for part in np.array_split(pick, max(1, len(pick) // 5_000)):
             rows = symbols[starts[part][:, None] + np.arange(length)]
             yield part, np.concatenate([np.full((len(part), 1), _START, np.uint8), rows], 1)
 
@@ -336,12 +336,7 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_PER_LABEL, mo
     Without texts of both labels, the only label there is becomes the score of all
     texts; without any, none is toxic. Rows with a null doc_id or label are passed over; of several labels of one document the highest counts.
     """
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & (remainder(modulus) != held_out))
-    known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("label"))
-    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(known, "doc_id")
-    rows = []
-    for label in (0, 1):
-        rows += joined.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label).collect()
+    rows = labelled_texts(docs, labels, "toxic", F.max, per_label, modulus, held_out)
     if len({r.label for r in rows}) < 2:
         return ConstantScore(float(rows[0].label) if rows else 0.0)
     return train([r.text for r in rows], np.array([r.label == 1 for r in rows]))
