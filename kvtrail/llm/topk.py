@@ -134,7 +134,7 @@ def search(index: DataFrame, queries: DataFrame, blocks: int, k: int = 10) -> Da
             for row in batch.to_pylist():
                 width = row["width"]
                 found = {n: np.frombuffer(row[n], t) for n, t in (("ids", "<i8"), ("vectors", "<i8"), ("impacts", "<i4"), ("dims", "<i4"), ("bounds", "<i8"), ("members", "<i4"))}
-                found["vectors"] = found["vectors"].reshape(-1, width)
+                found["vectors"] = found["vectors"].reshape(len(found["ids"]), width)
                 pick = [i for i, v in enumerate(row["queries"]) if len(v) == width]
                 if pick:
                     own = np.array([row["query_ids"][i] for i in pick], np.int64)
