@@ -10,7 +10,20 @@ from kvtrail.operators import detection as op
 from kvtrail.plans.catalog import query
 from kvtrail.plans.views import CAND, LINES, candidates, documents, lines, table
 
-V, C, N = F.col("value"), F.col("context"), F.col("variable_name")
+
+# columns are made when a query runs: a session may not exist when this module is imported
+def V():
+    return F.col("value")
+
+
+def C():
+    return F.col("context")
+
+
+def N():
+    return F.col("variable_name")
+
+
 _ENT = ", ch as (select candidate_id, unnest(string_split(value, '')) as c from cand), en as (select candidate_id, sum(-n / t * log2(n / t)) as h from (select candidate_id, c, count(*)::double as n, (sum(count(*)) over (partition by candidate_id))::double as t from ch where c <> '' group by candidate_id, c) group by 1), e as (select cand.*, coalesce(h, 0) as h from cand left join en using (candidate_id))"
 _VARIETY = "(regexp_matches(value, '[a-z]')::int + regexp_matches(value, '[A-Z]')::int + regexp_matches(value, '[0-9]')::int + regexp_matches(value, '[^a-zA-Z0-9\\s]')::int >= 2)"
 
@@ -19,19 +32,24 @@ def _scored(name, columns, sql, head=CAND):
     query(name, f"with {head} select candidate_id, {sql}")(lambda spark, sf_dir: candidates(spark, sf_dir).select("candidate_id", *columns()))
 
 
-_H = fn.shannon_entropy(V)
-_scored("shannon_entropy", lambda: [F.round(_H, 6).alias("entropy")], "round(h, 6) as entropy from e", CAND + _ENT)
+
+
+def _H():
+    return fn.shannon_entropy(V())
+
+
+_scored("shannon_entropy", lambda: [F.round(_H(), 6).alias("entropy")], "round(h, 6) as entropy from e", CAND + _ENT)
 _CONF = "case when h >= 4.5 and length(value) >= 20 then 'high' when h >= 3.5 and length(value) >= 12 then 'medium' else 'low' end"
-_scored("entropy_confidence", lambda: [fn.entropy_confidence(F.round(_H, 9), F.length(V)).alias("confidence")], f"{_CONF} as confidence from (select * replace (round(h, 9) as h) from e)", CAND + _ENT)
-_scored("has_variety", lambda: [fn.has_variety(V).alias("variety")], f"{_VARIETY} as variety from cand")
-_scored("is_likely_secret", lambda: [fn.is_likely_secret(V, F.round(_H, 9)).alias("likely")], f"(length(value) >= 8 and round(h, 9) >= 2.5 and {_VARIETY}) as likely from e", CAND + _ENT)
-_scored("secret_quality", lambda: [c.alias(n) for c, n in zip(fn.secret_quality(V, F.round(_H, 9)), ("score", "assessment"), strict=True)],
+_scored("entropy_confidence", lambda: [fn.entropy_confidence(F.round(_H(), 9), F.length(V())).alias("confidence")], f"{_CONF} as confidence from (select * replace (round(h, 9) as h) from e)", CAND + _ENT)
+_scored("has_variety", lambda: [fn.has_variety(V()).alias("variety")], f"{_VARIETY} as variety from cand")
+_scored("is_likely_secret", lambda: [fn.is_likely_secret(V(), F.round(_H(), 9)).alias("likely")], f"(length(value) >= 8 and round(h, 9) >= 2.5 and {_VARIETY}) as likely from e", CAND + _ENT)
+_scored("secret_quality", lambda: [c.alias(n) for c, n in zip(fn.secret_quality(V(), F.round(_H(), 9)), ("score", "assessment"), strict=True)],
         f"case {_CONF} when 'high' then 1.0::double when 'medium' then 0.7::double else 0.3::double end as score, {_CONF} || ' confidence' || case when {_VARIETY} then '' else ' (low character variety)' end || case when h < 2 then ' (low entropy)' else '' end as assessment from (select * replace (round(h, 9) as h) from e)", CAND + _ENT)
-_scored("checksum", lambda: [fn.checksum(V).alias("checksum")], "left(sha256(value), 16) as checksum from cand")
-_scored("hash_entry", lambda: [fn.entry_hash(N, V).alias("hash")], "left(sha256(variable_name || ':' || left(value, 8)), 16) as hash from cand")
-_scored("secret_normalize", lambda: [fn.normalized(F.concat(F.lit(" "), V, F.lit("\r\n"))).alias("normal")], "trim(replace(' ' || value || chr(10), chr(10), ' ')) as normal from cand")
-_scored("mask_value", lambda: [fn.mask_value(V).alias("masked")], """case when value = '' then '(empty)' when length(value) > 12 and regexp_matches(value, '[A-Za-z0-9]{8,}') then left(value, 4) || '••••••••' when length(value) > 60 then left(value, 57) || '…' else value end as masked from cand""")
-_scored("variable_name_from_context", lambda: [kv.variable_name(C).alias("name")], """coalesce(nullif(regexp_extract(context, '(?:const|let|var)\\s+(\\w+)|(\\w+)\\s*[:=]', 1), ''), nullif(regexp_extract(context, '(?:const|let|var)\\s+(\\w+)|(\\w+)\\s*[:=]', 2), '')) as name from cand""")
+_scored("checksum", lambda: [fn.checksum(V()).alias("checksum")], "left(sha256(value), 16) as checksum from cand")
+_scored("hash_entry", lambda: [fn.entry_hash(N(), V()).alias("hash")], "left(sha256(variable_name || ':' || left(value, 8)), 16) as hash from cand")
+_scored("secret_normalize", lambda: [fn.normalized(F.concat(F.lit(" "), V(), F.lit("\r\n"))).alias("normal")], "trim(replace(' ' || value || chr(10), chr(10), ' ')) as normal from cand")
+_scored("mask_value", lambda: [fn.mask_value(V()).alias("masked")], """case when value = '' then '(empty)' when length(value) > 12 and regexp_matches(value, '[A-Za-z0-9]{8,}') then left(value, 4) || '••••••••' when length(value) > 60 then left(value, 57) || '…' else value end as masked from cand""")
+_scored("variable_name_from_context", lambda: [kv.variable_name(C()).alias("name")], """coalesce(nullif(regexp_extract(context, '(?:const|let|var)\\s+(\\w+)|(\\w+)\\s*[:=]', 1), ''), nullif(regexp_extract(context, '(?:const|let|var)\\s+(\\w+)|(\\w+)\\s*[:=]', 2), '')) as name from cand""")
 _scored("format_bytes", lambda: [fn.format_bytes(F.col("event_id") * 997).alias("size")], """case when n = 0 then '0 B' else regexp_replace(printf('%.1f', round(n / pow(1024.0::double, u), 1)), '\\.0$', '') || ' ' || list_extract(['B', 'KB', 'MB', 'GB'], u + 1) end as size from (select *, event_id * 997 as n, case when event_id * 997 < 1024 then 0 when event_id * 997 < 1048576 then 1 when event_id * 997 < 1073741824 then 2 else 3 end as u from cand)""")
 
 
@@ -56,33 +74,38 @@ _STRING = f"""(case when regexp_matches(context, '["''`]') then 2 else 0 end + c
  - case when contains(context, '//') or contains(context, '#') or contains(context, '/*') then 3 else 0 end - case when {_any('value', ['test', 'example', 'sample'])} then 2 else 0 end)"""
 _NEIGHBOR = f"(case when len(regexp_extract_all(context, '[:=]')) > 1 then 1 else 0 end + case when len([x for x in string_split(lower(context), chr(10)) if {_any('x', fn.HIGH_RISK)}]) > 1 then 2 else 0 end)"
 _CC = f"least(1.0::double, greatest(0.0::double, ({_KEYWORD} + {_ASSIGN} + {_NAMING} + {_STRING} + {_NEIGHBOR}) / 10.0::double))"
-_scored("keyword_proximity", lambda: [fn.keyword_score(C).alias("score"), fn.nearest_keyword(C).alias("keyword")], f"{_KEYWORD} as score, coalesce({_first(_LOW, fn.HIGH_RISK)}, {_first(_LOW, fn.GENERAL)}) as keyword from cand")
-_scored("assignment_score", lambda: [fn.assignment_score(C).alias("score")], f"{_ASSIGN} as score from cand")
-_scored("naming_score", lambda: [fn.naming_score(C).alias("score")], f"{_NAMING} as score from cand")
-_scored("string_score", lambda: [fn.string_score(C, V).alias("score")], f"{_STRING} as score from cand")
-_scored("neighbor_score", lambda: [fn.neighbor_score(C).alias("score")], f"{_NEIGHBOR} as score from cand")
+_scored("keyword_proximity", lambda: [fn.keyword_score(C()).alias("score"), fn.nearest_keyword(C()).alias("keyword")], f"{_KEYWORD} as score, coalesce({_first(_LOW, fn.HIGH_RISK)}, {_first(_LOW, fn.GENERAL)}) as keyword from cand")
+_scored("assignment_score", lambda: [fn.assignment_score(C()).alias("score")], f"{_ASSIGN} as score from cand")
+_scored("naming_score", lambda: [fn.naming_score(C()).alias("score")], f"{_NAMING} as score from cand")
+_scored("string_score", lambda: [fn.string_score(C(), V()).alias("score")], f"{_STRING} as score from cand")
+_scored("neighbor_score", lambda: [fn.neighbor_score(C()).alias("score")], f"{_NEIGHBOR} as score from cand")
 _RISK = "case when c >= 0.8 then 'high' when c >= 0.5 then 'medium' else 'low' end"
 _METHOD = f"case when {_KEYWORD} > 0 then 'Keyword Proximity' when {_NAMING} > 0 then 'Variable Naming' when {_ASSIGN} > 0 then 'Assignment Pattern' else 'String Context' end"
-_scored("context_confidence", lambda: [F.round(fn.context_confidence(C, V), 6).alias("confidence"), fn.risk_level(fn.context_confidence(C, V)).alias("risk"), fn.detection_method(C).alias("method")],
+_scored("context_confidence", lambda: [F.round(fn.context_confidence(C(), V()), 6).alias("confidence"), fn.risk_level(fn.context_confidence(C(), V())).alias("risk"), fn.detection_method(C()).alias("method")],
         f"round(c, 6) as confidence, {_RISK} as risk, method from (select candidate_id, {_CC} as c, {_METHOD} as method from cand)")
 _DETAIL = rf"(2 * {_count(_LOW, fn.HIGH_RISK)} + contains(context, 'process.env.')::int + contains(context, '=')::int + contains(context, ': ')::int + regexp_matches(context, '\b(const|let|var)\s+')::int)"
-_scored("detailed_context", lambda: [c.alias(n) for c, n in zip(fn.detailed_context(C), ("score", "assessment"), strict=True)],
+_scored("detailed_context", lambda: [c.alias(n) for c, n in zip(fn.detailed_context(C()), ("score", "assessment"), strict=True)],
         f"s as score, case when s >= 5 then 'High risk: Multiple security indicators' when s >= 3 then 'Medium risk: Some security indicators' when s >= 1 then 'Low risk: Minimal security indicators' else 'Safe: No security indicators detected' end as assessment from (select candidate_id, {_DETAIL} as s from cand)")
-_LABEL = F.when(F.col("event_id") % 3 == 0, "high").when(F.col("event_id") % 3 == 1, "medium").otherwise("low")
+
+
+def _LABEL():
+    return F.when(F.col("event_id") % 3 == 0, "high").when(F.col("event_id") % 3 == 1, "medium").otherwise("low")
+
+
 _LABEL_SQL = "case event_id % 3 when 0 then 'high' when 1 then 'medium' else 'low' end"
-_scored("enhance_confidence", lambda: [F.round(fn.enhanced_confidence(_LABEL, fn.context_confidence(C, V)), 6).alias("confidence_num")], f"round(greatest(case event_id % 3 when 0 then 1.0::double when 1 then 0.5::double else 0 end, {_CC}), 6) as confidence_num from cand")
-_scored("analyze_secret_context", lambda: [fn.surrounding_confidence(N, C.contains("="), C).alias("confidence"), fn.risk_level(fn.surrounding_confidence(N, C.contains("="), C)).alias("risk")],
+_scored("enhance_confidence", lambda: [F.round(fn.enhanced_confidence(_LABEL(), fn.context_confidence(C(), V())), 6).alias("confidence_num")], f"round(greatest(case event_id % 3 when 0 then 1.0::double when 1 then 0.5::double else 0 end, {_CC}), 6) as confidence_num from cand")
+_scored("analyze_secret_context", lambda: [fn.surrounding_confidence(N(), C().contains("="), C()).alias("confidence"), fn.risk_level(fn.surrounding_confidence(N(), C().contains("="), C())).alias("risk")],
         f"c as confidence, {_RISK} as risk from (select candidate_id, round(least(1.0::double, 0.5 + case when {_any('lower(coalesce(variable_name, chr(48)))', fn.HIGH_RISK)} then 0.3 else 0 end + case when contains(context, '=') then 0.2 else 0 end + case when contains({_LOW}, 'auth') or contains({_LOW}, 'login') then 0.15 else 0 end), 6) as c from cand)")
-_scored("comprehensive_security", lambda: [F.round(fn.security_score(F.lit(0.5), F.lit("generic password"), C), 6).alias("score")], "round(least(1.0::double, 0.5 + case when contains(context, 'hardcoded') or contains(context, 'const ') then 0.3 else 0 end + 0.2), 6) as score from cand")
+_scored("comprehensive_security", lambda: [F.round(fn.security_score(F.lit(0.5), F.lit("generic password"), C()), 6).alias("score")], "round(least(1.0::double, 0.5 + case when contains(context, 'hardcoded') or contains(context, 'const ') then 0.3 else 0 end + 0.2), 6) as score from cand")
 _CERTAIN = "regexp_matches(value, '" + "|".join(fn.CERTAIN) + "')"
-_scored("known_pattern_l1", lambda: [fn.known_pattern(V).alias("hit")], f"{_CERTAIN} as hit from cand")
-_scored("response_label_map", lambda: [fn.response_label(F.when(F.col("event_id") % 4 == 0, "Critical").otherwise(_LABEL), F.col("event_id") % 2 == 0).alias("label")], f"case when event_id % 4 = 0 then 'high' else {_LABEL_SQL} end as label from cand")
-_scored("confirmed_label", lambda: [fn.confirmed_label(F.when(F.col("event_id") % 2 == 0, "confirmed").otherwise("ignored"), fn.context_confidence(C, V)).alias("label")], f"case when event_id % 2 = 1 then 'false_positive' when {_CC} >= 0.8 then 'high' when {_CC} >= 0.5 then 'medium' else 'low' end as label from cand")
+_scored("known_pattern_l1", lambda: [fn.known_pattern(V()).alias("hit")], f"{_CERTAIN} as hit from cand")
+_scored("response_label_map", lambda: [fn.response_label(F.when(F.col("event_id") % 4 == 0, "Critical").otherwise(_LABEL()), F.col("event_id") % 2 == 0).alias("label")], f"case when event_id % 4 = 0 then 'high' else {_LABEL_SQL} end as label from cand")
+_scored("confirmed_label", lambda: [fn.confirmed_label(F.when(F.col("event_id") % 2 == 0, "confirmed").otherwise("ignored"), fn.context_confidence(C(), V())).alias("label")], f"case when event_id % 2 = 1 then 'false_positive' when {_CC} >= 0.8 then 'high' when {_CC} >= 0.5 then 'medium' else 'low' end as label from cand")
 
 
 @query("char_distribution", f"with {CAND}, ch as (select unnest(string_split(value, '')) as c from cand) select c, count(*) as n from ch where c <> '' group by 1")
 def char_distribution(spark, sf_dir):
-    return candidates(spark, sf_dir).select(F.explode(fn.characters(V)).alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n"))
+    return candidates(spark, sf_dir).select(F.explode(fn.characters(V())).alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n"))
 
 
 # the feature vector
@@ -131,7 +154,7 @@ _BLACK = "bl as (select distinct left(sha256(variable_name || ':' || left(value,
 
 
 def _blacklist(c):
-    return c.where("event_id % 24 = 10").select(fn.entry_hash(N, V).alias("hash")).where("hash is not null").distinct()
+    return c.where("event_id % 24 = 10").select(fn.entry_hash(N(), V()).alias("hash")).where("hash is not null").distinct()
 
 
 @query("classify_cascade", f"with {_FEAT}, {_BLACK} select candidate_id, case when {_CERTAIN} then 'high' when left(sha256(variable_name || ':' || left(value, 8)), 16) in (select hash from bl where hash is not null) then 'high' when f07 * 8 < 3.5 then 'low' else {_CLASS} end as label from ft")
@@ -143,7 +166,7 @@ def classify_cascade(spark, sf_dir):
 @query("blacklist_semi_join", f"with {CAND}, {_BLACK} select candidate_id from cand where left(sha256(variable_name || ':' || left(value, 8)), 16) in (select hash from bl where hash is not null)")
 def blacklist_semi_join(spark, sf_dir):
     c = candidates(spark, sf_dir)
-    return c.withColumn("hash", fn.entry_hash(N, V)).join(_blacklist(c), "hash", "left_semi").select("candidate_id")
+    return c.withColumn("hash", fn.entry_hash(N(), V())).join(_blacklist(c), "hash", "left_semi").select("candidate_id")
 
 
 _HASHES = f"with {CAND}, {_BLACK}, x as (select distinct left(sha256(variable_name || ':' || left(value, 8)), 16) as hash from cand where {_CERTAIN} and variable_name is not null) "
@@ -151,13 +174,13 @@ _HASHES = f"with {CAND}, {_BLACK}, x as (select distinct left(sha256(variable_na
 
 @query("dedupe_findings_by_hash", _HASHES + "select hash from x")
 def dedupe_findings(spark, sf_dir):
-    return candidates(spark, sf_dir).where(fn.known_pattern(V) & N.isNotNull()).select(fn.entry_hash(N, V).alias("hash")).dropDuplicates(["hash"])
+    return candidates(spark, sf_dir).where(fn.known_pattern(V()) & N().isNotNull()).select(fn.entry_hash(N(), V()).alias("hash")).dropDuplicates(["hash"])
 
 
 @query("false_positive_removal", _HASHES + ", fp as (select left(sha256(variable_name || ':' || left(value, 8)), 16) as hash from cand where event_id % 36 = 0) select hash from x where hash not in (select hash from fp where hash is not null)")
 def false_positive_removal(spark, sf_dir):
     c = candidates(spark, sf_dir)
-    wrong = c.where("event_id % 36 = 0").select(fn.entry_hash(N, V).alias("hash")).where("hash is not null")
+    wrong = c.where("event_id % 36 = 0").select(fn.entry_hash(N(), V()).alias("hash")).where("hash is not null")
     return dedupe_findings(spark, sf_dir).join(wrong, "hash", "left_anti")
 
 
@@ -165,7 +188,7 @@ def false_positive_removal(spark, sf_dir):
 def _pattern(k, p):
     # the two engines' regex flavours agree on lines; a match is compared by its count and its text
     sql = f"with {CAND}, m as (select candidate_id, unnest(regexp_extract_all(context, '{p.re2().replace(chr(39), chr(39) * 2)}')) as match from cand) select candidate_id, match from m where match <> ''"
-    query(f"pattern_{k:02d}", sql)(lambda spark, sf_dir: candidates(spark, sf_dir).select("candidate_id", F.explode(op.matches(C, p)).alias("match")).where("match != ''"))
+    query(f"pattern_{k:02d}", sql)(lambda spark, sf_dir: candidates(spark, sf_dir).select("candidate_id", F.explode(op.matches(C(), p)).alias("match")).where("match != ''"))
 
 
 for _k, _p in enumerate(op.DEFAULT_PATTERNS, 1):

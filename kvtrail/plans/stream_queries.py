@@ -12,12 +12,16 @@ from kvtrail.sources import io
 from kvtrail.sources.scratch import shared_folder
 from kvtrail.streaming import streams
 
-_WS = F.concat(F.lit("ws_"), (F.col("user_id") % 10).cast("string"))
+
+def _WS():
+    return F.concat(F.lit("ws_"), (F.col("user_id") % 10).cast("string"))
+
+
 
 
 @query("stream_windowed_activity", "with b as (select 'ws_' || (user_id % 10) as workspace, date_trunc('hour', ts)::timestamp as start from events) select workspace, start, count(*) as changes from b group by all")
 def stream_windowed_activity(s, d):
-    out = streams.windowed_activity(streams.event_stream(s, d).withColumn("workspace", _WS), late="400 days")
+    out = streams.windowed_activity(streams.event_stream(s, d).withColumn("workspace", _WS()), late="400 days")
     return _complete(out, shared_folder(s, "activity"))
 
 
@@ -62,7 +66,7 @@ def stream_incremental_rescan(s, d):
 @query("stream_branch_changes", """with b as (select 'ws_' || (user_id % 10) as workspace, event_type as branch, ts from events), s as (select *, lead(ts) over (partition by workspace order by ts) - ts as stay from b),
 k as (select * from s where stay >= interval 500 millisecond), l as (select *, lag(branch) over (partition by workspace order by ts) as before from k) select workspace, branch from l where before is null or before <> branch""")
 def stream_branch_changes(s, d):
-    e = streams.event_stream(s, d).select(_WS.alias("workspace"), F.col("event_type").alias("branch"), "timestamp")
+    e = streams.event_stream(s, d).select(_WS().alias("workspace"), F.col("event_type").alias("branch"), "timestamp")
     return streams.drain(streams.settled_branches(e), shared_folder(s, "branches"))
 
 
@@ -74,20 +78,27 @@ def stream_feedback_batches(s, d):
     return s.read.option("basePath", f"{path}/rows").parquet(f"{path}/rows/epoch=*").select("id", "sent")
 
 
-_KEY, _OTHER = F.lit("0123456789abcdef0123456789abcdef").cast("binary"), F.lit("fedcba9876543210fedcba9876543210").cast("binary")
+def _KEY():
+    return F.lit("0123456789abcdef0123456789abcdef").cast("binary")
+
+
+def _OTHER():
+    return F.lit("fedcba9876543210fedcba9876543210").cast("binary")
+
+
 _P = f"with {LINES_OF_H}, p as (select id, trim(raw[:strpos(raw, '=') - 1]) as key, raw[strpos(raw, '=') + 1:] as value, line from hl where raw not like '#%' and strpos(raw, '=') > 1), m as (select id, key, arg_max(value, line) as value from p group by all)"
 
 
 @query("encrypt_round_trip", _P + " select id, key, true as sealed, value as opened, null::varchar as wrong_key from m")
 def encrypt_round_trip(s, d):
-    sealed = kv.sync_pairs(history(s, d), ["id"]).withColumn("envelope", crypto.encrypt_value(F.col("value"), _KEY))
-    return sealed.select("id", "key", kv.is_encrypted(F.col("envelope")).alias("sealed"), crypto.decrypt_value(F.col("envelope"), _KEY).alias("opened"), crypto.decrypt_value(F.col("envelope"), _OTHER).alias("wrong_key"))
+    sealed = kv.sync_pairs(history(s, d), ["id"]).withColumn("envelope", crypto.encrypt_value(F.col("value"), _KEY()))
+    return sealed.select("id", "key", kv.is_encrypted(F.col("envelope")).alias("sealed"), crypto.decrypt_value(F.col("envelope"), _KEY()).alias("opened"), crypto.decrypt_value(F.col("envelope"), _OTHER()).alias("wrong_key"))
 
 
 @query("rotate_keys", _P + " select id, key, value as opened from m")
 def rotate_keys(s, d):
-    sealed = kv.sync_pairs(history(s, d), ["id"]).withColumn("envelope", crypto.encrypt_value(F.col("value"), _KEY))
-    return sealed.select("id", "key", crypto.decrypt_value(crypto.rotate(F.col("envelope"), _KEY, _OTHER), _OTHER).alias("opened"))
+    sealed = kv.sync_pairs(history(s, d), ["id"]).withColumn("envelope", crypto.encrypt_value(F.col("value"), _KEY()))
+    return sealed.select("id", "key", crypto.decrypt_value(crypto.rotate(F.col("envelope"), _KEY(), _OTHER()), _OTHER()).alias("opened"))
 
 
 @query("export_json")
@@ -97,7 +108,7 @@ def export_json(s, d):
 
 @query("export_encrypted_json")
 def export_encrypted_json(s, d):
-    return io.export_json(history(s, d), ["id"]).select("id", crypto.encrypt_value(F.col("document"), _KEY).alias("envelope"))
+    return io.export_json(history(s, d), ["id"]).select("id", crypto.encrypt_value(F.col("document"), _KEY()).alias("envelope"))
 
 
 @query("history_append", "select event_id::varchar as id, strftime(timestamp '2024-02-03 00:00:00', '%Y-%m') as month, 'auto' as source from events")
