@@ -37,8 +37,10 @@ SPARE_PERCENT = 5
 #: Entries of the table of frequent shingles, at most; members of a bucket before it is split.
 FREQUENT_ENTRIES, BUCKET_MEMBERS = 250_000, 1000
 #: Pairs of the last round for each entry of the postings, above which another round of neighbours comes first.
-PAIRS_PER_POSTING, ROUNDS = 4, 5
+PAIRS_PER_POSTING, ROUNDS = 30, 5
 _BLOOM_WORDS = 1 << 18
+#: Bytes of text, and verified pairs, that a task has in hand at once.
+_BLOCK_BYTES, _PAIRS = 1_900_000, 500
 
 
 def shingle_sets(texts: list[str], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -86,7 +88,7 @@ def frequent_shingles(docs: DataFrame, words: int = WORDS) -> tuple[np.ndarray,
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, "text"):
+        for block in blocks(batches, "text", _BLOCK_BYTES):
             key, count = np.unique(shingle_sets(texts_of(block), words)[0], return_counts=True)
             often = count >= 3
             total = pa.array([int(count.sum())] + [0] * int(often.sum()), pa.int64())
@@ -122,7 +124,7 @@ def set_names(docs: DataFrame) -> DataFrame:
     """doc_id, n, k1, k2 of every row: the size of its set and two hashes that name the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, "text"):
+        for block in blocks(batches, "text", _BLOCK_BYTES):
             key, bounds = shingle_sets(texts_of(block))
             yield pa.RecordBatch.from_arrays([block.column(0), pa.array(np.diff(bounds)), *map(pa.array, _set_keys(key, bounds))], ["doc_id", "n", "k1", "k2"])
 
@@ -135,7 +137,7 @@ def prefixes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, times = table.value
-        for block in blocks(batches, "text"):
+        for block in blocks(batches, "text", _BLOCK_BYTES):
             key, bounds = shingle_sets(texts_of(block))
             owner = np.repeat(np.arange(block.num_rows), np.diff(bounds))
             often = np.zeros(len(key), np.int64)
@@ -175,7 +177,7 @@ def node_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
         for batch in batches:
             bit = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
             held = (wanted[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1)
-            for block in blocks([batch.filter(pa.array(held == 1))], "text"):
+            for block in blocks([batch.filter(pa.array(held == 1))], "text", _BLOCK_BYTES):
                 key, bounds = shingle_sets(texts_of(block))
                 short, b = (key >> np.uint64(16)).astype("<u8"), bounds.tolist()
                 raw = short.view(np.uint8).reshape(-1, 8)[:, :6]
@@ -198,7 +200,7 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
         return out.view("<u8")[:, 0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(k, _PAIRS) for b in batches for k in range(0, b.num_rows, _PAIRS)):
             keep = []
             for sa, sb in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 x, y = unpack(sa), unpack(sb)

@@ -46,7 +46,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 def span_hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of symbols[start:end] for each span, equal for equal contents."""
     n = len(symbols) + 1
-    up, down = _powers(max(1 << 22, 1 << (n - 1).bit_length()))
+    up, down = _powers(max(1 << 20, 1 << (n - 1).bit_length()))
     total = np.zeros(n, np.uint64)
     np.cumsum((symbols.astype(np.uint64) + np.uint64(1)) * up[: n - 1], out=total[1:])
     h = (total[ends] - total[starts]) * down[starts]
@@ -58,7 +58,7 @@ def window_hashes(symbols: np.ndarray, width: int) -> np.ndarray:
     n = len(symbols)
     if n < width:
         return np.empty(0, np.uint64)
-    up, down = _powers(max(1 << 22, 1 << n.bit_length()))
+    up, down = _powers(max(1 << 20, 1 << n.bit_length()))
     total = np.zeros(n + 1, np.uint64)
     np.cumsum((symbols.astype(np.uint64) + np.uint64(1)) * up[:n], out=total[1:])
     return mix64((total[width:] - total[:-width]) * down[: n - width + 1])
