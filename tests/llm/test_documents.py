@@ -96,6 +96,7 @@ def test_near_duplicates(spark, odd, empty):
 @pytest.mark.parametrize("pairs_per_posting", [30, 0])
 def test_families_with_chains_of_edits(spark, monkeypatch, pairs_per_posting):
     monkeypatch.setattr(jaccard, "PAIRS_PER_POSTING", pairs_per_posting)
+    monkeypatch.setattr(jaccard, "ROUNDS", 2)
     rng = np.random.default_rng(4)
     vocabulary = [f"w{i}" for i in range(400)]
     rows = []
