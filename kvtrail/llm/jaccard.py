@@ -38,6 +38,8 @@ SPARE_PERCENT = 5
 FREQUENT_ENTRIES, BUCKET_MEMBERS = 250_000, 1000
 #: Pairs of the last round for each entry of the postings, above which another round of neighbours comes first.
 PAIRS_PER_POSTING, ROUNDS = 30, 5
+#: Nodes of a cell in which many pairs are verified, on average.
+CELL_NODES = 128
 _BLOOM_WORDS = 1 << 18
 #: Bytes of text, and verified pairs, that a task has in hand at once.
 _BLOCK_BYTES, _PAIRS = 1_900_000, 500
@@ -194,24 +196,59 @@ def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     first, second = sets.select(F.col("node").alias("a"), F.col("members").alias("sa")), sets.select(F.col("node").alias("b"), F.col("members").alias("sb"))
     met = pairs.select("a", "b").join(first, "a").join(second, "b").select("a", "b", "sa", "sb")
 
-    def unpack(raw: bytes) -> np.ndarray:
-        out = np.zeros((len(raw) // 6, 8), np.uint8)
-        out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-        return out.view("<u8")[:, 0]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(k, _PAIRS) for b in batches for k in range(0, b.num_rows, _PAIRS)):
-            keep = []
-            for sa, sb in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = unpack(sa), unpack(sb)
-                both = np.sort(np.concatenate([x, y]))
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= PERCENT * (len(x) + len(y) - common))
+            keep = [_similar(_unpacked(sa), _unpacked(sb)) for sa, sb in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     return met.mapInArrow(run, "a long, b long")
 
 
+def _unpacked(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view("<u8")[:, 0]
+
+
+def _similar(x: np.ndarray, y: np.ndarray) -> bool:
+    both = np.sort(np.concatenate([x, y]))
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= PERCENT * (len(x) + len(y) - common)
+
+
+def verify_dense(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """As verify, for many pairs of few nodes: a set travels once for each pair of cells, not once for each pair.
+
+    A cell holds nodes with the same smallest partner, split by a hash so that it has
+    about CELL_NODES of them; pairs meet in the pair of cells of their ends.
+    """
+    both = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    lowest = both.groupBy("a").agg(F.least("a", F.min("b")).alias("f"))
+    parts = lowest.groupBy("f").agg(F.ceil(F.count(F.lit(1)) / CELL_NODES).alias("parts"))
+    cells = lowest.join(parts, "f").select(F.col("a").alias("node"), F.xxhash64("f", F.pmod(F.xxhash64("a"), "parts")).alias("cell"))
+    ca, cb = cells.select(F.col("node").alias("a"), F.col("cell").alias("x")), cells.select(F.col("node").alias("b"), F.col("cell").alias("y"))
+    met = written(pairs.select("a", "b").join(ca, "a").join(cb, "b").select(F.xxhash64(F.least("x", "y"), F.greatest("x", "y")).alias("key"), "a", "b"), "cell-pairs")
+    ends = met.select("key", F.col("a").alias("node")).union(met.select("key", F.col("b").alias("node"))).distinct()
+    shipped = ends.join(sets, "node").select("key", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "members")
+    rows = shipped.unionByName(met.withColumn("members", F.lit(None).cast("binary")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, {}
+        for batch in batches:
+            out = []
+            for k, a, b, members in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if k != key:
+                    key, held = k, {}
+                if b is None:
+                    held[a] = _unpacked(members)
+                elif _similar(held[a], held[b]):
+                    out.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
+
+    # within a key the sets come first: their b is null
+    return rows.repartition("key").sortWithinPartitions("key", F.asc_nulls_first("b")).mapInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row.
 
@@ -253,13 +290,17 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         bucket = Window.partitionBy("token", F.pmod(chance, "parts")).orderBy(F.xxhash64("node", "token", F.lit(turn)), "node")
         step = open_entries.withColumn("b", F.lag("node").over(bucket)).withColumn("n2", F.lag("n").over(bucket)).withColumn("g2", F.lag("component").over(bucket))
         tried = step.where(f"g2 != component and {fits}").select(F.col("node").alias("a"), "b")
-        links = written(links.union(verify(_most_met(tried), sets)), "links")
-        groups = components(links)
+        groups = components(_joined(groups, verify(_most_met(tried), sets)))
     one, two = open_entries.select("token", F.col("node").alias("a"), "n", "component"), open_entries.select("token", F.col("node").alias("b"), F.col("n").alias("n2"), F.col("component").alias("g2"))
     rest = one.join(two, "token").where(f"component < g2 and {fits}").groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.min(F.least("n", "n2")).alias("least"))
     rest = rest.where(F.col("c") >= 1 + F.floor(F.col("least") * SPARE_PERCENT / 100))
-    links = written(links.union(verify(rest, sets)), "links")
-    return _labelled(names, components(links))
+    found = verify_dense(written(rest.select("a", "b"), "last-pairs"), sets)
+    return _labelled(names, components(_joined(groups, found)))
+
+
+def _joined(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """Edges of the groups so far, each node to its component, and new links."""
+    return groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links)
 
 
 def _most_met(pairs: DataFrame) -> DataFrame:
