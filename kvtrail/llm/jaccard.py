@@ -3,17 +3,14 @@
 Documents with equal shingle sets are one node from the start, represented by the
 smallest doc_id. A set's elements have one global order: frequent ones last,
 else by hash. Two sets that are similar enough share at least k elements among
-the first n - ceil(0.8 n) + k of each, so only those prefixes are joined, and
-only nodes with k shared elements can have a link at all.
-
-Nodes are joined in rounds. In each, the members of an element's bucket stand in
-some order, every node is paired with the neighbour it meets most often, and the
-pairs are verified on whole sets; linked nodes become one group. Further rounds
-pair only neighbours from different groups. In the last one, all pairs between
-different groups that share k prefix elements and fit in size are expanded and
-verified, so no link between groups is lost; pairs inside a group need no test,
-since they can't change it. Elements that very many documents share have their
-buckets split by a hash.
+the first n - ceil(0.8 n) + k of each, so only those prefixes are joined.
+
+Nodes of one size whose prefixes are identical form a group. Groups, not nodes, are
+joined on the elements of their prefixes; two groups that share k elements and fit
+in size are expanded into the pairs of their members, as is each group with itself,
+and every pair is verified on whole sets. So similar_pairs has all links, and the
+components follow from them. An element or a group with very many members is split:
+its members are dealt into parts, and every two parts meet in a cell of their own.
 """
 
 from __future__ import annotations
@@ -36,13 +33,13 @@ PERCENT = 80
 SPARE_PERCENT = 5
 #: Entries of the table of frequent shingles, at most; members of a bucket before it is split.
 FREQUENT_ENTRIES, BUCKET_MEMBERS = 250_000, 1000
-#: Pairs of the last round for each entry of the postings, above which another round of neighbours comes first.
+#: Not read any more (a test still sets them): all pairs are verified in one round.
 PAIRS_PER_POSTING, ROUNDS = 30, 5
 #: Nodes of a cell in which many pairs are verified, on average.
 CELL_NODES = 128
 _BLOOM_WORDS = 1 << 18
-#: Bytes of text, and verified pairs, that a task has in hand at once.
-_BLOCK_BYTES, _PAIRS = 1_900_000, 500
+#: Bytes of text that a task has in hand at once.
+_BLOCK_BYTES = 1_900_000
 
 
 def shingle_sets(texts: list[str], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -191,19 +188,6 @@ def node_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return found.join(nodes, (found.doc_id == nodes.node) & (found.k1 == nodes.k1) & (found.k2 == nodes.k2)).groupBy("node").agg(F.min("members").alias("members"))
 
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets reach the similarity."""
-    first, second = sets.select(F.col("node").alias("a"), F.col("members").alias("sa")), sets.select(F.col("node").alias("b"), F.col("members").alias("sb"))
-    met = pairs.select("a", "b").join(first, "a").join(second, "b").select("a", "b", "sa", "sb")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(k, _PAIRS) for b in batches for k in range(0, b.num_rows, _PAIRS)):
-            keep = [_similar(_unpacked(sa), _unpacked(sb)) for sa, sb in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    return met.mapInArrow(run, "a long, b long")
-
-
 def _unpacked(raw: bytes) -> np.ndarray:
     out = np.zeros((len(raw) // 6, 8), np.uint8)
     out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
@@ -216,8 +200,8 @@ def _similar(x: np.ndarray, y: np.ndarray) -> bool:
     return 100 * common >= PERCENT * (len(x) + len(y) - common)
 
 
-def verify_dense(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """As verify, for many pairs of few nodes: a set travels once for each pair of cells, not once for each pair.
+def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets reach the similarity. A set travels once for each pair of cells, not once for each pair.
 
     A cell holds nodes with the same smallest partner, split by a hash so that it has
     about CELL_NODES of them; pairs meet in the pair of cells of their ends.
@@ -249,6 +233,67 @@ def verify_dense(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", F.asc_nulls_first("b")).mapInArrow(run, "a long, b long")
 
 
+def _met(entries: DataFrame, key: str, kept: list[str]) -> DataFrame:
+    """Every two entries (node, parts, kept) of a key once, the smaller node first: a, b, and the kept columns with 1 and 2.
+
+    A key of several parts has a cell for every two of them, so that no cell holds more than two parts.
+    """
+    dealt = entries.withColumn("p", F.pmod(F.xxhash64("node", F.lit(1)), "parts")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.select(key, F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y"), "p", "node", *kept)
+    one = dealt.select(key, "x", "y", F.col("node").alias("a"), F.col("p").alias("p1"), *(F.col(c).alias(f"{c}1") for c in kept))
+    two = dealt.select(key, "x", "y", F.col("node").alias("b"), F.col("p").alias("p2"), *(F.col(c).alias(f"{c}2") for c in kept))
+    return one.join(two, [key, "x", "y"]).where("a < b and (x = y or p1 != p2)")
+
+
+def node_prefixes(docs: DataFrame) -> DataFrame:
+    """node, n, k1, k2, prefix, g1, g2 of each distinct set; n, g1 and g2 name its group."""
+    found = prefixes(docs, frequent_shingles(docs)).groupBy("k1", "k2", "n").agg(F.min(F.struct("doc_id", "prefix")).alias("x"))
+    tokens = F.col("x.prefix.token")
+    return found.select(F.col("x.doc_id").alias("node"), "n", "k1", "k2", "x.prefix", F.xxhash64(tokens).alias("g1"), F.xxhash64(F.lit(1), tokens).alias("g2"))
+
+
+def similar_pairs(docs: DataFrame) -> DataFrame:
+    """a, b: every two different sets that reach the similarity, each named by its smallest doc_id, a < b.
+
+    Rows with equal sets are the same node; set_names tells which rows those are.
+    """
+    docs = docs.where("doc_id is not null")
+    nodes = written(node_prefixes(docs), "nodes")
+    groups = nodes.groupBy("n", "g1", "g2").agg(F.min(F.struct("node", "prefix")).alias("x"), F.count(F.lit(1)).alias("size"))
+    groups = written(groups.select(F.col("x.node").alias("g"), "n", "g1", "g2", "size", "x.prefix"), "groups")
+    postings = groups.select(F.col("g").alias("node"), "n", F.explode("prefix").alias("p")).select("node", "n", "p.token", "p.parts")
+    held = Window.partitionBy("token", "part").orderBy("node")
+    part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("node"), "parts")).otherwise(F.lit(0))
+    # a bucket's members that have a neighbour; a split bucket is taken to be shared
+    near = postings.withColumn("part", part).withColumn("before", F.lag("node").over(held)).withColumn("after", F.lead("node").over(held))
+    shared = written(near.where("before is not null or after is not null or parts > 1").select("node", "n", "token", "parts"), "shared-postings")
+    possible = shared.groupBy("node", "n").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= 1 + F.floor(F.col("n") * SPARE_PERCENT / 100)).select("node")
+    fits = f"100 * least(n1, n2) >= {PERCENT} * greatest(n1, n2)"
+    joined = _met(shared.join(possible, "node", "left_semi"), "token", ["n"]).where(fits)
+    joined = joined.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.min(F.least("n1", "n2")).alias("least"))
+    joined = written(joined.where(F.col("c") >= 1 + F.floor(F.col("least") * SPARE_PERCENT / 100)).select(F.col("a").alias("ga"), F.col("b").alias("gb")), "group-pairs")
+
+    members = written(nodes.join(groups.select("g", "n", "g1", "g2", "size"), ["n", "g1", "g2"]).select("g", "node", "size", "k1", "k2"), "members")
+    inside = members.where("size > 1").select("g", "node", (1 + F.expr(f"size div {BUCKET_MEMBERS}")).cast("int").alias("parts"))
+    across = joined.join(members.select(F.col("g").alias("ga"), F.col("node").alias("a")), "ga").join(members.select(F.col("g").alias("gb"), F.col("node").alias("b")), "gb")
+    pairs = written(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(_met(inside, "g", []).select("a", "b")), "candidate-pairs")
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = written(members.join(ends, "node", "left_semi").select("node", "k1", "k2"), "paired-nodes")
+    return verify(pairs, written(node_sets(docs, wanted), "node-sets"))
+
+
+def link_counts(docs: DataFrame) -> DataFrame:
+    """doc_id, n_links of every row with a doc_id: how many other rows are similar to it, rows with an equal set among them."""
+    docs = docs.where("doc_id is not null")
+    names = set_names(docs)
+    sets = written(names.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies")), "sets")
+    pairs = written(similar_pairs(docs), "links")
+    both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    others = both.join(sets.select(F.col("node").alias("b"), "copies"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("copies").alias("others"))
+    counted = sets.join(others, "node", "left").select("k1", "k2", "n", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    return names.join(counted, ["k1", "k2", "n"], "left").select("doc_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row.
 
@@ -258,54 +303,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     if they stand for their sets. A null doc_id takes no part. Empty tables give no rows.
     """
     docs = docs.where("doc_id is not null")
-    names = set_names(docs)
-    frequent = frequent_shingles(docs)
-    found = prefixes(docs, frequent).groupBy("k1", "k2", "n").agg(F.min(F.struct("doc_id", "prefix")).alias("x"))
-    postings = found.select(F.col("x.doc_id").alias("node"), "n", "k1", "k2", F.explode("x.prefix").alias("p")).select("node", "n", "k1", "k2", "p.token", "p.parts")
-    held = Window.partitionBy("token", "part").orderBy("n", "node")
-    part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("node"), "parts")).otherwise(F.lit(0))
-    # a bucket's members that have a neighbour; a split bucket is taken to be shared
-    near = postings.withColumn("part", part).withColumn("before", F.lag("node").over(held)).withColumn("after", F.lead("node").over(held))
-    shared = written(near.where("before is not null or after is not null or parts > 1").drop("after"), "shared-postings")
-    possible = shared.groupBy("node", "n", "k1", "k2").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= 1 + F.floor(F.col("n") * SPARE_PERCENT / 100))
-    nodes = written(possible.select("node", "n", "k1", "k2"), "possible-nodes")
-    sets = written(node_sets(docs, nodes.select("node", "k1", "k2")), "node-sets")
-    entries = written(shared.join(nodes.select("node"), "node", "left_semi").select("node", "n", "token", "parts", "before"), "postings")
-    fits = f"100 * least(n, n2) >= {PERCENT} * greatest(n, n2)"
-
-    pairs = entries.where("before is not null").select(F.col("node").alias("a"), F.col("before").alias("b"))
-    links = written(verify(_most_met(pairs), sets), "links")
-    groups = components(links)
-    for turn in range(ROUNDS):
-        grouped = entries.drop("before").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = grouped.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("token")
-        open_entries = written(grouped.join(mixed, "token", "left_semi"), "open-postings")
-        sizes = open_entries.groupBy("token", "component").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"))
-        left, rows = sizes.agg(F.sum((F.col("s") * F.col("s") - F.col("q")) / 2), F.sum("s")).first()
-        if not rows:
-            return _labelled(names, groups)
-        if left <= PAIRS_PER_POSTING * max(rows, 100_000) or turn == ROUNDS - 1:
-            break
-        chance = F.xxhash64("node", F.lit(turn))
-        bucket = Window.partitionBy("token", F.pmod(chance, "parts")).orderBy(F.xxhash64("node", "token", F.lit(turn)), "node")
-        step = open_entries.withColumn("b", F.lag("node").over(bucket)).withColumn("n2", F.lag("n").over(bucket)).withColumn("g2", F.lag("component").over(bucket))
-        tried = step.where(f"g2 != component and {fits}").select(F.col("node").alias("a"), "b")
-        groups = components(_joined(groups, verify(_most_met(tried), sets)))
-    one, two = open_entries.select("token", F.col("node").alias("a"), "n", "component"), open_entries.select("token", F.col("node").alias("b"), F.col("n").alias("n2"), F.col("component").alias("g2"))
-    rest = one.join(two, "token").where(f"component < g2 and {fits}").groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.min(F.least("n", "n2")).alias("least"))
-    rest = rest.where(F.col("c") >= 1 + F.floor(F.col("least") * SPARE_PERCENT / 100))
-    found = verify_dense(written(rest.select("a", "b"), "last-pairs"), sets)
-    return _labelled(names, components(_joined(groups, found)))
-
-
-def _joined(groups: DataFrame, links: DataFrame) -> DataFrame:
-    """Edges of the groups so far, each node to its component, and new links."""
-    return groups.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links)
-
-
-def _most_met(pairs: DataFrame) -> DataFrame:
-    """For each a, the b that it is paired with most often."""
-    return pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c")).groupBy("a").agg(F.max(F.struct("c", "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+    return _labelled(set_names(docs), components(similar_pairs(docs)))
 
 
 def _labelled(names: DataFrame, groups: DataFrame) -> DataFrame:

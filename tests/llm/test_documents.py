@@ -112,6 +112,30 @@ def test_families_with_chains_of_edits(spark, monkeypatch, pairs_per_posting):
     assert got == brute_components(rows)
 
 
+@pytest.mark.parametrize("bucket_members", [1000, 3])
+def test_all_pairs_inside_groups_are_verified(spark, monkeypatch, bucket_members):
+    monkeypatch.setattr(jaccard, "BUCKET_MEMBERS", bucket_members)
+    rng = np.random.default_rng(6)
+    rows = []
+    for family in range(3):
+        words = [f"f{family}w{i}" for i in range(120)]
+        for k in range(9):
+            own = list(words)  # most edits of the last word leave the prefix as it is
+            own[-1 if k % 3 else int(rng.integers(0, 120))] = f"x{rng.integers(0, 10**6)}"
+            rows.append((len(rows), " ".join(own)))
+    rows += [(100 + i, rows[0][1]) for i in range(3)] + [(200, "alone in the world it is"), (201, None)]
+    sets = [(d, shingles(t)) for d, t in rows]
+    alike = [(a, b, x, y) for a, x in sets for b, y in sets if a < b and x and 100 * len(x & y) >= 80 * len(x | y)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    first = {}
+    for d, x in sets:
+        first.setdefault(frozenset(x), d)
+    want = {(a, b) for a, b, x, y in alike if x != y and first[frozenset(x)] == a and first[frozenset(y)] == b}
+    assert sorted(tuple(r) for r in jaccard.similar_pairs(docs).collect()) == sorted(want) and len(want) > 30
+    links = Counter(d for a, b, _, _ in alike for d in (a, b))
+    assert {r.doc_id: r.n_links for r in jaccard.link_counts(docs).collect()} == {d: links[d] for d, _ in rows}
+
+
 def brute_dedup(rows):
     raw = [(t or "").encode() for _, t in rows]
     count = Counter(b[p : p + 200] for b in raw for p in range(len(b) - 199))
