@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,8 +27,7 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[list(b"#*$%&|<>")] = True
 
-_STATS = "doc_id long, host string, row_key long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
-SCHEMA = _STATS + ", lines array<struct<hash: long, words: int>>"
+SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, words_left long"
 
 
 def _block_stats(texts: list[str]):
@@ -77,50 +77,91 @@ def _block_stats(texts: list[str]):
     spread = mix64(plain + mix64(place.astype(np.uint64)))
     upto = np.concatenate([[np.uint64(0)], np.cumsum(spread, dtype=np.uint64)])
     normal = mix64(upto[first_word + words_in[full]] - upto[first_word])
-    return n_words, word_chars, n_symbols, n_dup, n_repeat, line_doc, normal.view(np.int64), words_in[full]
+    return (n_words, word_chars, n_symbols, n_dup, n_repeat), (line_doc, normal.view(np.int64), words_in[full], line_start[full], feed[full])
 
 
-def text_statistics(docs: DataFrame, host: str = "source") -> DataFrame:
-    """doc_id, host, row_key (a hash of the text), base counts and the hashed lines of every row."""
-    names = [x.split()[0] for x in _STATS.split(", ")]
+def hashed_lines(docs: DataFrame, host: str = "source") -> DataFrame:
+    """_id, _host, _key (a hash of the text) and the hash of every line with a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text"):
-            n_words, chars, symbols, dup, repeat, line_doc, line_hash, line_words = _block_stats(texts_of(block))
+            line_doc, line_hash, *_ = _block_stats(texts_of(block))[1]
             offsets = np.searchsorted(line_doc, np.arange(block.num_rows + 1))
-            lines = pa.StructArray.from_arrays([pa.array(line_hash), pa.array(line_words.astype(np.int32))], ["hash", "words"])
-            arrays = [block.column(0), block.column(1), block.column(3), *(pa.array(c.astype(np.int64)) for c in (n_words, chars, symbols, dup, repeat))]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), lines)], [*names, "lines"])
-
-    cols = [F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), F.col("text").cast("string").alias("text")]
-    return docs.select(*cols).withColumn("row_key", F.xxhash64("text")).mapInArrow(run, SCHEMA)
+            lines = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(line_hash))
+            yield pa.RecordBatch.from_arrays([block.column(0), block.column(1), block.column(2), lines], ["_id", "_host", "_key", "lines"])
+
+    rows = docs.select(*_row_names(host), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "_id long, _host string, _key long, lines array<long>").select("_id", "_host", "_key", F.explode("lines").alias("hash"))
+
+
+def _row_names(host: str) -> list:
+    text = F.col("text").cast("string")
+    return [F.col("doc_id").cast("long").alias("_id"), F.col(host).cast("string").alias("_host"), F.xxhash64(text).alias("_key")]
+
+
+def _with_frequent(docs: DataFrame, host: str, max_docs: int) -> DataFrame:
+    """docs with a column _frequent: hashes of the row's lines that more than max_docs documents of its host hold, or null."""
+    lines = hashed_lines(docs, host)
+    frequent = lines.groupBy("_host", "hash").agg(F.countDistinct("_id").alias("docs")).where(F.col("docs") > max_docs)
+    mark = lines.alias("l").join(frequent.alias("f"), F.expr("l.hash = f.hash and l._host <=> f._host"), "left_semi")
+    # rows with the same doc_id, host and text are alike, so they share their marks
+    marks = mark.groupBy("_id", "_host", "_key").agg(F.collect_set("hash").alias("_frequent"))
+    marks = marks.select(F.col("_id").alias("_id2"), F.col("_host").alias("_host2"), F.col("_key").alias("_key2"), "_frequent")
+    rows = docs.select("*", *_row_names(host))
+    return rows.join(marks, F.expr("_key = _key2 and _id <=> _id2 and _host <=> _host2"), "left").select(*docs.columns, "_frequent")
+
+
+def _cleaned(texts: list[str], marks: pa.Array, min_share: float):
+    """Base counts, base_failed, kept and words_left of each text, and the texts without their marked lines."""
+    counts, (line_doc, line_hash, line_words, start, end) = _block_stats(texts)
+    owner = np.repeat(np.arange(len(texts)), pc.fill_null(pc.list_value_length(marks), 0).to_numpy(zero_copy_only=False))
+    marked = marks.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+    drop = np.isin(mix64(line_hash.view(np.uint64) ^ mix64(line_doc.astype(np.uint64))), mix64(marked ^ mix64(owner.astype(np.uint64))))
+    n_words, n_repeat = counts[0], counts[4]
+    left = n_words - np.bincount(line_doc[drop], line_words[drop], minlength=len(texts)).astype(np.int64)
+    failed = (n_words < MIN_WORDS) | (100 * n_repeat > MAX_REPEAT_PERCENT * n_words)
+    out = list(texts)
+    data, bounds = byte_block(texts)
+    edge = np.zeros(len(data) + 1, np.int64)
+    edge[start[drop]] += 1
+    edge[end[drop] + 1] -= 1  # with the line feed
+    gone = np.cumsum(edge[:-1]) > 0
+    for k in np.unique(line_doc[drop]).tolist():
+        part = slice(bounds[k], bounds[k + 1])
+        out[k] = data[part][~gone[part]].tobytes()[:-1].decode("utf-8")
+    return counts, failed, ~failed & (left >= min_share * n_words), left, out
 
 
 def apply_rules(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS_PER_HOST, min_share: float = MIN_SHARE) -> DataFrame:
-    """One row per row of docs: the base counts, base_failed, the words left without frequent lines, and kept.
+    """One row per row of docs: the base counts, base_failed, kept, and the words left without frequent lines.
 
     Null texts have no words. A null host is a host of its own. Several rows of one
     doc_id are judged each by its own text, and count as one document for the
     frequency of a line; a null doc_id counts as no document. An empty table gives
     an empty result.
     """
-    stats = text_statistics(docs, host)
-    lines = stats.select("doc_id", "host", "row_key", F.explode("lines").alias("line")).select("doc_id", "host", "row_key", "line.hash", "line.words")
-    frequent = lines.groupBy("host", "hash").agg(F.countDistinct("doc_id").alias("docs")).where(F.col("docs") > max_docs)
-    mark = lines.alias("l").join(frequent.alias("f"), F.expr("l.hash = f.hash and l.host <=> f.host"), "left_semi")
-    # rows with the same doc_id, host and text are alike, so each brings the same loss: it is averaged over them
-    same = ["doc_id", "host", "row_key"]
-    lost = mark.groupBy(*same).agg(F.sum("words").alias("lost"))
-    copies = stats.groupBy(*same).agg(F.count(F.lit(1)).alias("copies"))
-    loss = lost.alias("x").join(copies.alias("y"), F.expr(" and ".join(f"x.{c} <=> y.{c}" for c in same)))
-    loss = loss.select(*(F.col(f"x.{c}").alias(f"k_{c}") for c in same), F.expr("x.lost div y.copies").alias("lost"))
-    joined = stats.drop("lines").join(loss, F.expr(" and ".join(f"{c} <=> k_{c}" for c in same)), "left")
-    left = F.col("n_words") - F.coalesce("lost", F.lit(0))
-    failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return joined.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-        failed.alias("base_failed"), (~failed & (left >= min_share * F.col("n_words"))).alias("kept"), left.alias("words_left"),
-    )
+    names = [x.split()[0] for x in SCHEMA.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, "text"):
+            counts, failed, kept, left, _ = _cleaned(texts_of(block), block.column(2), min_share)
+            yield pa.RecordBatch.from_arrays([block.column(0), *(pa.array(c.astype(np.int64)) for c in counts), pa.array(failed), pa.array(kept), pa.array(left.astype(np.int64))], names)
+
+    rows = _with_frequent(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(host).alias(host)), host, max_docs)
+    return rows.select("doc_id", "text", "_frequent").mapInArrow(run, SCHEMA)
+
+
+def clean(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS_PER_HOST, min_share: float = MIN_SHARE) -> DataFrame:
+    """The rows of docs that apply_rules keeps, their texts without frequent lines, all other columns as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, "text"):
+            at = block.schema.get_field_index("text")
+            _, _, kept, _, texts = _cleaned(texts_of(block), block.column(block.num_columns - 1), min_share)
+            arrays = [pa.array(texts, block.schema.field(at).type) if k == at else c for k, c in enumerate(block.columns[:-1])]
+            yield pa.RecordBatch.from_arrays(arrays, block.schema.names[:-1]).filter(pa.array(kept))
+
+    return _with_frequent(docs, host, max_docs).mapInArrow(run, docs.schema)
 
 
 #: The same in SQL, for the engine's own parameters.

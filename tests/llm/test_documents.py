@@ -61,6 +61,20 @@ def test_line_rules(spark, odd, empty):
     assert kept[0] == (False, 61) and kept[9] == (True, 61)
 
 
+def test_clean_drops_frequent_lines_from_texts(spark, odd, empty):
+    body = " ".join(f"w{i}" for i in range(60))
+    docs = [(i, f"Böiler  plate\nown{i} {body}{i}\n\n foot" + ("" if i else "\nlast"), "h", i) for i in range(6)]
+    docs += [(8, f"foot\n{body}", "other", 8), (9, f"own {body}\n" + "\n".join(["foot"] * 70), "h", 9), (10, None, "h", 10)]
+    rows = spark.createDataFrame(docs, "doc_id long, text string, source string, n long")
+    cleaned = line_rules.clean(rows, max_docs=5)
+    got = {r.doc_id: (r.text, r.n) for r in cleaned.collect()}
+    want = {i: (f"own{i} {body}{i}\n" + ("" if i else "\nlast"), i) for i in range(6)} | {8: (f"foot\n{body}", 8)}
+    assert got == want and cleaned.columns == rows.columns
+    left = {r.doc_id: r.words_left for r in line_rules.apply_rules(rows, max_docs=5).where("kept").collect()}
+    assert left == {d: len(WORD.findall(t)) for d, (t, _) in got.items()}
+    assert line_rules.clean(odd).columns == odd.columns and line_rules.clean(empty).count() == 0
+
+
 def shingles(text):
     words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return {tuple(words)} if 0 < len(words) < 5 else {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
