@@ -19,6 +19,10 @@ class Pattern:
     entropy: bool = False
     any_case: bool = False
 
+    @property
+    def spans_lines(self) -> bool:
+        return r"[\s\S]" in self.regex
+
     def java(self) -> str:
         """For Spark; \\b means a boundary of ASCII words."""
         return ("(?i)" if self.any_case else "") + self.regex.replace(r"\b", fn.B)
@@ -103,24 +107,49 @@ def context_window(lines: DataFrame) -> DataFrame:
     return lines.withColumn("before", F.lag("content").over(w)).withColumn("after", F.lead("content").over(w))
 
 
+def _line_hits(rows: DataFrame, patterns: list[Pattern]) -> DataFrame:
+    """Hits within a line: its number from 0 as first and last, the line, the hit and its column."""
+    rows = rows.select("doc_key", "source", "path", "all", F.posexplode("all").alias("pos", "content"))
+    rows = rows.where(F.col("content").rlike(r"[A-Za-z0-9+/=_.-]{16}|://|xox[bpart]-|(?i:pass|pwd|secret|token|key|auth)"))
+    hits = F.filter(F.flatten(F.array(*(_hits(F.col("content"), p) for p in patterns))), lambda h: h["value"] != "")
+    found = rows.select("doc_key", "source", "path", "all", "pos", F.col("pos").alias("last"), "content", F.explode(hits).alias("h")).select("*", "h.*").drop("h")
+    return found.withColumn("column", F.instr(F.col("content"), F.col("value")))
+
+
+def _text_hits(rows: DataFrame, patterns: list[Pattern]) -> DataFrame:
+    """Hits of patterns that span lines, in whole texts: as _line_hits, with all lines of a hit as content."""
+
+    def with_gaps(p: Pattern) -> Column:
+        return F.struct(_hits(F.col("text"), p).alias("hits"), F.split("text", p.java(), -1).alias("gaps"))
+
+    rows = rows.where(F.col("text").rlike("(?i)-----BEGIN")).select("doc_key", "source", "path", "all", "text", F.explode(F.array(*map(with_gaps, patterns))).alias("m"))
+    rows = rows.select("doc_key", "source", "path", "all", "text", "m", F.posexplode("m.hits").alias("k", "h"))
+    # a hit starts after the gaps and hits before it
+    start = F.expr("aggregate(slice(m.gaps, 1, k + 1), 0, (n, g) -> n + length(g)) + aggregate(slice(m.hits, 1, k), 0, (n, x) -> n + length(x.value))")
+    rows = rows.withColumn("ahead", F.substring("text", F.lit(1), start)).select("doc_key", "source", "path", "all", "ahead", "h.*")
+    rows = rows.withColumn("pos", F.size(F.split("ahead", "\n")) - 1).withColumn("last", F.col("pos") + F.size(F.split("value", "\n")) - 1)
+    content = F.array_join(F.slice("all", F.col("pos") + 1, F.col("last") - F.col("pos") + 1), "\n")
+    return rows.withColumn("content", content).withColumn("column", F.length(F.substring_index("ahead", "\n", -1)) + 1).drop("ahead")
+
+
 def scan(docs: DataFrame, patterns: PatternSet = PatternSet(), most_bytes: int = 1 << 20) -> DataFrame:
-    """Findings of every pattern in the lines of documents that pass the path and size rules.
+    """Findings of every pattern in documents that pass the path and size rules.
 
-    One projection matches all patterns on the lines that a cheap test lets through;
+    One projection matches the patterns of single lines on those that a cheap test lets
+    through, another those that span lines on whole texts that hold a block's head;
     neighbouring lines come from the document's own array of lines, so nothing is shuffled.
     """
-    rows = docs.where(~ignored(F.col("path")) & should_scan(F.col("path")) & size_gate(F.col("text"), most_bytes)).select("doc_key", "source", "path", F.split("text", "\n").alias("all"))
-    rows = rows.select("doc_key", "source", "path", "all", F.posexplode("all").alias("pos", "content"))
-    rows = rows.where(F.col("content").rlike(r"[A-Za-z0-9+/=_.-]{16}|://|(?i:pass|pwd|secret|token|key|auth)"))
-    hits = F.filter(F.flatten(F.array(*(_hits(F.col("content"), p) for p in patterns.patterns))), lambda h: h["value"] != "")
-    found = rows.select("doc_key", "source", "path", "all", "pos", "content", F.explode(hits).alias("h")).select("*", "h.*").drop("h")
+    rows = docs.where(~ignored(F.col("path")) & should_scan(F.col("path")) & size_gate(F.col("text"), most_bytes)).select("doc_key", "source", "path", "text", F.split("text", "\n").alias("all"))
+    wide = [p for p in patterns.patterns if p.spans_lines]
+    narrow = [p for p in patterns.patterns if not p.spans_lines]
+    parts = ([_line_hits(rows, narrow)] if narrow or not wide else []) + ([_text_hits(rows, wide)] if wide else [])
+    found = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     entropy = fn.shannon_entropy(F.col("value"))
     found = found.withColumn("entropy", entropy).where(~F.col("checked") | fn.is_likely_secret(F.col("value"), F.col("entropy")))
     before = F.when(F.col("pos") > 0, F.concat(F.lit("... "), F.trim(F.try_element_at("all", F.col("pos"))), F.lit("\n"))).otherwise("")
-    after = F.when(F.col("pos") + 1 < F.size("all"), F.concat(F.lit("\n"), F.trim(F.try_element_at("all", F.col("pos") + 2)), F.lit(" ..."))).otherwise("")
-    column = F.instr(F.col("content"), F.col("value"))
-    marked = F.concat(F.expr("left(content, instr(content, value) - 1)"), F.lit("[SECRET]"), F.expr("substring(content, instr(content, value))"))
-    found = found.withColumn("column", column).withColumn("context", F.concat(before, marked, after))
+    after = F.when(F.col("last") + 1 < F.size("all"), F.concat(F.lit("\n"), F.trim(F.try_element_at("all", F.col("last") + 2)), F.lit(" ..."))).otherwise("")
+    marked = F.concat(F.expr("left(content, `column` - 1)"), F.lit("[SECRET]"), F.expr("substring(content, `column`)"))
+    found = found.withColumn("context", F.concat(before, marked, after))
     confidence = F.round(fn.context_confidence(F.col("context"), F.col("value")), 6)
     return found.select("doc_key", "source", "path", (F.col("pos") + 1).alias("line"), "column", "type", "value", "priority", confidence.alias("confidence"), fn.risk_level(confidence).alias("risk"))
 

@@ -60,6 +60,13 @@ def test_word_boundaries_are_ascii_and_pem_needs_a_word_before(spark):
     assert one(spark, F.size(detection.matches(F.col("v"), pem)), v="x" + block + "y") == 1
 
 
+def test_scan_finds_blocks_over_lines_and_short_slack_tokens(spark):
+    block = "-----BEGIN RSA PRIVATE KEY-----\nab\ncd\n-----END RSA PRIVATE KEY-----"
+    docs = spark.createDataFrame([("k", "s", "a/b.py", f"one\nx{block}y\n{block}\n z{block}y\nend"), ("t", "s", "a/c.py", "xoxb-1-2-a")], "doc_key string, source string, path string, text string")
+    found = sorted((r.doc_key, r.line, r.column, r.type) for r in detection.scan(docs).collect() if r.type.startswith(("SSH", "Slack")))
+    assert found == [("k", 2, 2, "SSH RSA Private Key"), ("k", 10, 3, "SSH RSA Private Key"), ("t", 1, 1, "Slack API Token")]
+
+
 def test_entropy(spark):
     assert abs(one(spark, secrets.shannon_entropy(F.col("v")), v="abcdABCD1234") - 3.58496) < 1e-4
     assert one(spark, secrets.shannon_entropy(F.col("v")), v="") == 0
