@@ -60,7 +60,7 @@ def stream_change_data(s, d):
 @query("stream_incremental_rescan")
 def stream_incremental_rescan(s, d):
     saves = history_from_events(streams.event_stream(s, d).drop("timestamp"))
-    return streams.drain(streams.fresh_content(saves).select("id", "content_hash"), shared_folder(s, "rescan"))
+    return streams.fresh_content(saves, shared_folder(s, "rescan")).select("id", "content_hash")
 
 
 @query("stream_branch_changes", """with b as (select 'ws_' || (user_id % 10) as workspace, event_type as branch, ts from events), s as (select *, lead(ts) over (partition by workspace order by ts) - ts as stay from b),

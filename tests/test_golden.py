@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from kvtrail.functions import kv, secrets
 from kvtrail.operators import crypto, detection, diff, filters, history, validation, variables
+from kvtrail.streaming import streams
 
 
 def one(spark, column, **values):
@@ -67,6 +68,18 @@ def test_scan_finds_blocks_over_lines_and_short_slack_tokens(spark):
     assert found == [("k", 2, 2, "SSH RSA Private Key"), ("k", 10, 3, "SSH RSA Private Key"), ("t", 1, 1, "Slack API Token")]
 
 
+@pytest.mark.parametrize("order", [(0, 1, 2, 3, 4, 5), (5, 2, 0, 3, 1, 4)])
+def test_rescan_does_not_depend_on_the_order_of_files(spark, tmp_path, order):
+    saves = [("09 00:00", "a"), ("01 00:00", "b"), ("05 00:00", "a"), ("02 00:00", "c"), ("05 00:04", "a"), ("05 00:09", "a")]
+    for at in order:
+        row = spark.createDataFrame([(str(at), f"2024-01-{saves[at][0]}:00", saves[at][1])], "id string, timestamp string, fileContent string")
+        row.withColumn("timestamp", F.col("timestamp").cast("timestamp")).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema("id string, timestamp timestamp, fileContent string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    found = streams.fresh_content(stream, f"{tmp_path}/out").select("content_hash", "slot").collect()
+    batch = spark.read.parquet(f"{tmp_path}/in").select(secrets.checksum(F.col("fileContent")).alias("h"), F.expr("unix_micros(timestamp) div 300000000").alias("s")).distinct().collect()
+    assert sorted(map(tuple, found)) == sorted(map(tuple, batch)) and len(found) == 5
+
+
 def test_entropy(spark):
     assert abs(one(spark, secrets.shannon_entropy(F.col("v")), v="abcdABCD1234") - 3.58496) < 1e-4
     assert one(spark, secrets.shannon_entropy(F.col("v")), v="") == 0
