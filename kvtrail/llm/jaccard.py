@@ -1,16 +1,22 @@
 """Near-duplicate documents: a grouped prefix join on word shingles with an exact Jaccard test.
 
-Documents with equal shingle sets are one node from the start, represented by the
-smallest doc_id. A set's elements have one global order: frequent ones last,
-else by hash. Two sets that are similar enough share at least k elements among
-the first n - ceil(0.8 n) + k of each, so only those prefixes are joined.
-
-Nodes of one size whose prefixes are identical form a group. Groups, not nodes, are
-joined on the elements of their prefixes; two groups that share k elements and fit
-in size are expanded into the pairs of their members, as is each group with itself,
-and every pair is verified on whole sets. So similar_pairs has all links, and the
-components follow from them. An element or a group with very many members is split:
-its members are dealt into parts, and every two parts meet in a cell of their own.
+Documents with equal shingle sets are one node, represented by the smallest doc_id.
+A set's elements have one global order: frequent ones last, else by hash. Two sets
+that are similar enough share at least k elements among the first n - ceil(0.8 n) + k
+of each, so only those prefixes are joined.
+
+* Nodes of one size whose prefixes are identical form a group; postings are those of
+  groups. Elements that only one group holds are dropped before anything is joined.
+* Every group belongs to the family of its most common element. A group that shares
+  enough elements with a family's prefixes meets that family; a pair of families
+  that do not meet has no link.
+* Families are dealt into blocks of bounded size. Two blocks whose families meet are
+  a cell: the whole sets of the members travel there once, and every two of them are
+  compared exactly. A cell gives back each member's number of links and the smallest
+  node that its links reach, so pairs are verified but never become rows.
+
+A family with very many members has many blocks, and every two of them a cell of
+their own, so no task holds more than two blocks, however common an element is.
 """
 
 from __future__ import annotations
@@ -23,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kvtrail.llm.components import components
-from kvtrail.llm.storage import written
+from kvtrail.llm.storage import discard, fresh, written
 from kvtrail.llm.text import blocks, byte_block, mix64, span_hashes, texts_of, word_spans
 
 WORDS = 5
@@ -31,15 +37,16 @@ WORDS = 5
 PERCENT = 80
 #: Share of a set, in percent, by which prefixes are longer than they must be.
 SPARE_PERCENT = 5
-#: Entries of the table of frequent shingles, at most; members of a bucket before it is split.
-FREQUENT_ENTRIES, BUCKET_MEMBERS = 250_000, 1000
-#: Not read any more (a test still sets them): all pairs are verified in one round.
-PAIRS_PER_POSTING, ROUNDS = 30, 5
-#: Nodes of a cell in which many pairs are verified, on average.
-CELL_NODES = 128
-_BLOOM_WORDS = 1 << 18
-#: Bytes of text that a task has in hand at once.
-_BLOCK_BYTES = 1_900_000
+#: Entries of the table of frequent shingles, at most; documents that hold a frequent shingle, at least.
+FREQUENT_ENTRIES, FREQUENT_DOCS = 250_000, 50
+#: Members of a posting list before it is split.
+BUCKET_MEMBERS = 1000
+#: Members of a block and shingles of all its sets, on average; a cell holds two blocks.
+CELL_NODES, CELL_SHINGLES = 256, 1 << 20
+#: 64-bit words of the filter of wanted nodes: one for every four nodes, within these bounds (at most 32 MiB).
+_FILTER_WORDS = (1 << 12, 1 << 22)
+#: Bytes of text that a task has in hand at once; numbers of a dense table in a cell.
+_BLOCK_BYTES, _DENSE = 1_900_000, 1 << 22
 
 
 def shingle_sets(texts: list[str], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -55,9 +62,9 @@ def shingle_sets(texts: list[str], words: int = WORDS) -> tuple[np.ndarray, np.n
     mixed = np.zeros(n, np.uint64)
     for k in range(words):  # a shorter text gets one shingle of all its words
         part = np.zeros(n, np.uint64)
-        part[: n - k] = hashes[k:]
+        part[: max(0, n - k)] = hashes[k:]
         inside = np.zeros(n, bool)
-        inside[: n - k] = doc[k:] == doc[: n - k]
+        inside[: max(0, n - k)] = doc[k:] == doc[: max(0, n - k)]
         mixed += np.where(inside, mix64(part + np.uint64(k + 1)), np.uint64(0))
     whole = np.zeros(n, bool)
     whole[: max(0, n - words + 1)] = doc[words - 1 :] == doc[: max(0, n - words + 1)]
@@ -83,7 +90,7 @@ def frequent_shingles(docs: DataFrame, words: int = WORDS) -> tuple[np.ndarray,
     Every block of every task counts its documents; what three or more of a block
     hold is summed up. The least count that is kept follows the number of all
     shingles, so that the table has FREQUENT_ENTRIES entries at most. The counts
-    only set an order: results don't depend on them.
+    only set an order and split long lists: results don't depend on them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,8 +103,9 @@ def frequent_shingles(docs: DataFrame, words: int = WORDS) -> tuple[np.ndarray,
 
     counted = written(_two(docs).mapInArrow(run, "h long, n long, total long"), "shingle-counts")
     total = counted.agg(F.sum("total")).first()[0] or 0
-    least = max(BUCKET_MEMBERS // 2, -(-total // FREQUENT_ENTRIES))
+    least = max(FREQUENT_DOCS, -(-total // FREQUENT_ENTRIES))
     rows = counted.groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least).toArrow()  # bounded by the choice of `least`
+    discard(counted)
     key, n = rows.column(0).to_numpy().view(np.uint64), rows.column(1).to_numpy()
     order = np.argsort(key)
     return key[order], n[order]
@@ -108,6 +116,11 @@ def _required(n: np.ndarray) -> np.ndarray:
     return 1 + n * SPARE_PERCENT // 100
 
 
+def _enough(count: str, n: str) -> str:
+    """SQL: as many shared elements as any link of a set of n needs, whose partner may be smaller than it."""
+    return f"{count} >= 1 + ({n} * {PERCENT * SPARE_PERCENT}) div 10000"
+
+
 def _prefix_lengths(n: np.ndarray) -> np.ndarray:
     return np.minimum(n, n - -(-n * PERCENT // 100) + _required(n))
 
@@ -119,200 +132,227 @@ def _set_keys(key: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return (one[bounds[1:]] - one[bounds[:-1]]).view(np.int64), (two[bounds[1:]] - two[bounds[:-1]]).view(np.int64)
 
 
-def set_names(docs: DataFrame) -> DataFrame:
-    """doc_id, n, k1, k2 of every row: the size of its set and two hashes that name the set."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, "text", _BLOCK_BYTES):
-            key, bounds = shingle_sets(texts_of(block))
-            yield pa.RecordBatch.from_arrays([block.column(0), pa.array(np.diff(bounds)), *map(pa.array, _set_keys(key, bounds))], ["doc_id", "n", "k1", "k2"])
-
-    return _two(docs).mapInArrow(run, "doc_id long, n long, k1 long, k2 long")
-
-
 def prefixes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """doc_id, n, k1, k2, prefix array<struct<token, parts>> of rows with a set; parts: into how many a bucket is split."""
+    """doc_id, n, the set's name (k1, k2), the prefix's name (g1, g2), tokens and parts of every row.
+
+    tokens: the prefix in order; parts: into how many each token's list is split, null if none is.
+    """
     table = docs.sparkSession.sparkContext.broadcast(frequent)
+    names = ["doc_id", "n", "k1", "k2", "g1", "g2", "tokens", "parts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, times = table.value
         for block in blocks(batches, "text", _BLOCK_BYTES):
             key, bounds = shingle_sets(texts_of(block))
-            owner = np.repeat(np.arange(block.num_rows), np.diff(bounds))
+            n = np.diff(bounds)
+            owner = np.repeat(np.arange(block.num_rows), n)
             often = np.zeros(len(key), np.int64)
             if len(hot):
                 at = np.minimum(np.searchsorted(hot, key), len(hot) - 1)
                 often = np.where(hot[at] == key, times[at], 0)
             order = np.lexsort((key, often, owner))
-            n = np.diff(bounds)
             rank = np.arange(len(key)) - np.repeat(bounds[:-1], n)
             keep = order[rank < np.repeat(_prefix_lengths(n), n)]
             offsets = np.concatenate([[0], np.cumsum(_prefix_lengths(n))])
-            tokens = pa.StructArray.from_arrays([pa.array(key[keep].view(np.int64)), pa.array((1 + often[keep] // BUCKET_MEMBERS).astype(np.int32))], ["token", "parts"])
-            lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), tokens)
-            batch = pa.RecordBatch.from_arrays([block.column(0), pa.array(n), *map(pa.array, _set_keys(key, bounds)), lists], ["doc_id", "n", "k1", "k2", "prefix"])
-            yield batch.filter(pa.array(n > 0))
+            tokens, parts = key[keep], 1 + often[keep] // BUCKET_MEMBERS
+            split = np.add.reduceat(np.append(parts > 1, False), offsets[:-1]) * (np.diff(offsets) > 0) > 0
+            at = pa.array(offsets.astype(np.int32))
+            lists = pa.ListArray.from_arrays(at, pa.array(tokens.view(np.int64)))
+            whole = pa.ListArray.from_arrays(at, pa.array(parts.astype(np.int32)), mask=pa.array(~split))
+            columns = [*map(pa.array, _set_keys(key, bounds)), *map(pa.array, _set_keys(tokens, offsets))]
+            yield pa.RecordBatch.from_arrays([block.column(0), pa.array(n), *columns, lists, whole], names)
 
-    return _two(docs).mapInArrow(run, "doc_id long, n long, k1 long, k2 long, prefix array<struct<token: long, parts: int>>")
+    return _two(docs).mapInArrow(run, "doc_id long, n long, k1 long, k2 long, g1 long, g2 long, tokens array<long>, parts array<int>")
 
 
 def _wanted(nodes: DataFrame) -> np.ndarray:
-    """A filter of fixed size (2 MiB) that holds all nodes, and perhaps more."""
-    bit = F.pmod(F.xxhash64("node"), F.lit(_BLOOM_WORDS * 64))
-    bits = nodes.select(bit.alias("bit"))
+    """A bounded filter that holds all nodes, and perhaps more."""
+    low, high = _FILTER_WORDS
+    size = 1 << int(np.clip(nodes.count() // 4, low, high) - 1).bit_length()
+    bits = nodes.select(F.pmod(F.xxhash64("node"), F.lit(size * 64)).alias("bit"))
     words = bits.select(F.expr("bit div 64").alias("w"), F.expr("shiftleft(1L, cast(bit % 64 as int))").alias("b"))
     rows = words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    out = np.zeros(_BLOOM_WORDS, np.int64)
+    out = np.zeros(size, np.int64)
     out[rows.column(0).to_numpy()] = rows.column(1).to_numpy()
     return out.view(np.uint64)
 
 
 def node_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, members: whole sets (six bytes an element) of the nodes, read from their documents."""
-    table = docs.sparkSession.sparkContext.broadcast(_wanted(nodes))
+    """node, k1, k2, members: whole sets (eight bytes an element) of the nodes, read from their documents."""
+    wanted = _wanted(nodes)
+    table = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = table.value
         for batch in batches:
             bit = batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64)
-            held = (wanted[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1)
+            held = (table.value[bit >> 6] >> (bit & 63).astype(np.uint64)) & np.uint64(1)
             for block in blocks([batch.filter(pa.array(held == 1))], "text", _BLOCK_BYTES):
                 key, bounds = shingle_sets(texts_of(block))
-                short, b = (key >> np.uint64(16)).astype("<u8"), bounds.tolist()
-                raw = short.view(np.uint8).reshape(-1, 8)[:, :6]
-                sets = [raw[x:y].tobytes() for x, y in zip(b[:-1], b[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([block.column(0), *map(pa.array, _set_keys(key, bounds)), pa.array(sets, pa.binary())], ["doc_id", "k1", "k2", "members"])
-
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(_BLOOM_WORDS * 64)).alias("bit")
-    found = _two(docs).where("doc_id is not null").select("doc_id", "text", bit).mapInArrow(run, "doc_id long, k1 long, k2 long, members binary")
-    return found.join(nodes, (found.doc_id == nodes.node) & (found.k1 == nodes.k1) & (found.k2 == nodes.k2)).groupBy("node").agg(F.min("members").alias("members"))
-
-
-def _unpacked(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
-    return out.view("<u8")[:, 0]
-
-
-def _similar(x: np.ndarray, y: np.ndarray) -> bool:
-    both = np.sort(np.concatenate([x, y]))
-    common = int((both[1:] == both[:-1]).sum())
-    return 100 * common >= PERCENT * (len(x) + len(y) - common)
+                raw, b = key.tobytes(), (8 * bounds).tolist()
+                sets = [raw[x:y] for x, y in zip(b[:-1], b[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([block.column(0), *map(pa.array, _set_keys(key, bounds)), pa.array(sets, pa.binary())], ["node", "k1", "k2", "members"])
+
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(len(wanted) * 64)).alias("bit")
+    found = _two(docs).where("doc_id is not null").select("doc_id", "text", bit).mapInArrow(run, "node long, k1 long, k2 long, members binary")
+    return found.join(nodes.select("node", "k1", "k2"), ["node", "k1", "k2"], "left_semi").dropDuplicates(["node", "k1", "k2"])
+
+
+def linked(sets: list[np.ndarray], side: np.ndarray) -> np.ndarray:
+    """Whether each two of the sets are similar; side: 0 and 1 for the blocks, of which only members of different ones
+    are compared, or all 0, where all are."""
+    size = np.array([len(x) for x in sets], np.int64)
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    start = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
+    held = np.diff(np.r_[start, len(flat)])
+    column = np.repeat(np.where(held > 1, np.cumsum(held > 1) - 1, -1), held)
+    owner, column = owner[column >= 0], column[column >= 0]
+    one = np.flatnonzero(side == 0)
+    two = np.flatnonzero(side == 1) if (side == 1).any() else one
+    common = np.zeros((len(one), len(two)), np.int64)
+    step = max(1, _DENSE // len(sets))
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, step):
+        a, b = np.searchsorted(column, [low, low + step])
+        table = np.zeros((len(sets), min(step, int(column[b - 1]) - low + 1)), np.float32)
+        table[owner[a:b], column[a:b] - low] = 1
+        common += (table[one] @ table[two].T).astype(np.int64)
+    out = np.zeros((len(sets), len(sets)), bool)
+    out[np.ix_(one, two)] = 100 * common >= PERCENT * (size[one][:, None] + size[two][None, :] - common)
+    out |= out.T
+    np.fill_diagonal(out, False)
+    return out
+
+
+def _reached(node: np.ndarray, link: np.ndarray) -> np.ndarray:
+    """The smallest node that each one reaches over the links."""
+    least = node.copy()
+    while True:
+        now = np.minimum(least, np.where(link, least[None, :], np.iinfo(np.int64).max).min(axis=1))
+        if (now == least).all():
+            return least
+        least = now
+
+
+class Join:
+    """Tables of one join over docs (doc_id, text): `names` of all rows, `members` (nodes that may have links), `cells`, and
+    `met`, the links of each cell's members, or with `pairs` each link."""
+
+    def __init__(self, docs: DataFrame, pairs: bool = False) -> None:
+        docs = docs.where("doc_id is not null")
+        rows = written(prefixes(docs, frequent_shingles(docs)), "prefixes")
+        self.names = written(rows.select("doc_id", "n", "k1", "k2", "g1", "g2"), "set-names")
+        groups = rows.where("n > 0").groupBy("n", "g1", "g2").agg(F.min(F.struct("doc_id", "tokens", "parts")).alias("x"))
+        listed = groups.select(F.col("x.doc_id").alias("g"), "n", "g1", "g2", F.col("x.parts").alias("all"), F.posexplode("x.tokens").alias("at", "token"))
+        parts = F.coalesce(F.element_at("all", F.col("at") + 1), F.lit(1))
+        postings = listed.select("g", "n", "g1", "g2", "token", parts.alias("parts")).withColumn("part", F.pmod(F.xxhash64("g"), "parts"))
+        held = F.count(F.lit(1)).over(Window.partitionBy("token", "part"))
+        # elements of more than one group; a split list is taken to be shared
+        shared = postings.withColumn("held", held).where("held > 1 or parts > 1").select("g", "n", "g1", "g2", "token", (F.col("held") * F.col("parts")).alias("heat"))
+        shared = written(shared, "shared-postings")
+        discard(rows)
+        group = ["g", "n", "g1", "g2"]
+        most = shared.groupBy(*group).agg(F.count(F.lit(1)).alias("c"), F.max(F.struct("heat", "token")).alias("x"))
+        possible = most.where(_enough("c", "n")).select(*group, F.col("x.token").alias("family"))
+        postings = written(shared.join(possible, group), "joined-postings")
+        discard(shared)
+        near = self._meetings(postings)
+        nodes = self.names.where("n > 0").groupBy("n", "k1", "k2", "g1", "g2").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"))
+        members = nodes.join(postings.select(*group, "family").distinct(), ["n", "g1", "g2"])
+        self.members = written(members.select("g", "g1", "g2", "family", "node", "n", "k1", "k2", "copies"), "members")
+        self.cells = written(self._cells(near), "cells")
+        discard(postings)
+        sets = written(node_sets(docs, self.cells.select("node", "k1", "k2").distinct()), "node-sets")
+        self.met = written(self._verified(sets, pairs), "links")
+        discard(sets)
+
+    @staticmethod
+    def _meetings(postings: DataFrame) -> DataFrame:
+        """g, n, g1, g2, other: the families, its own among them, whose prefixes share enough elements with a group's."""
+        group = ["g", "n", "g1", "g2"]
+        families = postings.select("token", F.col("family").alias("other")).distinct()
+        joined = postings.join(families, (postings.token == families.token) & (postings.family != families.other))
+        met = joined.groupBy(*group, "other").agg(F.count(F.lit(1)).alias("c")).where(_enough("c", "n")).select(*group, "other")
+        return met.union(postings.select(*group, F.col("family").alias("other")).distinct())
+
+    def _cells(self, near: DataFrame) -> DataFrame:
+        """x, y, side, node, k1, k2, copies: which members meet in the cell of blocks x and y, side 0 being those of x."""
+        sizes = self.members.groupBy("family").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
+        blocks_of = sizes.select("family", F.greatest(F.ceil(F.col("c") / CELL_NODES), F.ceil(F.col("s") / CELL_SHINGLES)).cast("int").alias("m"))
+        own = self.members.join(blocks_of, "family").withColumn("p", F.xxhash64("family", F.pmod(F.xxhash64("node", "k1", F.lit(7)), "m")))
+        others = blocks_of.select(F.col("family").alias("other"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("turn"))
+        others = others.select("other", F.xxhash64("other", F.col("turn").cast("long")).alias("q"))
+        met = own.join(near, ["g", "n", "g1", "g2"]).join(others, "other")
+        side = (F.col("p") > F.col("q")).cast("int").alias("side")
+        entries = met.select(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y"), side, "node", "k1", "k2", "copies")
+        both = entries.groupBy("x", "y").agg(F.count(F.lit(1)).alias("c"), F.sum("side").alias("c1"))
+        return entries.join(both.where("if(x = y, c > 1, c1 > 0 and c1 < c)").select("x", "y"), ["x", "y"], "left_semi")
+
+    def _verified(self, sets: DataFrame, pairs: bool) -> DataFrame:
+        """node, k1, k2, links, root: each cell's members with links, by their copies, and the smallest node that they reach.
+        With pairs: a, b of each link."""
+        rows = self.cells.join(sets, ["node", "k1", "k2"]).select("x", "y", "side", "node", "k1", "k2", "copies", "members")
+        names = ["a", "b"] if pairs else ["node", "k1", "k2", "links", "root"]
+
+        def settled(held: list[tuple]) -> list[np.ndarray]:
+            side, node, k1, k2, copies = (np.array(c, np.int64) for c in list(zip(*held, strict=True))[2:7])
+            link = linked([np.frombuffer(r[7], np.uint64) for r in held], side)
+            if pairs:
+                a, b = (node[x] for x in np.nonzero(np.triu(link)))
+                return [np.minimum(a, b), np.maximum(a, b)]
+            root, some = _reached(node, link), link.any(axis=1)
+            return [c[some] for c in (node, k1, k2, link @ copies, root)]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[tuple] = []
+            for batch in batches:
+                for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if held and row[:2] != held[0][:2]:
+                        yield pa.RecordBatch.from_arrays(list(map(pa.array, settled(held))), names)
+                        held = []
+                    held.append(row)
+            if held:
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, settled(held))), names)
+
+        return rows.repartition("x", "y").sortWithinPartitions("x", "y").mapInArrow(run, ", ".join(f"{x} long" for x in names))
+
+    def classes(self) -> DataFrame:
+        """n, k1, k2, component_id, n_links of every distinct set."""
+        groups = components(self.met.where("node != root").select(F.col("node").alias("a"), F.col("root").alias("b")))
+        links = self.met.groupBy("k1", "k2").agg(F.sum("links").alias("links"))
+        own = self.names.where("n > 0").groupBy("n", "k1", "k2").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"))
+        own = own.join(groups, "node", "left").join(links, ["k1", "k2"], "left")
+        n_links = F.col("copies") - 1 + F.coalesce("links", F.lit(0))
+        return own.select("n", "k1", "k2", F.coalesce("component", "node").alias("component_id"), n_links.alias("n_links"))
 
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets reach the similarity. A set travels once for each pair of cells, not once for each pair.
-
-    A cell holds nodes with the same smallest partner, split by a hash so that it has
-    about CELL_NODES of them; pairs meet in the pair of cells of their ends.
-    """
-    both = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    lowest = both.groupBy("a").agg(F.least("a", F.min("b")).alias("f"))
-    parts = lowest.groupBy("f").agg(F.ceil(F.count(F.lit(1)) / CELL_NODES).alias("parts"))
-    cells = lowest.join(parts, "f").select(F.col("a").alias("node"), F.xxhash64("f", F.pmod(F.xxhash64("a"), "parts")).alias("cell"))
-    ca, cb = cells.select(F.col("node").alias("a"), F.col("cell").alias("x")), cells.select(F.col("node").alias("b"), F.col("cell").alias("y"))
-    met = written(pairs.select("a", "b").join(ca, "a").join(cb, "b").select(F.xxhash64(F.least("x", "y"), F.greatest("x", "y")).alias("key"), "a", "b"), "cell-pairs")
-    ends = met.select("key", F.col("a").alias("node")).union(met.select("key", F.col("b").alias("node"))).distinct()
-    shipped = ends.join(sets, "node").select("key", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "members")
-    rows = shipped.unionByName(met.withColumn("members", F.lit(None).cast("binary")))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, {}
-        for batch in batches:
-            out = []
-            for k, a, b, members in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if k != key:
-                    key, held = k, {}
-                if b is None:
-                    held[a] = _unpacked(members)
-                elif _similar(held[a], held[b]):
-                    out.append((a, b))
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
-
-    # within a key the sets come first: their b is null
-    return rows.repartition("key").sortWithinPartitions("key", F.asc_nulls_first("b")).mapInArrow(run, "a long, b long")
-
-
-def _met(entries: DataFrame, key: str, kept: list[str]) -> DataFrame:
-    """Every two entries (node, parts, kept) of a key once, the smaller node first: a, b, and the kept columns with 1 and 2.
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links of every row: how many other rows are similar to it.
 
-    A key of several parts has a cell for every two of them, so that no cell holds more than two parts.
+    A text without words (or null) has no shingles, is a component of its own and has
+    no links; one of fewer words than a shingle has is one shingle. Rows with equal
+    sets are linked. Rows that share a doc_id are judged each by its own text, and
+    meet in one component if they stand for their sets. A null doc_id takes no part.
+    Empty tables give no rows.
     """
-    dealt = entries.withColumn("p", F.pmod(F.xxhash64("node", F.lit(1)), "parts")).withColumn("q", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select(key, F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y"), "p", "node", *kept)
-    one = dealt.select(key, "x", "y", F.col("node").alias("a"), F.col("p").alias("p1"), *(F.col(c).alias(f"{c}1") for c in kept))
-    two = dealt.select(key, "x", "y", F.col("node").alias("b"), F.col("p").alias("p2"), *(F.col(c).alias(f"{c}2") for c in kept))
-    return one.join(two, [key, "x", "y"]).where("a < b and (x = y or p1 != p2)")
-
-
-def node_prefixes(docs: DataFrame) -> DataFrame:
-    """node, n, k1, k2, prefix, g1, g2 of each distinct set; n, g1 and g2 name its group."""
-    found = prefixes(docs, frequent_shingles(docs)).groupBy("k1", "k2", "n").agg(F.min(F.struct("doc_id", "prefix")).alias("x"))
-    tokens = F.col("x.prefix.token")
-    return found.select(F.col("x.doc_id").alias("node"), "n", "k1", "k2", "x.prefix", F.xxhash64(tokens).alias("g1"), F.xxhash64(F.lit(1), tokens).alias("g2"))
+    join = Join(docs)
+    with_set = join.names.where("n > 0").join(join.classes(), ["n", "k1", "k2"])
+    with_set = with_set.select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
+    bare = join.names.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+    return with_set.unionByName(bare)
 
 
 def similar_pairs(docs: DataFrame) -> DataFrame:
-    """a, b: every two different sets that reach the similarity, each named by its smallest doc_id, a < b.
+    """a, b: every two different sets that reach the similarity, each named by its smallest doc_id, a <= b.
 
-    Rows with equal sets are the same node; set_names tells which rows those are.
+    Pairs grow with the square of a family of near copies; near_duplicates counts the same links without listing them.
     """
-    docs = docs.where("doc_id is not null")
-    nodes = written(node_prefixes(docs), "nodes")
-    groups = nodes.groupBy("n", "g1", "g2").agg(F.min(F.struct("node", "prefix")).alias("x"), F.count(F.lit(1)).alias("size"))
-    groups = written(groups.select(F.col("x.node").alias("g"), "n", "g1", "g2", "size", "x.prefix"), "groups")
-    postings = groups.select(F.col("g").alias("node"), "n", F.explode("prefix").alias("p")).select("node", "n", "p.token", "p.parts")
-    held = Window.partitionBy("token", "part").orderBy("node")
-    part = F.when(F.col("parts") > 1, F.pmod(F.xxhash64("node"), "parts")).otherwise(F.lit(0))
-    # a bucket's members that have a neighbour; a split bucket is taken to be shared
-    near = postings.withColumn("part", part).withColumn("before", F.lag("node").over(held)).withColumn("after", F.lead("node").over(held))
-    shared = written(near.where("before is not null or after is not null or parts > 1").select("node", "n", "token", "parts"), "shared-postings")
-    possible = shared.groupBy("node", "n").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= 1 + F.floor(F.col("n") * SPARE_PERCENT / 100)).select("node")
-    fits = f"100 * least(n1, n2) >= {PERCENT} * greatest(n1, n2)"
-    joined = _met(shared.join(possible, "node", "left_semi"), "token", ["n"]).where(fits)
-    joined = joined.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.min(F.least("n1", "n2")).alias("least"))
-    joined = written(joined.where(F.col("c") >= 1 + F.floor(F.col("least") * SPARE_PERCENT / 100)).select(F.col("a").alias("ga"), F.col("b").alias("gb")), "group-pairs")
-
-    members = written(nodes.join(groups.select("g", "n", "g1", "g2", "size"), ["n", "g1", "g2"]).select("g", "node", "size", "k1", "k2"), "members")
-    inside = members.where("size > 1").select("g", "node", (1 + F.expr(f"size div {BUCKET_MEMBERS}")).cast("int").alias("parts"))
-    across = joined.join(members.select(F.col("g").alias("ga"), F.col("node").alias("a")), "ga").join(members.select(F.col("g").alias("gb"), F.col("node").alias("b")), "gb")
-    pairs = written(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).union(_met(inside, "g", []).select("a", "b")), "candidate-pairs")
-    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = written(members.join(ends, "node", "left_semi").select("node", "k1", "k2"), "paired-nodes")
-    return verify(pairs, written(node_sets(docs, wanted), "node-sets"))
+    return Join(docs, pairs=True).met
 
 
 def link_counts(docs: DataFrame) -> DataFrame:
     """doc_id, n_links of every row with a doc_id: how many other rows are similar to it, rows with an equal set among them."""
-    docs = docs.where("doc_id is not null")
-    names = set_names(docs)
-    sets = written(names.where("n > 0").groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies")), "sets")
-    pairs = written(similar_pairs(docs), "links")
-    both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    others = both.join(sets.select(F.col("node").alias("b"), "copies"), "b").groupBy(F.col("a").alias("node")).agg(F.sum("copies").alias("others"))
-    counted = sets.join(others, "node", "left").select("k1", "k2", "n", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
-    return names.join(counted, ["k1", "k2", "n"], "left").select("doc_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-
-
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row.
-
-    A text without words (or null) has no shingles and is a component of its own; one
-    of fewer words than a shingle has is one shingle. Rows with equal sets are linked.
-    Rows that share a doc_id are judged each by its own text, and meet in one component
-    if they stand for their sets. A null doc_id takes no part. Empty tables give no rows.
-    """
-    docs = docs.where("doc_id is not null")
-    return _labelled(set_names(docs), components(similar_pairs(docs)))
-
-
-def _labelled(names: DataFrame, groups: DataFrame) -> DataFrame:
-    own = names.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("node"))
-    own = own.join(groups, "node", "left").select("k1", "k2", "n", F.coalesce("component", "node").alias("component"))
-    with_set = names.where("n > 0").join(own.where("n > 0"), ["k1", "k2", "n"])
-    return with_set.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id")).unionByName(
-        names.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    )
+    return near_duplicates(docs).select("doc_id", "n_links")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -320,9 +360,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Of repeated rows (same doc_id and text) one stays. Rows without a doc_id stay.
     """
-    kept = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_root")).distinct()
-    found = docs.join(kept, F.col("doc_id").cast("long") == F.col("_root"), "left_semi")
-    once = found.withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).drop("_text")
+    root, text = fresh(docs, "root"), fresh(docs, "text")
+    kept = near_duplicates(docs.select("doc_id", "text")).where("doc_id = component_id").select(F.col("doc_id").alias(root)).distinct()
+    found = docs.join(kept, F.col("doc_id").cast("long") == F.col(root), "left_semi")
+    once = found.withColumn(text, F.xxhash64("text")).dropDuplicates(["doc_id", text]).drop(text)
     return once.unionByName(docs.where("doc_id is null"))
 
 
@@ -337,5 +378,6 @@ c as (select a.doc_id as a, b.doc_id as b, count(*) as common, any_value(a.n) as
 l as (select a, b from c where 100 * common >= 80 * (na + nb - common)),
 e as (select a, b from l union all select b, a from l),
 r(doc_id, root) as (select doc_id, doc_id from s union select e.b, r.root from r join e on r.doc_id = e.a)
-select s.doc_id, len(set)::bigint as n_shingles, min(root) as component_id from s join r using (doc_id) group by 1, 2
+select s.doc_id, len(set)::bigint as n_shingles, min(root) as component_id, (select count(*) from e where e.a = s.doc_id)::bigint as n_links
+from s join r using (doc_id) group by 1, 2
 """

@@ -17,7 +17,8 @@ import pyarrow.compute as pc
 BLOCK_BYTES = 4 << 20
 
 _BASE = 0x9E3779B97F4A7C15 | 1
-_MASK = (1 << 64) - 1
+#: Masks of the first 0 to 8 bytes of a piece.
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mix64(h: np.ndarray) -> np.ndarray:
@@ -43,14 +44,46 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return up, down
 
 
+def _loaded(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place of data on, as a number; zeros follow the end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
 def span_hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of symbols[start:end] for each span, equal for equal contents."""
-    n = len(symbols) + 1
-    up, down = _powers(max(1 << 20, 1 << (n - 1).bit_length()))
-    total = np.zeros(n, np.uint64)
-    np.cumsum((symbols.astype(np.uint64) + np.uint64(1)) * up[: n - 1], out=total[1:])
-    h = (total[ends] - total[starts]) * down[starts]
-    return mix64(h ^ ((ends - starts).astype(np.uint64) << np.uint64(48)))
+    return span_names(symbols, starts, ends, 1)[0]
+
+
+def span_names(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray, count: int = 2, salt: int = 0) -> list[np.ndarray]:
+    """`count` independent 64-bit hashes of symbols[start:end] for each span.
+
+    A span is taken by pieces of eight bytes; each piece is mixed with its place and
+    a salt, and the sum is mixed once more. No polynomial is involved, so that
+    regular strings (of one long pattern and its complement) stay apart.
+    """
+    wide = symbols.dtype.itemsize
+    words = _loaded(np.ascontiguousarray(symbols).view(np.uint8))
+    at, size = starts * wide, (ends - starts) * wide
+    head = words[at]
+    head &= _LOW_BYTES[np.minimum(size, 8)]
+    long = np.flatnonzero(size > 8)
+    if len(long):
+        more = (size[long] - 1) >> 3
+        first = np.cumsum(more) - more
+        turn = np.arange(int(more.sum())) - np.repeat(first, more) + 1
+        tail = words[np.repeat(at[long], more) + 8 * turn] & _LOW_BYTES[np.minimum(np.repeat(size[long], more) - 8 * turn, 8)]
+    out = []
+    for k in range(count):
+        key = mix64(np.array([_BASE + 8 * (salt * count + k) + wide], np.uint64))[0]
+        total = head ^ key
+        total *= np.uint64(0xD6E8FEB86659FD93)
+        total ^= total >> np.uint64(32)
+        if len(long):
+            total[long] += np.add.reduceat(mix64(tail ^ mix64(turn.astype(np.uint64) + key)), first)
+        total ^= size.astype(np.uint64) << np.uint64(40)
+        out.append(mix64(total))
+    return out
 
 
 def window_hashes(symbols: np.ndarray, width: int) -> np.ndarray:

@@ -13,7 +13,7 @@ from itertools import chain
 
 import numpy as np
 
-from kvtrail.llm.text import code_points, csr_take, span_hashes
+from kvtrail.llm.text import code_points, csr_take, span_names
 
 #: Distinct chunks remembered from earlier blocks of a task; a full table starts anew.
 MEMO_CHUNKS = 1_000_000
@@ -36,36 +36,47 @@ def _classes() -> np.ndarray:
 
 
 class _ChunkTable:
-    """Ids of distinct chunks by the chunks' hashes; each chunk is encoded once while the table holds it."""
+    """Ids of distinct chunks by the chunks' hashes; each chunk is encoded once while the table holds it.
+
+    A chunk is named by two independent hashes: rows are found by the first, and the
+    second has to agree. Chunks that share only the first are never mixed up: the
+    table then starts anew with other hashes (`salt`).
+    """
 
     def __init__(self, encode) -> None:
         self.encode = encode
+        self.salt = 0
         self.clear()
 
     def clear(self) -> None:
-        self.keys = np.empty(0, np.uint64)
+        self.keys = self.checks = np.empty(0, np.uint64)
         self.starts = self.lengths = np.empty(0, np.int64)
         self.ids = np.empty(0, np.uint32)
 
-    def rows(self, keys: np.ndarray, chunk_at) -> np.ndarray:
-        """The row of each of the sorted keys; chunk_at(k) is the text of the k-th."""
+    def rows(self, keys: np.ndarray, checks: np.ndarray, chunk_at) -> np.ndarray | None:
+        """The row of each of the sorted keys; chunk_at(k) is the text of the k-th. None if a check fails."""
         if len(self.keys) > MEMO_CHUNKS:
             self.clear()
-        if len(new := np.flatnonzero(~self._known(keys))):
+        known, agree = self._known(keys, checks)
+        if not agree:
+            return None
+        if len(new := np.flatnonzero(~known)):
             ids, starts, lengths = self.encode([chunk_at(k) for k in new.tolist()])
             both = np.concatenate([self.keys, keys[new]])
             order = np.argsort(both, kind="stable")
             self.keys = both[order]
+            self.checks = np.concatenate([self.checks, checks[new]])[order]
             self.starts = np.concatenate([self.starts, len(self.ids) + starts])[order]
             self.lengths = np.concatenate([self.lengths, lengths])[order]
             self.ids = np.concatenate([self.ids, ids])
         return np.searchsorted(self.keys, keys)
 
-    def _known(self, keys: np.ndarray) -> np.ndarray:
+    def _known(self, keys: np.ndarray, checks: np.ndarray) -> tuple[np.ndarray, bool]:
         if not len(self.keys):
-            return np.zeros(len(keys), bool)
+            return np.zeros(len(keys), bool), True
         at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return self.keys[at] == keys
+        known = self.keys[at] == keys
+        return known, bool((self.checks[at] == checks)[known].all())
 
 
 def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -76,9 +87,17 @@ def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _join_back(text: str, points, starts, ends, order, bounds, table: _ChunkTable):
     """Ids of all texts in order, and the bounds of each text's ids; order: where each chunk lies."""
-    keys, first, inverse = np.unique(span_hashes(points, starts, ends), return_index=True, return_inverse=True)
-    at, to = starts[first], ends[first]
-    rows = table.rows(keys, lambda k: text[at[k] : to[k]])
+    rows = None
+    narrow = points.astype(np.uint16) if len(points) and points.max() < 1 << 16 else points
+    while rows is None:
+        names, check = span_names(narrow, starts, ends, salt=table.salt)
+        keys, first, inverse = np.unique(names, return_index=True, return_inverse=True)
+        at, to = starts[first], ends[first]
+        if (check == check[first][inverse]).all():
+            rows = table.rows(keys, check[first], lambda k, at=at, to=to: text[at[k] : to[k]])
+        if rows is None:
+            table.clear()
+            table.salt += 1
     ids, n = csr_take(table.ids, table.starts, table.lengths, rows[inverse])
     upto = np.concatenate([[0], np.cumsum(n)])
     return ids, upto[np.searchsorted(order, bounds)]

@@ -14,6 +14,15 @@ from kvtrail.llm import jaccard, line_rules, quality_net, queries, suffix_dedup,
 from tests.conftest import SMALL, normal
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SWAP = str.maketrans("ab", "ba")
+
+
+def regular_word(length):
+    """A word whose polynomial hashes modulo a power of two are those of its complement."""
+    word = "a"
+    while len(word) < length:
+        word += word.translate(SWAP)
+    return word
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
@@ -107,10 +116,56 @@ def test_near_duplicates(spark, odd, empty):
     assert sorted(jaccard.keep_one(odd).columns) == sorted(odd.columns)
 
 
-@pytest.mark.parametrize("pairs_per_posting", [30, 0])
-def test_families_with_chains_of_edits(spark, monkeypatch, pairs_per_posting):
-    monkeypatch.setattr(jaccard, "PAIRS_PER_POSTING", pairs_per_posting)
-    monkeypatch.setattr(jaccard, "ROUNDS", 2)
+@pytest.mark.parametrize("words", range(8))
+def test_blocks_of_few_words(words):
+    text = " ".join("abcdefgh"[:words])
+    for texts in ([text], [text, "", text]):
+        key, bounds = jaccard.shingle_sets(texts)
+        assert np.diff(bounds).tolist() == [len(shingles(t)) for t in texts] and len(key) == bounds[-1]
+
+
+def test_a_table_of_two_words(spark):
+    docs = spark.createDataFrame([(1, "a b"), (2, None), (3, "a b")], "doc_id long, text string").coalesce(1)
+    assert sorted(tuple(r) for r in jaccard.near_duplicates(docs).collect()) == [(1, 1, 1, 1), (2, 0, 2, 0), (3, 1, 1, 1)]
+
+
+@pytest.mark.parametrize("length", [1024, 2048, 4096])
+def test_regular_words_are_not_one_another(spark, length):
+    word = regular_word(length)
+    if length > 1024:
+        assert len(set(jaccard.shingle_sets([f"{word} b c d e", f"{word.translate(SWAP)} b c d e"])[0].tolist())) == 2
+        return
+    rows = [(1, f"{word} b c d e"), (2, f"{word.translate(SWAP)} b c d e")]
+    got = sorted(tuple(r) for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 1, 1, 0), (2, 1, 2, 0)]
+    lines = spark.createDataFrame([(1, f"{word}\n{word.translate(SWAP)}\n{word}", "s")], "doc_id long, text string, source string")
+    assert line_rules.apply_rules(lines).first().n_dup_lines == 1
+
+
+def test_keep_one_beside_clashing_columns(spark):
+    rows = [(1, "a b c d e f", 1, 2, 3), (2, "a b c d e f", 1, 2, 3), (1, "a b c d e f", 1, 2, 3), (4, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, root long, _text long, _root long")
+    assert sorted(r.doc_id for r in jaccard.keep_one(docs).collect()) == [1, 4] and jaccard.keep_one(docs).columns == docs.columns
+
+
+def test_cells_count_links_as_brute_force():
+    rng = np.random.default_rng(3)
+    sets = [np.sort(rng.choice(60, size=int(rng.integers(1, 50)), replace=False).astype(np.uint64)) for _ in range(40)]
+    sets += [x[:-1] for x in sets if len(x) > 6]
+    for side in (np.zeros(len(sets), np.int64), (np.arange(len(sets)) % 3 == 0).astype(np.int64)):
+        got = jaccard.linked(sets, side)
+        for i, x in enumerate(sets):
+            for j, y in enumerate(sets):
+                common = len(set(x.tolist()) & set(y.tolist()))
+                alike = i != j and (side[i] != side[j] or not side.any()) and 100 * common >= 80 * (len(x) + len(y) - common)
+                assert got[i, j] == alike
+
+
+@pytest.mark.parametrize("cell_nodes,bucket_members", [(256, 1000), (2, 3), (1, 1)])
+def test_families_with_chains_of_edits(spark, monkeypatch, cell_nodes, bucket_members):
+    monkeypatch.setattr(jaccard, "CELL_NODES", cell_nodes)
+    monkeypatch.setattr(jaccard, "BUCKET_MEMBERS", bucket_members)
+    monkeypatch.setattr(jaccard, "FREQUENT_DOCS", 3)
     rng = np.random.default_rng(4)
     vocabulary = [f"w{i}" for i in range(400)]
     rows = []
@@ -129,6 +184,7 @@ def test_families_with_chains_of_edits(spark, monkeypatch, pairs_per_posting):
 @pytest.mark.parametrize("bucket_members", [1000, 3])
 def test_all_pairs_inside_groups_are_verified(spark, monkeypatch, bucket_members):
     monkeypatch.setattr(jaccard, "BUCKET_MEMBERS", bucket_members)
+    monkeypatch.setattr(jaccard, "CELL_NODES", bucket_members)
     rng = np.random.default_rng(6)
     rows = []
     for family in range(3):
