@@ -21,6 +21,7 @@ their own, so no task holds more than two blocks, however common an element is.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,6 +48,8 @@ CELL_NODES, CELL_SHINGLES = 256, 1 << 20
 _FILTER_WORDS = (1 << 12, 1 << 22)
 #: Bytes of text that a task has in hand at once; numbers of a dense table in a cell.
 _BLOCK_BYTES, _DENSE = 1_900_000, 1 << 22
+#: Sizes of which one is at most 1.25 times the other lie in one band or in two neighbouring ones.
+_BAND = math.log(100 / PERCENT) * (1 + 1e-9)
 
 
 def shingle_sets(texts: list[str], words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -178,7 +181,7 @@ def _wanted(nodes: DataFrame) -> np.ndarray:
 
 
 def node_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, k1, k2, members: whole sets (eight bytes an element) of the nodes, read from their documents."""
+    """node, k1, k2, members: whole sets (eight bytes an element) of the nodes, and perhaps of more, read from their documents."""
     wanted = _wanted(nodes)
     table = docs.sparkSession.sparkContext.broadcast(wanted)
 
@@ -194,7 +197,7 @@ def node_sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     bit = F.pmod(F.xxhash64("doc_id"), F.lit(len(wanted) * 64)).alias("bit")
     found = _two(docs).where("doc_id is not null").select("doc_id", "text", bit).mapInArrow(run, "node long, k1 long, k2 long, members binary")
-    return found.join(nodes.select("node", "k1", "k2"), ["node", "k1", "k2"], "left_semi").dropDuplicates(["node", "k1", "k2"])
+    return found.dropDuplicates(["node", "k1", "k2"])
 
 
 def linked(sets: list[np.ndarray], side: np.ndarray) -> np.ndarray:
@@ -240,58 +243,67 @@ class Join:
 
     def __init__(self, docs: DataFrame, pairs: bool = False) -> None:
         docs = docs.where("doc_id is not null")
-        rows = written(prefixes(docs, frequent_shingles(docs)), "prefixes")
-        self.names = written(rows.select("doc_id", "n", "k1", "k2", "g1", "g2"), "set-names")
-        groups = rows.where("n > 0").groupBy("n", "g1", "g2").agg(F.min(F.struct("doc_id", "tokens", "parts")).alias("x"))
-        listed = groups.select(F.col("x.doc_id").alias("g"), "n", "g1", "g2", F.col("x.parts").alias("all"), F.posexplode("x.tokens").alias("at", "token"))
-        parts = F.coalesce(F.element_at("all", F.col("at") + 1), F.lit(1))
-        postings = listed.select("g", "n", "g1", "g2", "token", parts.alias("parts")).withColumn("part", F.pmod(F.xxhash64("g"), "parts"))
-        held = F.count(F.lit(1)).over(Window.partitionBy("token", "part"))
-        # elements of more than one group; a split list is taken to be shared
-        shared = postings.withColumn("held", held).where("held > 1 or parts > 1").select("g", "n", "g1", "g2", "token", (F.col("held") * F.col("parts")).alias("heat"))
-        shared = written(shared, "shared-postings")
+        rows = prefixes(docs, frequent_shingles(docs)).withColumn("row", F.monotonically_increasing_id())
+        rows = written(rows, "prefixes")
+        self.names = written(rows.select("row", "doc_id", "n", "k1", "k2", "g1", "g2"), "set-names")
+        postings = written(self._shared(rows), "joined-postings")
         discard(rows)
-        group = ["g", "n", "g1", "g2"]
-        most = shared.groupBy(*group).agg(F.count(F.lit(1)).alias("c"), F.max(F.struct("heat", "token")).alias("x"))
-        possible = most.where(_enough("c", "n")).select(*group, F.col("x.token").alias("family"))
-        postings = written(shared.join(possible, group), "joined-postings")
-        discard(shared)
-        near = self._meetings(postings)
+        group = ["g", "n", "band", "family"]
+        found = postings.select("g", "band", "family").distinct().withColumnRenamed("g", "row")
+        groups = self.names.join(found, "row").select(F.col("row").alias("g"), "n", "g1", "g2", "band", "family")
         nodes = self.names.where("n > 0").groupBy("n", "k1", "k2", "g1", "g2").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"))
-        members = nodes.join(postings.select(*group, "family").distinct(), ["n", "g1", "g2"])
-        self.members = written(members.select("g", "g1", "g2", "family", "node", "n", "k1", "k2", "copies"), "members")
-        self.cells = written(self._cells(near), "cells")
+        self.members = written(nodes.join(groups, ["n", "g1", "g2"]).select(*group, "node", "k1", "k2", "copies"), "members")
+        self.cells = written(self._cells(self._meetings(postings)), "cells")
         discard(postings)
-        sets = written(node_sets(docs, self.cells.select("node", "k1", "k2").distinct()), "node-sets")
-        self.met = written(self._verified(sets, pairs), "links")
-        discard(sets)
+        self.met = written(self._verified(docs, pairs), "links")
+
+    @staticmethod
+    def _shared(rows: DataFrame) -> DataFrame:
+        """g, n, band, token, family: elements of the groups' prefixes that a group of fitting size holds as well, of groups that
+        have enough of them; and all of a group of several sets. A group is named by one of its rows; sizes that fit lie in
+        one band or in neighbouring ones."""
+        several = F.expr("min(k1) != max(k1) or min(k2) != max(k2)").alias("several")
+        groups = rows.where("n > 0").groupBy("n", "g1", "g2").agg(F.min(F.struct("doc_id", "row", "tokens", "parts")).alias("x"), several)
+        listed = groups.select(F.col("x.row").alias("g"), "n", "several", F.col("x.parts").alias("all"), F.posexplode("x.tokens").alias("at", "token"))
+        parts = F.coalesce(F.element_at("all", F.col("at") + 1), F.lit(1))
+        listed = listed.select("g", "n", "several", "token", parts.alias("parts")).withColumn("part", F.pmod(F.xxhash64("g"), "parts"))
+        near = Window.partitionBy("token", "part").orderBy("band").rangeBetween(-1, 1)
+        listed = listed.withColumn("band", F.floor(F.log("n") / F.lit(_BAND)).cast("int")).withColumn("held", F.count(F.lit(1)).over(near))
+        # a split list is taken to be shared
+        shared = listed.where("held > 1 or parts > 1 or several").select("g", "n", "band", "token", (F.col("held") * F.col("parts")).alias("heat"))
+        own = Window.partitionBy("g")
+        shared = shared.withColumn("c", F.count(F.lit(1)).over(own)).withColumn("family", F.max(F.struct("heat", "token")).over(own)["token"])
+        return shared.where(_enough("c", "n")).select("g", "n", "band", "token", "family")
 
     @staticmethod
     def _meetings(postings: DataFrame) -> DataFrame:
-        """g, n, g1, g2, other: the families, its own among them, whose prefixes share enough elements with a group's."""
-        group = ["g", "n", "g1", "g2"]
-        families = postings.select("token", F.col("family").alias("other")).distinct()
-        joined = postings.join(families, (postings.token == families.token) & (postings.family != families.other))
-        met = joined.groupBy(*group, "other").agg(F.count(F.lit(1)).alias("c")).where(_enough("c", "n")).select(*group, "other")
-        return met.union(postings.select(*group, F.col("family").alias("other")).distinct())
+        """g, other, other_band: the parts of families, by size, whose prefixes share enough elements with a group's; those of
+        its own family are among them."""
+        families = postings.select(F.col("token").alias("held"), F.col("family").alias("other"), F.col("band").alias("other_band")).distinct()
+        met = postings.join(families, F.expr("token = held and family != other and abs(band - other_band) <= 1")).groupBy("g", "n", "other", "other_band").agg(F.count(F.lit(1)).alias("c"))
+        own = postings.select("g", "family", F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1))).distinct()
+        return met.where(_enough("c", "n")).select("g", "other", "other_band").union(own)
 
     def _cells(self, near: DataFrame) -> DataFrame:
         """x, y, side, node, k1, k2, copies: which members meet in the cell of blocks x and y, side 0 being those of x."""
-        sizes = self.members.groupBy("family").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
-        blocks_of = sizes.select("family", F.greatest(F.ceil(F.col("c") / CELL_NODES), F.ceil(F.col("s") / CELL_SHINGLES)).cast("int").alias("m"))
-        own = self.members.join(blocks_of, "family").withColumn("p", F.xxhash64("family", F.pmod(F.xxhash64("node", "k1", F.lit(7)), "m")))
-        others = blocks_of.select(F.col("family").alias("other"), F.explode(F.sequence(F.lit(0), F.col("m") - 1)).alias("turn"))
-        others = others.select("other", F.xxhash64("other", F.col("turn").cast("long")).alias("q"))
-        met = own.join(near, ["g", "n", "g1", "g2"]).join(others, "other")
+        sizes = self.members.groupBy("family", "band").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("s"))
+        blocks_of = sizes.select("family", "band", F.greatest(F.ceil(F.col("c") / CELL_NODES), F.ceil(F.col("s") / CELL_SHINGLES)).cast("int").alias("m"))
+        turn = F.pmod(F.xxhash64("node", "k1", F.lit(7)), F.col("m").cast("long"))
+        own = self.members.join(blocks_of, ["family", "band"]).select("g", "node", "k1", "k2", "copies", F.xxhash64("family", "band", turn).alias("p"))
+        others = blocks_of.select("family", "band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m").cast("long") - 1)).alias("turn"))
+        others = others.select(F.col("family").alias("other"), F.col("band").alias("other_band"), F.xxhash64("family", "band", "turn").alias("q"))
+        met = own.join(near, "g").join(others, ["other", "other_band"])
         side = (F.col("p") > F.col("q")).cast("int").alias("side")
         entries = met.select(F.least("p", "q").alias("x"), F.greatest("p", "q").alias("y"), side, "node", "k1", "k2", "copies")
-        both = entries.groupBy("x", "y").agg(F.count(F.lit(1)).alias("c"), F.sum("side").alias("c1"))
-        return entries.join(both.where("if(x = y, c > 1, c1 > 0 and c1 < c)").select("x", "y"), ["x", "y"], "left_semi")
+        cell = Window.partitionBy("x", "y")
+        counted = entries.withColumn("c", F.count(F.lit(1)).over(cell)).withColumn("c1", F.sum("side").over(cell))
+        return counted.where("if(x = y, c > 1, c1 > 0 and c1 < c)").drop("c", "c1")
 
-    def _verified(self, sets: DataFrame, pairs: bool) -> DataFrame:
+    def _verified(self, docs: DataFrame, pairs: bool) -> DataFrame:
         """node, k1, k2, links, root: each cell's members with links, by their copies, and the smallest node that they reach.
         With pairs: a, b of each link."""
-        rows = self.cells.join(sets, ["node", "k1", "k2"]).select("x", "y", "side", "node", "k1", "k2", "copies", "members")
+        sets = node_sets(docs, self.cells.select("node").distinct())
+        rows = sets.join(self.cells, ["node", "k1", "k2"]).select("x", "y", "side", "node", "k1", "k2", "copies", "members")
         names = ["a", "b"] if pairs else ["node", "k1", "k2", "links", "root"]
 
         def settled(held: list[tuple]) -> list[np.ndarray]:

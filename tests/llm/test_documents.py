@@ -206,6 +206,19 @@ def test_all_pairs_inside_groups_are_verified(spark, monkeypatch, bucket_members
     assert {r.doc_id: r.n_links for r in jaccard.link_counts(docs).collect()} == {d: links[d] for d, _ in rows}
 
 
+def test_a_group_that_nobody_else_touches(spark):
+    words = [f"w{i}" for i in range(120)]
+    texts = [" ".join(words)]
+    while len(texts) < 2:  # an edit that leaves the size and the prefix as they are
+        words[-1] += "x"
+        sets = [np.sort(jaccard.shingle_sets([t])[0]) for t in (texts[0], " ".join(words))]
+        length = int(jaccard._prefix_lengths(np.array([len(sets[0])]))[0])
+        if (sets[0][:length] == sets[1][:length]).all():
+            texts.append(" ".join(words))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(tuple(r) for r in jaccard.near_duplicates(docs).collect()) == [(0, 116, 0, 1), (1, 116, 0, 1)]
+
+
 def brute_dedup(rows):
     raw = [(t or "").encode() for _, t in rows]
     count = Counter(b[p : p + 200] for b in raw for p in range(len(b) - 199))
