@@ -22,12 +22,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from kvtrail.llm.storage import discard, written
 from kvtrail.llm.text import blocks, texts_of
 from kvtrail.llm.tokenizing import byte_bpe
 
 END_ID = 2
-#: UTF-8 bytes of text that one shard gets, about.
-SHARD_BYTES = 24 << 20
+#: Bytes of ids that one shard gets, about; bytes of an id, as the vocabulary has less than 2^16 of them.
+SHARD_BYTES, WIDTH = 8 << 20, 2
 _MASK_DELTA = 0xA282EAD8
 _HEAD = struct.Struct("<QI")
 
@@ -70,25 +71,41 @@ def read_frame(view, at: int) -> tuple[int, np.ndarray]:
     return doc_id, np.frombuffer(payload[9:], f"<u{width}")
 
 
-def write_shards(docs: DataFrame, path: str, end_id: int = END_ID, shard_bytes: int = SHARD_BYTES) -> None:
-    """Encode every text and write its record; a null text counts as empty, a null doc_id is not kept.
-
-    Documents are dealt by ranges of doc_id, so equal doc_ids share a shard (in no set order).
-    """
+def token_ids(docs: DataFrame, end_id: int = END_ID) -> DataFrame:
+    """doc_id, ids (binary, little-endian, WIDTH bytes an id) of every row with a doc_id; a null text counts as empty."""
     two = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    total = two.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    dealt = two.repartitionByRange(max(1, -(-total // shard_bytes)), "doc_id").sortWithinPartitions("doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = byte_bpe()
         for block in blocks(batches, "text"):
             ids, bounds = encoder.encode(texts_of(block))
-            b, width = bounds.tolist(), 2 if encoder.MARK_ID < 1 << 16 else 4
-            out = [frame(d, np.append(ids[b[k] : b[k + 1]], np.uint32(end_id)), width) for k, d in enumerate(block.column(0).to_pylist())]
+            ids, bounds = np.insert(ids, bounds[1:], end_id), bounds + np.arange(len(bounds))
+            raw, b = ids.astype(f"<u{WIDTH}").tobytes(), (WIDTH * bounds).tolist()
+            yield pa.RecordBatch.from_arrays([block.column(0), pa.array([raw[x:y] for x, y in zip(b[:-1], b[1:], strict=True)], pa.binary())], ["doc_id", "ids"])
+
+    return two.mapInArrow(run, "doc_id long, ids binary")
+
+
+def write_shards(docs: DataFrame, path: str, end_id: int = END_ID, shard_bytes: int = SHARD_BYTES) -> None:
+    """Encode every text and write its record; a null text counts as empty, a null doc_id is not kept.
+
+    Texts are encoded where they are read; only ids travel. Records ascend by doc_id,
+    those of one doc_id by a hash of their ids and by the ids, over all shards; so
+    many rows of one doc_id may lie in several shards.
+    """
+    encoded = written(token_ids(docs, end_id), "token-ids")
+    total = encoded.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
+    order = ["doc_id", "turn"]
+    dealt = encoded.withColumn("turn", F.xxhash64("ids")).repartitionByRange(max(1, -(-total // shard_bytes)), *order).sortWithinPartitions(*order, "ids")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [frame(d, np.frombuffer(ids, f"<u{WIDTH}"), WIDTH) for d, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["frame"])
 
-    framed = dealt.mapInArrow(run, "frame binary")
+    framed = dealt.select("doc_id", "ids").mapInArrow(run, "frame binary")
     framed.select(F.col("frame").cast("string").alias("value")).write.text(path)
+    discard(encoded)
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
