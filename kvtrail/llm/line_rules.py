@@ -17,6 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kvtrail.llm.storage import written
 from kvtrail.llm.text import blocks, byte_block, mix64, span_hashes, texts_of, word_spans
 
 #: A line in more documents of a host than this is boilerplate.
@@ -27,7 +28,7 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[list(b"#*$%&|<>")] = True
 
-SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, words_left long"
+_COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
 def _block_stats(texts: list[str]):
@@ -111,15 +112,20 @@ def _with_frequent(docs: DataFrame, host: str, max_docs: int) -> DataFrame:
     return rows.join(marks, F.expr("_key = _key2 and _id <=> _id2 and _host <=> _host2"), "left").select(*docs.columns, "_frequent")
 
 
-def _cleaned(texts: list[str], marks: pa.Array, min_share: float):
-    """Base counts, base_failed, kept and words_left of each text, and the texts without their marked lines."""
+def _failed(counts) -> np.ndarray:
+    """Texts that fail the base rules."""
+    n_words, n_repeat = counts[0], counts[4]
+    return (n_words < MIN_WORDS) | (100 * n_repeat > MAX_REPEAT_PERCENT * n_words)
+
+
+def _cleaned(texts: list[str], marks: pa.Array, min_share: float) -> tuple[np.ndarray, list[str]]:
+    """Whether each text is kept, and the texts without their marked lines."""
     counts, (line_doc, line_hash, line_words, start, end) = _block_stats(texts)
     owner = np.repeat(np.arange(len(texts)), pc.fill_null(pc.list_value_length(marks), 0).to_numpy(zero_copy_only=False))
     marked = marks.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
     drop = np.isin(mix64(line_hash.view(np.uint64) ^ mix64(line_doc.astype(np.uint64))), mix64(marked ^ mix64(owner.astype(np.uint64))))
-    n_words, n_repeat = counts[0], counts[4]
+    n_words = counts[0]
     left = n_words - np.bincount(line_doc[drop], line_words[drop], minlength=len(texts)).astype(np.int64)
-    failed = (n_words < MIN_WORDS) | (100 * n_repeat > MAX_REPEAT_PERCENT * n_words)
     out = list(texts)
     data, bounds = byte_block(texts)
     edge = np.zeros(len(data) + 1, np.int64)
@@ -129,7 +135,23 @@ def _cleaned(texts: list[str], marks: pa.Array, min_share: float):
     for k in np.unique(line_doc[drop]).tolist():
         part = slice(bounds[k], bounds[k + 1])
         out[k] = data[part][~gone[part]].tobytes()[:-1].decode("utf-8")
-    return counts, failed, ~failed & (left >= min_share * n_words), left, out
+    return ~_failed(counts) & (left >= min_share * n_words), out
+
+
+def line_stats(docs: DataFrame, host: str = "source") -> DataFrame:
+    """doc_id, host, the base counts, base_failed, and hash and words of each line with a word, of every row: one pass over the texts."""
+    names = ["doc_id", "host", *_COUNTS, "base_failed", "hashes", "words"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches, "text"):
+            counts, (line_doc, line_hash, line_words, *_) = _block_stats(texts_of(block))
+            at = pa.array(np.searchsorted(line_doc, np.arange(block.num_rows + 1)).astype(np.int32))
+            lists = [pa.ListArray.from_arrays(at, pa.array(x)) for x in (line_hash, line_words.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays([block.column(0), block.column(1), *(pa.array(c.astype(np.int64)) for c in counts), pa.array(_failed(counts)), *lists], names)
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), F.col("text").cast("string").alias("text"))
+    kinds = ", ".join(f"{c} long" for c in _COUNTS)
+    return rows.mapInArrow(run, f"doc_id long, host string, {kinds}, base_failed boolean, hashes array<long>, words array<long>")
 
 
 def apply_rules(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS_PER_HOST, min_share: float = MIN_SHARE) -> DataFrame:
@@ -138,17 +160,17 @@ def apply_rules(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS_
     Null texts have no words. A null host is a host of its own. Several rows of one
     doc_id are judged each by its own text, and count as one document for the
     frequency of a line; a null doc_id counts as no document. An empty table gives
-    an empty result.
+    an empty result. The texts are read once: their lines' hashes are written and
+    counted; clean() gives the texts of the kept rows without those lines.
     """
-    names = [x.split()[0] for x in SCHEMA.split(", ")]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, "text"):
-            counts, failed, kept, left, _ = _cleaned(texts_of(block), block.column(2), min_share)
-            yield pa.RecordBatch.from_arrays([block.column(0), *(pa.array(c.astype(np.int64)) for c in counts), pa.array(failed), pa.array(kept), pa.array(left.astype(np.int64))], names)
-
-    rows = _with_frequent(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col(host).alias(host)), host, max_docs)
-    return rows.select("doc_id", "text", "_frequent").mapInArrow(run, SCHEMA)
+    stats = written(line_stats(docs, host).withColumn("row", F.monotonically_increasing_id()), "line-stats")
+    lines = stats.select("row", "doc_id", "host", F.explode(F.arrays_zip("hashes", "words")).alias("line"))
+    lines = lines.select("row", "doc_id", "host", F.col("line.hashes").alias("hash"), F.col("line.words").alias("words"))
+    frequent = lines.groupBy("host", "hash").agg(F.countDistinct("doc_id").alias("docs")).where(F.col("docs") > max_docs)
+    lost = lines.alias("l").join(frequent.alias("f"), F.expr("l.hash = f.hash and l.host <=> f.host"), "left_semi").groupBy("row").agg(F.sum("words").alias("lost"))
+    left = F.col("n_words") - F.coalesce("lost", F.lit(0))
+    kept = ~F.col("base_failed") & (left >= F.lit(min_share) * F.col("n_words"))
+    return stats.join(lost, "row", "left").select("doc_id", *_COUNTS, "base_failed", kept.alias("kept"), left.alias("words_left"))
 
 
 def clean(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS_PER_HOST, min_share: float = MIN_SHARE) -> DataFrame:
@@ -157,7 +179,7 @@ def clean(docs: DataFrame, host: str = "source", max_docs: int = MAX_DOCS_PER_HO
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text"):
             at = block.schema.get_field_index("text")
-            _, _, kept, _, texts = _cleaned(texts_of(block), block.column(block.num_columns - 1), min_share)
+            kept, texts = _cleaned(texts_of(block), block.column(block.num_columns - 1), min_share)
             arrays = [pa.array(texts, block.schema.field(at).type) if k == at else c for k, c in enumerate(block.columns[:-1])]
             yield pa.RecordBatch.from_arrays(arrays, block.schema.names[:-1]).filter(pa.array(kept))
 
