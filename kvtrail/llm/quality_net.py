@@ -10,6 +10,7 @@ training touches few bytes.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,6 +26,8 @@ WIDTH, FILTERS, HIDDEN = 6, 24, 16
 SEGMENT = 256
 #: Bound of the labelled texts that a fit takes, per label; and of its passes over them.
 TRAIN_PER_LABEL, EPOCHS = 700, 14
+#: Bytes of the longest text that a fit takes; longer ones are scored like all others.
+TRAIN_TEXT_BYTES = 256 << 10
 THRESHOLD = 0.3
 _PIECE = 1 << 18
 
@@ -161,18 +164,30 @@ def remainder(modulus: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
 
 
-def labelled_texts(docs: DataFrame, labels: DataFrame, column: str, several, per_label: int, modulus: int, held_out: int) -> list:
-    """Rows (text, label) of at most `per_label` labelled documents of each label, none of them held out.
+def labelled_texts(docs: DataFrame, labels: DataFrame, column: str, several, per_label: int, modulus: int, held_out: int) -> DataFrame:
+    """doc_id, text, label of at most `per_label` labelled documents of each label, none of them held out.
 
     The labels are drawn first, by a hash of the doc_id; that sample is small and
-    bounded, so it is broadcast to fetch the whole texts.
+    bounded, so it is broadcast to fetch the whole texts. A doc_id brings one text,
+    and texts of more than TRAIN_TEXT_BYTES are not trained on.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull() & (remainder(modulus) != held_out))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(several(column).alias("label"))
     drawn = [known.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label) for label in (0, 1)]
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = texts.join(F.broadcast(drawn[0].union(drawn[1])), "doc_id").select("doc_id", "text", "label").collect()
-    return sorted(rows, key=lambda r: (r.label, r.doc_id, r.text))
+    found = texts.where(F.octet_length("text") <= TRAIN_TEXT_BYTES).join(F.broadcast(drawn[0].union(drawn[1])), "doc_id")
+    return found.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+
+
+def trained_in_a_task(rows: DataFrame, make):
+    """make(texts, labels) of the bounded rows of labelled_texts(), run in one task; the driver gets the model alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = sorted(row for b in batches for row in zip(*(b.column(n).to_pylist() for n in ("label", "doc_id", "text")), strict=True))
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(make([t for _, _, t in held], [y for y, _, _ in held]))], pa.binary())], ["model"])
+
+    found = rows.repartition(1).mapInArrow(run, "model binary").first()
+    return pickle.loads(found[0]) if found else make([], [])
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_PER_LABEL, modulus: int = 5, held_out: int = 0) -> QualityNet | ConstantScore:
@@ -181,10 +196,13 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_PER_LABEL, mo
     Without texts of both labels, the only label there is becomes the score of all
     texts; without any, all are good. Labels of rows with a null doc_id or label are passed over; of several labels of one document the lowest counts.
     """
-    rows = labelled_texts(docs, labels, "quality", F.min, per_label, modulus, held_out)
-    if len({r.label for r in rows}) < 2:
-        return ConstantScore(float(rows[0].label) if rows else 1.0)
-    texts, good = [r.text for r in rows], [r.label == 1 for r in rows]
+    return trained_in_a_task(labelled_texts(docs, labels, "quality", F.min, per_label, modulus, held_out), _made)
+
+
+def _made(texts: list[str], labels: list[int]) -> QualityNet | ConstantScore:
+    if len(set(labels)) < 2:
+        return ConstantScore(float(labels[0]) if labels else 1.0)
+    good = [y == 1 for y in labels]
     cuts = _short_cuts([t for t, g in zip(texts, good, strict=True) if g])
     return train([t.encode() for t in texts + cuts], np.array(good + [True] * len(cuts)))
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kvtrail.llm.quality_net import ConstantScore, labelled_texts
+from kvtrail.llm.quality_net import ConstantScore, labelled_texts, trained_in_a_task
 from kvtrail.llm.text import blocks, code_points, span_hashes, texts_of
 
 SPAN, DECAY = 6, 0.6
@@ -336,10 +336,13 @@ def fit(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_PER_LABEL, mo
     Without texts of both labels, the only label there is becomes the score of all
     texts; without any, none is toxic. Rows with a null doc_id or label are passed over; of several labels of one document the highest counts.
     """
-    rows = labelled_texts(docs, labels, "toxic", F.max, per_label, modulus, held_out)
-    if len({r.label for r in rows}) < 2:
-        return ConstantScore(float(rows[0].label) if rows else 0.0)
-    return train([r.text for r in rows], np.array([r.label == 1 for r in rows]))
+    return trained_in_a_task(labelled_texts(docs, labels, "toxic", F.max, per_label, modulus, held_out), _made)
+
+
+def _made(texts: list[str], labels: list[int]) -> ToxicityModel | ConstantScore:
+    if len(set(labels)) < 2:
+        return ConstantScore(float(labels[0]) if labels else 0.0)
+    return train(texts, np.array([y == 1 for y in labels]))
 
 
 def score(docs: DataFrame, model: ToxicityModel, threshold: float = THRESHOLD) -> DataFrame:
