@@ -15,20 +15,23 @@ from __future__ import annotations
 
 import struct
 import zlib
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from kvtrail.llm.storage import discard, written
 from kvtrail.llm.text import blocks, texts_of
 from kvtrail.llm.tokenizing import byte_bpe
 
 END_ID = 2
-#: Bytes of ids that one shard gets, about; bytes of an id, as the vocabulary has less than 2^16 of them.
-SHARD_BYTES, WIDTH = 8 << 20, 2
+#: Bytes of text whose ids one shard gets, about; bytes of an id, as the vocabulary has less than 2^16 of them.
+SHARD_BYTES, WIDTH = 16 << 20, 2
+#: Bytes of text that a task encodes at once.
+_BLOCK_BYTES = 2 << 20
 _MASK_DELTA = 0xA282EAD8
 _HEAD = struct.Struct("<QI")
 
@@ -71,41 +74,67 @@ def read_frame(view, at: int) -> tuple[int, np.ndarray]:
     return doc_id, np.frombuffer(payload[9:], f"<u{width}")
 
 
-def token_ids(docs: DataFrame, end_id: int = END_ID) -> DataFrame:
-    """doc_id, ids (binary, little-endian, WIDTH bytes an id) of every row with a doc_id; a null text counts as empty."""
-    two = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+@dataclass
+class Cuts:
+    """Where shards end, in the order of doc_id and, for a doc_id of very many rows, of a hash of the text (as a share)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = byte_bpe()
-        for block in blocks(batches, "text"):
-            ids, bounds = encoder.encode(texts_of(block))
-            ids, bounds = np.insert(ids, bounds[1:], end_id), bounds + np.arange(len(bounds))
-            raw, b = ids.astype(f"<u{WIDTH}").tobytes(), (WIDTH * bounds).tolist()
-            yield pa.RecordBatch.from_arrays([block.column(0), pa.array([raw[x:y] for x, y in zip(b[:-1], b[1:], strict=True)], pa.binary())], ["doc_id", "ids"])
+    ids: np.ndarray
+    shares: np.ndarray
+
+    def shards(self, doc_id: np.ndarray, turn: np.ndarray) -> np.ndarray:
+        low, high = np.searchsorted(self.ids, doc_id, "left"), np.searchsorted(self.ids, doc_id, "right")
+        share = turn / 2.0**64 + 0.5
+        for k in np.flatnonzero(high > low).tolist():
+            low[k] += int((self.shares[low[k] : high[k]] <= share[k]).sum())
+        return low
+
+
+def cuts_of(quantiles: list[int]) -> Cuts:
+    """A shard ends after each quantile; a doc_id that is several quantiles has shards of its own, split by the hash."""
+    out = []
+    for v, times in sorted(Counter(quantiles).items()):
+        out += [(v, 1.0)] if times == 1 else [(v - 1, 1.0), *((v, k / times) for k in range(1, times + 1))]
+    return Cuts(np.array([v for v, _ in out], np.int64), np.array([x for _, x in out]))
 
-    return two.mapInArrow(run, "doc_id long, ids binary")
+
+def plan_shards(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> Cuts:
+    """Cuts at quantiles of the doc_ids, so many that a shard gets the ids of about shard_bytes of text."""
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = -(-total // shard_bytes)
+    if n < 2:
+        return cuts_of([])
+    found = docs.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], max(10_000, 20 * n)))
+    return cuts_of(found.first()[0] or [])
 
 
 def write_shards(docs: DataFrame, path: str, end_id: int = END_ID, shard_bytes: int = SHARD_BYTES) -> None:
     """Encode every text and write its record; a null text counts as empty, a null doc_id is not kept.
 
     Texts are encoded where they are read; only ids travel. Records ascend by doc_id,
-    those of one doc_id by a hash of their ids and by the ids, over all shards; so
+    those of one doc_id by a hash of their texts and by the ids, over all shards; so
     many rows of one doc_id may lie in several shards.
     """
-    encoded = written(token_ids(docs, end_id), "token-ids")
-    total = encoded.agg(F.sum(F.octet_length("ids"))).first()[0] or 0
-    order = ["doc_id", "turn"]
-    dealt = encoded.withColumn("turn", F.xxhash64("ids")).repartitionByRange(max(1, -(-total // shard_bytes)), *order).sortWithinPartitions(*order, "ids")
+    two = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    cuts = plan_shards(two, shard_bytes)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = byte_bpe()
+        for block in blocks(batches, "text", _BLOCK_BYTES):
+            ids, bounds = encoder.encode(texts_of(block))
+            ids, bounds = np.insert(ids, bounds[1:], end_id), bounds + np.arange(len(bounds))
+            raw, b = ids.astype(f"<u{WIDTH}").tobytes(), (WIDTH * bounds).tolist()
+            shard = cuts.shards(block.column(0).to_numpy(), block.column(2).to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(shard.astype(np.int32)), block.column(0), block.column(2), pa.array([raw[x:y] for x, y in zip(b[:-1], b[1:], strict=True)], pa.binary())], ["shard", "doc_id", "turn", "ids"])
+
+    def framed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [frame(d, np.frombuffer(ids, f"<u{WIDTH}"), WIDTH) for d, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["frame"])
 
-    framed = dealt.select("doc_id", "ids").mapInArrow(run, "frame binary")
-    framed.select(F.col("frame").cast("string").alias("value")).write.text(path)
-    discard(encoded)
+    encoded = two.withColumn("turn", F.coalesce(F.xxhash64("text"), F.lit(0))).mapInArrow(encode, "shard int, doc_id long, turn long, ids binary")
+    dealt = encoded.repartitionById(len(cuts.ids) + 1, "shard").sortWithinPartitions("doc_id", "turn", "ids")
+    records = dealt.select("doc_id", "ids").mapInArrow(framed, "frame binary")
+    records.select(F.col("frame").cast("string").alias("value")).write.text(path)
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:

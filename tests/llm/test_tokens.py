@@ -125,6 +125,16 @@ def test_records_round_trip(spark, odd, empty, tmp_path):
     assert records.read_records(spark, f"file://{tmp_path}/e").count() == 0
 
 
+def test_many_rows_of_one_doc_id_lie_in_several_shards(spark, tmp_path):
+    texts = [(7, f"text number {k} of one document") for k in range(60)] + [(k, "other") for k in (1, 2, 9)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    records.write_shards(docs, f"file://{tmp_path}/a", shard_bytes=200)
+    index = records.with_global_start(records.read_records(spark, f"file://{tmp_path}/a"))
+    rows = sorted(index.collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in rows] == [1, 2] + [7] * 60 + [9] and len({r.shard for r in rows if r.doc_id == 7}) > 3
+    assert all(b.start == a.start + a.n_tokens for a, b in pairwise(rows))
+
+
 def test_damaged_records_are_found():
     raw = records.frame(7, np.array([1, 2, 3], np.uint32), 2) + b"\n"
     assert [(d, i.tolist()) for _, _, d, i in records.frames(raw)] == [(7, [1, 2, 3])]
