@@ -29,9 +29,9 @@ from kvtrail.llm.tokenizing import byte_bpe
 
 END_ID = 2
 #: Bytes of text whose ids one shard gets, about; bytes of an id, as the vocabulary has less than 2^16 of them.
-SHARD_BYTES, WIDTH = 16 << 20, 2
+SHARD_BYTES, WIDTH = 6 << 20, 2
 #: Bytes of text that a task encodes at once.
-_BLOCK_BYTES = 2 << 20
+_BLOCK_BYTES = 1 << 20
 _MASK_DELTA = 0xA282EAD8
 _HEAD = struct.Struct("<QI")
 

@@ -16,7 +16,7 @@ import numpy as np
 from kvtrail.llm.text import code_points, csr_take, span_names
 
 #: Distinct chunks remembered from earlier blocks of a task; a full table starts anew.
-MEMO_CHUNKS = 1_000_000
+MEMO_CHUNKS = 400_000
 _LETTER, _NUMBER, _SPACE, _END = 1, 2, 3, 4
 
 
