@@ -246,7 +246,7 @@ class Join:
         rows = prefixes(docs, frequent_shingles(docs)).withColumn("row", F.monotonically_increasing_id())
         rows = written(rows, "prefixes")
         self.names = written(rows.select("row", "doc_id", "n", "k1", "k2", "g1", "g2"), "set-names")
-        postings = written(self._shared(rows), "joined-postings")
+        postings = written(self._shared(rows, self.names), "joined-postings")
         discard(rows)
         group = ["g", "n", "band", "family"]
         found = postings.select("g", "band", "family").distinct().withColumnRenamed("g", "row")
@@ -258,13 +258,17 @@ class Join:
         self.met = written(self._verified(docs, pairs), "links")
 
     @staticmethod
-    def _shared(rows: DataFrame) -> DataFrame:
+    def _shared(rows: DataFrame, names: DataFrame) -> DataFrame:
         """g, n, band, token, family: elements of the groups' prefixes that a group of fitting size holds as well, of groups that
         have enough of them; and all of a group of several sets. A group is named by one of its rows; sizes that fit lie in
         one band or in neighbouring ones."""
-        several = F.expr("min(k1) != max(k1) or min(k2) != max(k2)").alias("several")
-        groups = rows.where("n > 0").groupBy("n", "g1", "g2").agg(F.min(F.struct("doc_id", "row", "tokens", "parts")).alias("x"), several)
-        listed = groups.select(F.col("x.row").alias("g"), "n", "several", F.col("x.parts").alias("all"), F.posexplode("x.tokens").alias("at", "token"))
+        alike = F.expr("min(k1) = max(k1) and min(k2) = max(k2)").alias("alike")
+        groups = names.where("n > 0").groupBy("n", "g1", "g2").agg(F.min(F.struct("doc_id", "row")).alias("x"), alike, F.count(F.lit(1)).alias("size"))
+        # what is not said about a row holds: it is the only one of its group
+        more = groups.where("size > 1").select("n", "g1", "g2", F.col("x.row").alias("first"), "alike")
+        marks = names.join(more, ["n", "g1", "g2"]).select("row", (F.col("row") != F.col("first")).alias("drop"), (~F.col("alike")).alias("several"))
+        kept = rows.where("n > 0").join(marks, "row", "left").where("coalesce(not drop, true)")
+        listed = kept.select(F.col("row").alias("g"), "n", F.coalesce("several", F.lit(False)).alias("several"), F.col("parts").alias("all"), F.posexplode("tokens").alias("at", "token"))
         parts = F.coalesce(F.element_at("all", F.col("at") + 1), F.lit(1))
         listed = listed.select("g", "n", "several", "token", parts.alias("parts")).withColumn("part", F.pmod(F.xxhash64("g"), "parts"))
         near = Window.partitionBy("token", "part").orderBy("band").rangeBetween(-1, 1)
