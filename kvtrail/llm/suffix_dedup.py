@@ -33,6 +33,8 @@ from kvtrail.llm.text import blocks, mix64, span_hashes, window_hashes
 LENGTH, GRAM, STEP = 200, 64, 8
 #: Bytes of contexts that are sorted together, about; a larger bucket is sorted by itself.
 SORT_BYTES = 2 << 20
+#: Bytes of text that a task anchors at once.
+_BLOCK_BYTES = 2 << 20
 _REACH = LENGTH - GRAM + 1
 
 
@@ -80,7 +82,7 @@ def _occurrences(texts: DataFrame) -> DataFrame:
     """th, lo, hi, at (places in the text), bucket, context and weight of every anchor."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, "text"):
+        for block in blocks(batches, "text", _BLOCK_BYTES):
             data, bounds = _raw(block)
             text, lo, hi, at, gram, context = anchors(data, bounds)
             begin = bounds[text]
@@ -97,7 +99,7 @@ def _contexts(texts: DataFrame) -> DataFrame:
     """The bytes of the contexts that have to be sorted; texts has a list `wanted` of them beside the text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, "text"):
+        for block in blocks(batches, "text", _BLOCK_BYTES):
             out: list[tuple] = []
             for th, text, wanted in zip(block.column(0).to_pylist(), block.column(1).to_pylist(), block.column(3).to_pylist(), strict=True):
                 raw = text.encode("utf-8", "replace")
