@@ -113,3 +113,15 @@ def file_extension(path: Column) -> Column:
 
 def sensitive_key(key: Column) -> Column:
     return F.lower(key).rlike("key|secret|password|token|auth")
+
+
+# Names that the remote store keeps for itself.
+RESERVED_KEYS = [
+    "DOPPLER_CONFIG", "DOPPLER_ENVIRONMENT", "DOPPLER_PROJECT", "DOPPLER_ENVIRONMENT_ID", "DOPPLER_PROJECT_ID",
+    "DOPPLER_CONFIG_ID", "DOPPLER_ENVIRONMENT_TOKEN_NAME", "DOPPLER_ENVIRONMENT_TOKEN_ID",
+]
+
+
+def reserved_key(key: Column) -> Column:
+    """Whether a push leaves the key out; case matters."""
+    return key.isin(RESERVED_KEYS)

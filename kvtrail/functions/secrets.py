@@ -44,10 +44,6 @@ def shannon_entropy(s: Column) -> Column:
     return entropy_of(characters(s))
 
 
-def ngrams(s: Column, n: int) -> Column:
-    return F.when(F.length(s) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(s) - (n - 1))), lambda i: s.substr(i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-
-
 def entropy_confidence(entropy: Column, n: Column) -> Column:
     return F.when((entropy >= 4.5) & (n >= 20), "high").when((entropy >= 3.5) & (n >= 12), "medium").otherwise("low")
 
@@ -203,15 +199,6 @@ def confirmed_label(action: Column, confidence: Column) -> Column:
     return F.when(action != "confirmed", "false_positive").when(confidence >= 0.8, "high").when(confidence >= 0.5, "medium").otherwise("low")
 
 
-def _window_entropies(s: Column) -> Column:
-    """Local entropy over windows of eight: even and rich is best."""
-    e = F.transform(ngrams(s, 8), lambda w: F.round(shannon_entropy(w), 12))
-    n = F.size(e)
-    mean = F.aggregate(e, F.lit(0.0), lambda a, x: a + x) / n
-    std = F.sqrt(F.greatest(F.lit(0.0), F.aggregate(e, F.lit(0.0), lambda a, x: a + x * x) / n - mean * mean))
-    return F.when(F.length(s) < 8, 0.0).otherwise(((1 - F.least(F.lit(1.0), std / 2)) + F.least(F.lit(1.0), mean / 4)) / 2)
-
-
 def _separator_score(s: Column) -> Column:
     out = F.lit(0.0)
     for sep in ("\\.", "_", "-"):
@@ -223,22 +210,21 @@ def _separator_score(s: Column) -> Column:
     return F.when(s.rlike("[^-_.]"), out).otherwise(F.least(F.lit(1.0), only * 0.2))
 
 
-def features(s: Column, context: Column, raw_name: Column) -> list[Column]:
-    """The 35 numbers of a candidate, in their fixed order: s is normalised, no input is null."""
+def features(s: Column, context: Column, raw_name: Column, shape: Column) -> list[Column]:
+    """The 35 numbers of a candidate, in their fixed order: s is normalised, shape its measures, no input is null."""
     ctx = F.lower(context)
     vn, n = F.lower(raw_name), F.length(s)
     safe = F.greatest(F.lit(1), n)
     flag = lambda c: F.coalesce(c, F.lit(False)).cast("double")
     ratio = lambda p: F.regexp_count(s, F.lit(p)) / safe
-    unique = F.size(F.array_distinct(characters(s)))
-    run = F.coalesce(F.array_max(F.transform(F.regexp_extract_all(s, F.lit(r"((?s).)\1*"), F.lit(0)), F.length)), F.lit(0)) / safe
+    unique, run = shape["n_distinct"], shape["longest_run"] / safe
     switches = F.regexp_count(s, F.lit("(?=[A-Za-z][0-9]|[0-9][A-Za-z])"))
     best = F.greatest(F.lit(0.0), *(F.when(s.rlike(p), v).otherwise(0.0) for p, v in FORMATS))
     counted = lambda text, words, step: F.least(F.lit(1.0), _count_of(text, words) * F.lit(step))
     return [
         F.least(F.lit(1.0), n / 100.0), F.when(n >= 20, 1.0).otherwise(n / 20.0), ratio("[0-9]"), ratio("[A-Z]"), ratio("[a-z]"),
-        ratio(r"[!#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]"), unique / safe, shannon_entropy(s) / 8, entropy_of(ngrams(s, 2)) / 8, entropy_of(ngrams(s, 3)) / 8,
-        F.least(F.lit(1.0), unique / F.least(safe, F.lit(64))), run, 1 - run, _window_entropies(s), best,
+        ratio(r"[!#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]"), unique / safe, shape["entropy1"] / 8, shape["entropy2"] / 8, shape["entropy3"] / 8,
+        F.least(F.lit(1.0), unique / F.least(safe, F.lit(64))), run, 1 - run, shape["evenness"], best,
         flag((n >= 16) & (n % 4 == 0) & s.rlike(r"^[A-Za-z0-9+/=]+\z")), flag((n >= 32) & (n % 2 == 0) & s.rlike(r"^[0-9a-fA-F]+\z")),
         flag(s.rlike("^(?:" + "|".join(p.replace(".", r"\.") for p in KNOWN_PREFIXES) + ")")), flag(s.endswith("=")), flag(s.rlike(r"[A-Za-z0-9+/]{40,}={0,2}\z")),
         counted(ctx, HIGH_CONTEXT, 0.4), counted(ctx, MEDIUM_CONTEXT, 0.2), counted(ctx, LOW_CONTEXT, 0.1), flag(context.rlike("[\"'`]")), flag(context.contains("=")),
@@ -248,7 +234,7 @@ def features(s: Column, context: Column, raw_name: Column) -> list[Column]:
     ]
 
 
-def fallback_class(f: Column) -> Column:
-    """The class from a feature array: format, entropy, context and name."""
+def fallback_class(f: Column | dict[int, Column]) -> Column:
+    """The class from the features 7, 14, 20 and 25: entropy, format, context and name."""
     h = f[7] * 8
     return F.when((f[14] >= 1) & (h > 4.0), "high").when((h > 4.5) & ((f[20] > 0) | (f[25] > 0)), "high").when(h > 3.5, "medium").otherwise("low")

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kvtrail.functions import secrets as fn
+from kvtrail.functions.shapes import shape
 from kvtrail.operators.filters import ignored, should_scan, size_gate
 
 
@@ -18,6 +21,10 @@ class Pattern:
     priority: int
     entropy: bool = False
     any_case: bool = False
+    #: A match holds at least one of these strings (in lower case where any case matches); none known: ().
+    needs: tuple[str, ...] = ()
+    #: A match holds a match of this simple pattern.
+    run: str = ""
 
     @property
     def spans_lines(self) -> bool:
@@ -31,39 +38,38 @@ class Pattern:
         return ("(?i)" if self.any_case else "") + self.regex
 
 
-_PEM = r"\b-----BEGIN\s+{0}-----[\s\S]*?-----END\s+{0}-----\b"
 # The patterns a scan starts with, with type, priority, entropy check and case.
 DEFAULT_PATTERNS = [
-    Pattern("Generic API Key", r"\b(sk|pk|api|key|token|secret)[_-]?[a-zA-Z0-9_-]{20,}\b", 1, True, True),
-    Pattern("Stripe Secret Key", r"\b(sk-[a-zA-Z0-9]{20,})\b", 5),
-    Pattern("Stripe Publishable Key", r"\b(pk_[a-zA-Z0-9]{16,})\b", 5),
-    Pattern("SendGrid API Key", r"\b(sg\.[a-zA-Z0-9_-]{16,})\b", 5),
-    Pattern("DigitalOcean Token", r"\b(dop_v1_[a-zA-Z0-9_-]{20,})\b", 5),
-    Pattern("Vercel Token", r"\b(vercel_[a-zA-Z0-9_-]{16,})\b", 5),
-    Pattern("GitHub Personal Access Token", r"\b(ghp_[a-zA-Z0-9]{20,})\b", 5),
-    Pattern("GitHub OAuth Token", r"\b(gho_[a-zA-Z0-9]{20,})\b", 5),
-    Pattern("Slack API Token", r"\b(xoxb|xoxp|xoxa|xoxr|xoxt)-[0-9-]+-[0-9-]+-[a-zA-Z0-9-]+\b", 5),
-    Pattern("AWS Access Key ID", r"\b(AKIAI[0-9A-Z]{16})\b", 5),
-    Pattern("OpenAI API Key", r"\b(sk-[a-zA-Z0-9]{20,})\b", 5),
-    Pattern("Mailgun API Key", r"\b(MailgunApiKey-[a-zA-Z0-9]{20,})\b", 5),
-    Pattern("Twilio Auth Token", r"\b(TwilioAuthToken-[a-zA-Z0-9]{20,})\b", 5),
-    Pattern("Sentry DSN", r"""\b(SENTRY_DSN|SENTRY_KEY|SENTRY_SECRET)[=:\s]*(["'`]?)[a-zA-Z0-9+/=\-_]{20,}["'`]?\b""", 5, False, True),
-    Pattern("Generic Password", r"""\b(password|passwd|pwd|pass)[\s=:/]*(["'`]?)[^\s"'`]{8,}["'`]?\b""", 2, True, True),
-    Pattern("Generic Secret", r"""\b(secret|token|key|auth)[\s=:/]*(["'`]?)[^\s"'`]{12,}["'`]?\b""", 2, True, True),
-    Pattern("SSH RSA Private Key", _PEM.format(r"RSA\s+PRIVATE\s+KEY"), 5, False, True),
-    Pattern("SSH DSA Private Key", _PEM.format(r"DSA\s+PRIVATE\s+KEY"), 5, False, True),
-    Pattern("SSH EC Private Key", _PEM.format(r"EC\s+PRIVATE\s+KEY"), 5, False, True),
-    Pattern("SSH OpenSSH Private Key", _PEM.format(r"OPENSSH\s+PRIVATE\s+KEY"), 5, False, True),
-    Pattern("SSL Certificate", _PEM.format("CERTIFICATE"), 4, False, True),
-    Pattern("JWT Token", r"\b(eyJ[A-Za-z0-9+/=]{20,})\b", 4),
-    Pattern("MD5 Hash", r"\b([A-Fa-f0-9]{32,})\b", 1, True),
-    Pattern("SHA-1 Hash", r"\b([A-Fa-f0-9]{40,})\b", 1, True),
-    Pattern("SHA-256 Hash", r"\b([A-Fa-f0-9]{64,})\b", 1, True),
-    Pattern("Database URL", r"""\b(mongodb|postgres|mysql|sqlite|redis)://[^\s"'`]{15,}\b""", 5, False, True),
-    Pattern("MongoDB Atlas URL", r"""\b(mongodb\+srv)://[^\s"'`]{15,}\b""", 5, False, True),
-    Pattern("Redis URL", r"""redis://[^\s"'`]{10,}""", 5, False, True),
-    Pattern("Google Cloud Secret Manager", r"\bprojects/[^/]+/(?:secrets|locations/[^/]+/secrets)/[^/\s]+/versions/[^/\s]+\b", 5),
-    Pattern("Base64 Encoded Data", r"\b([a-zA-Z0-9+/=]{20,})\b", 1, True),
+    Pattern("Generic API Key", r"\b(sk|pk|api|key|token|secret)[_-]?[a-zA-Z0-9_-]{20,}\b", 1, True, True, ("sk", "pk", "api", "key", "token", "secret"), "[a-zA-Z0-9_-]{20}"),
+    Pattern("Stripe Secret Key", r"\b(sk-[a-zA-Z0-9]{20,})\b", 5, needs=("sk-",)),
+    Pattern("Stripe Publishable Key", r"\b(pk_[a-zA-Z0-9]{16,})\b", 5, needs=("pk_",)),
+    Pattern("SendGrid API Key", r"\b(sg\.[a-zA-Z0-9_-]{16,})\b", 5, needs=("sg.",)),
+    Pattern("DigitalOcean Token", r"\b(dop_v1_[a-zA-Z0-9_-]{20,})\b", 5, needs=("dop_v1_",)),
+    Pattern("Vercel Token", r"\b(vercel_[a-zA-Z0-9_-]{16,})\b", 5, needs=("vercel_",)),
+    Pattern("GitHub Personal Access Token", r"\b(ghp_[a-zA-Z0-9]{20,})\b", 5, needs=("ghp_",)),
+    Pattern("GitHub OAuth Token", r"\b(gho_[a-zA-Z0-9]{20,})\b", 5, needs=("gho_",)),
+    Pattern("Slack API Token", r"\b(xoxb|xoxp|xoxa|xoxr|xoxt)-[0-9-]+-[0-9-]+-[a-zA-Z0-9-]+\b", 5, needs=("xoxb-", "xoxp-", "xoxa-", "xoxr-", "xoxt-")),
+    Pattern("AWS Access Key ID", r"\b(AKIAI[0-9A-Z]{16})\b", 5, needs=("AKIAI",)),
+    Pattern("OpenAI API Key", r"\b(sk-[a-zA-Z0-9]{20,})\b", 5, needs=("sk-",)),
+    Pattern("Mailgun API Key", r"\b(MailgunApiKey-[a-zA-Z0-9]{20,})\b", 5, needs=("MailgunApiKey-",)),
+    Pattern("Twilio Auth Token", r"\b(TwilioAuthToken-[a-zA-Z0-9]{20,})\b", 5, needs=("TwilioAuthToken-",)),
+    Pattern("Sentry DSN", r"""\b(SENTRY_DSN|SENTRY_KEY|SENTRY_SECRET)[=:\s]*(["'`]?)[a-zA-Z0-9+/=\-_]{20,}["'`]?\b""", 5, False, True, ("sentry_",), "[a-zA-Z0-9+/=_-]{20}"),
+    Pattern("Generic Password", r"""\b(password|passwd|pwd|pass)[\s=:/]*(["'`]?)[^\s"'`]{8,}["'`]?\b""", 2, True, True, ("passwd", "pwd", "pass")),
+    Pattern("Generic Secret", r"""\b(secret|token|key|auth)[\s=:/]*(["'`]?)[^\s"'`]{12,}["'`]?\b""", 2, True, True, ("secret", "token", "key", "auth")),
+    Pattern("SSH RSA Private Key", r"\b-----BEGIN\s+RSA\s+PRIVATE\s+KEY-----[\s\S]*?-----END\s+RSA\s+PRIVATE\s+KEY-----\b", 5, False, True, ("-----begin",)),
+    Pattern("SSH DSA Private Key", r"\b-----BEGIN\s+DSA\s+PRIVATE\s+KEY-----[\s\S]*?-----END\s+DSA\s+PRIVATE\s+KEY-----\b", 5, False, True, ("-----begin",)),
+    Pattern("SSH EC Private Key", r"\b-----BEGIN\s+EC\s+PRIVATE\s+KEY-----[\s\S]*?-----END\s+EC\s+PRIVATE\s+KEY-----\b", 5, False, True, ("-----begin",)),
+    Pattern("SSH OpenSSH Private Key", r"\b-----BEGIN\s+OPENSSH\s+PRIVATE\s+KEY-----[\s\S]*?-----END\s+OPENSSH\s+PRIVATE\s+KEY-----\b", 5, False, True, ("-----begin",)),
+    Pattern("SSL Certificate", r"\b(-----BEGIN\s+CERTIFICATE-----[\s\S]*?-----END\s+CERTIFICATE-----)\b", 4, False, True, ("-----begin",)),
+    Pattern("JWT Token", r"\b(eyJ[A-Za-z0-9+/=]{20,})\b", 4, needs=("eyJ",)),
+    Pattern("MD5 Hash", r"\b([A-Fa-f0-9]{32,})\b", 1, True, run="[A-Fa-f0-9]{32}"),
+    Pattern("SHA-1 Hash", r"\b([A-Fa-f0-9]{40,})\b", 1, True, run="[A-Fa-f0-9]{40}"),
+    Pattern("SHA-256 Hash", r"\b([A-Fa-f0-9]{64,})\b", 1, True, run="[A-Fa-f0-9]{64}"),
+    Pattern("Database URL", r"""\b(mongodb|postgres|mysql|sqlite|redis)://[^\s"'`]{15,}\b""", 5, False, True, ("://",)),
+    Pattern("MongoDB Atlas URL", r"""\b(mongodb\+srv)://[^\s"'`]{15,}\b""", 5, False, True, ("://",)),
+    Pattern("Redis URL", r"""redis://[^\s"'`]{10,}""", 5, False, True, ("redis://",)),
+    Pattern("Google Cloud Secret Manager", r"\bprojects/[^/]+/(?:secrets|locations/[^/]+/secrets)/[^/\s]+/versions/[^/\s]+\b", 5, needs=("projects/",)),
+    Pattern("Base64 Encoded Data", r"\b([a-zA-Z0-9+/=]{20,})\b", 1, True, run="[a-zA-Z0-9+/=]{20}"),
 ]
 
 
@@ -90,13 +96,37 @@ def matches(text: Column, p: Pattern) -> Column:
     return F.regexp_extract_all(text, F.lit(p.java()), F.lit(0))
 
 
+def may_match(text: Column, lower: Column, p: Pattern) -> Column:
+    """A cheap test that every text with a match of p passes; lower: the text in lower case."""
+    tests = [F.lit(True)]
+    if p.needs:
+        held = lower if p.any_case else text
+        tests.append(reduce(or_, (held.contains(w) for w in p.needs)))
+    if p.run:
+        tests.append(text.rlike(p.run))
+    return reduce(and_, tests[1:] or tests)
+
+
 def _hits(text: Column, p: Pattern) -> Column:
-    return F.transform(matches(text, p), lambda m: F.struct(F.lit(p.type).alias("type"), F.lit(p.priority).alias("priority"), F.lit(p.entropy).alias("checked"), m.alias("value")))
+    """type, priority, checked, value and start (from 0) of each match; matches lie between the pieces of a split."""
+    both = F.array(F.struct(matches(text, p).alias("values"), F.split(text, p.java(), -1).alias("gaps")))
+    size = lambda n, x: n + F.length(x)
+
+    def hits(m: Column) -> Column:
+        def hit(value: Column, k: Column) -> Column:
+            ahead = F.aggregate(F.slice(m["gaps"], F.lit(1), k + 1), F.lit(0), size) + F.aggregate(F.slice(m["values"], F.lit(1), k), F.lit(0), size)
+            return F.struct(F.lit(p.type).alias("type"), F.lit(p.priority).alias("priority"), F.lit(p.entropy).alias("checked"), value.alias("value"), ahead.alias("start"))
+
+        return F.transform(m["values"], hit)
+
+    return F.flatten(F.transform(both, hits))
 
 
 def pattern_counts(rows: DataFrame, text: str, patterns: PatternSet = PatternSet()) -> DataFrame:
-    """type and number of matches of each pattern: one aggregate per pattern in a single pass."""
-    counts = rows.agg(*(F.coalesce(F.sum(F.regexp_count(text, F.lit(p.java()))), F.lit(0)).alias(f"c{k}") for k, p in enumerate(patterns.patterns)))
+    """type and number of matches of each pattern: one aggregate per pattern in a single pass, behind each one's cheap test."""
+    rows = rows.select(F.col(text).alias("text"), F.lower(text).alias("lower"))
+    found = lambda p: F.when(may_match(F.col("text"), F.col("lower"), p), F.regexp_count("text", F.lit(p.java())))
+    counts = rows.agg(*(F.coalesce(F.sum(found(p)), F.lit(0)).alias(f"c{k}") for k, p in enumerate(patterns.patterns)))
     kinds = F.array(*(F.struct(F.lit(p.type).alias("type"), F.col(f"c{k}").alias("matches")) for k, p in enumerate(patterns.patterns)))
     return counts.select(F.explode(kinds).alias("x")).select("x.type", "x.matches")
 
@@ -109,24 +139,20 @@ def context_window(lines: DataFrame) -> DataFrame:
 
 def _line_hits(rows: DataFrame, patterns: list[Pattern]) -> DataFrame:
     """Hits within a line: its number from 0 as first and last, the line, the hit and its column."""
-    rows = rows.select("doc_key", "source", "path", "all", F.posexplode("all").alias("pos", "content"))
-    rows = rows.where(F.col("content").rlike(r"[A-Za-z0-9+/=_.-]{16}|://|xox[bpart]-|(?i:pass|pwd|secret|token|key|auth)"))
-    hits = F.filter(F.flatten(F.array(*(_hits(F.col("content"), p) for p in patterns))), lambda h: h["value"] != "")
-    found = rows.select("doc_key", "source", "path", "all", "pos", F.col("pos").alias("last"), "content", F.explode(hits).alias("h")).select("*", "h.*").drop("h")
-    return found.withColumn("column", F.instr(F.col("content"), F.col("value")))
+    rows = rows.select("doc_key", "source", "path", "all", F.posexplode("all").alias("pos", "content")).withColumn("lower", F.lower("content"))
+    tests = [may_match(F.col("content"), F.col("lower"), p) for p in patterns]
+    found = F.array(*(F.when(t, _hits(F.col("content"), p)) for t, p in zip(tests, patterns, strict=True)))
+    rows = rows.where(reduce(or_, tests)).withColumn("h", F.explode(F.filter(F.flatten(F.array_compact(found)), lambda h: h["value"] != "")))
+    return rows.select("doc_key", "source", "path", "all", "pos", F.col("pos").alias("last"), "content", "h.*").withColumn("column", F.col("start") + 1).drop("start")
 
 
 def _text_hits(rows: DataFrame, patterns: list[Pattern]) -> DataFrame:
     """Hits of patterns that span lines, in whole texts: as _line_hits, with all lines of a hit as content."""
-
-    def with_gaps(p: Pattern) -> Column:
-        return F.struct(_hits(F.col("text"), p).alias("hits"), F.split("text", p.java(), -1).alias("gaps"))
-
-    rows = rows.where(F.col("text").rlike("(?i)-----BEGIN")).select("doc_key", "source", "path", "all", "text", F.explode(F.array(*map(with_gaps, patterns))).alias("m"))
-    rows = rows.select("doc_key", "source", "path", "all", "text", "m", F.posexplode("m.hits").alias("k", "h"))
-    # a hit starts after the gaps and hits before it
-    start = F.expr("aggregate(slice(m.gaps, 1, k + 1), 0, (n, g) -> n + length(g)) + aggregate(slice(m.hits, 1, k), 0, (n, x) -> n + length(x.value))")
-    rows = rows.withColumn("ahead", F.substring("text", F.lit(1), start)).select("doc_key", "source", "path", "all", "ahead", "h.*")
+    rows = rows.withColumn("lower", F.lower("text"))
+    tests = [may_match(F.col("text"), F.col("lower"), p) for p in patterns]
+    found = F.array(*(F.when(t, _hits(F.col("text"), p)) for t, p in zip(tests, patterns, strict=True)))
+    rows = rows.where(reduce(or_, tests)).withColumn("h", F.explode(F.flatten(F.array_compact(found))))
+    rows = rows.select("doc_key", "source", "path", "all", F.expr("left(text, h.start)").alias("ahead"), "h.*").drop("start")
     rows = rows.withColumn("pos", F.size(F.split("ahead", "\n")) - 1).withColumn("last", F.col("pos") + F.size(F.split("value", "\n")) - 1)
     content = F.array_join(F.slice("all", F.col("pos") + 1, F.col("last") - F.col("pos") + 1), "\n")
     return rows.withColumn("content", content).withColumn("column", F.length(F.substring_index("ahead", "\n", -1)) + 1).drop("ahead")
@@ -135,8 +161,8 @@ def _text_hits(rows: DataFrame, patterns: list[Pattern]) -> DataFrame:
 def scan(docs: DataFrame, patterns: PatternSet = PatternSet(), most_bytes: int = 1 << 20) -> DataFrame:
     """Findings of every pattern in documents that pass the path and size rules.
 
-    One projection matches the patterns of single lines on those that a cheap test lets
-    through, another those that span lines on whole texts that hold a block's head;
+    One projection matches the patterns of single lines, each on the lines that hold what
+    its matches can't do without, another those that span lines on whole texts;
     neighbouring lines come from the document's own array of lines, so nothing is shuffled.
     """
     rows = docs.where(~ignored(F.col("path")) & should_scan(F.col("path")) & size_gate(F.col("text"), most_bytes)).select("doc_key", "source", "path", "text", F.split("text", "\n").alias("all"))
@@ -160,19 +186,33 @@ def findings_rollup(findings: DataFrame) -> DataFrame:
     return out.select(*(F.coalesce(c, F.lit("all")).alias(c) for c in ("type", "risk", "source")), "findings")
 
 
+def _measured(candidates: DataFrame) -> tuple[DataFrame, list[Column]]:
+    """The candidates with their inputs and measures in _in and _shape, and the 35 features by them."""
+    inputs = F.struct(fn.normalized(F.coalesce("value", F.lit(""))).alias("s"), F.coalesce("context", F.lit("")).alias("c"), F.coalesce("variable_name", F.lit("")).alias("n"))
+    # the generator keeps the optimiser from writing the inputs out at every use
+    rows = candidates.select("*", F.explode(F.array(inputs)).alias("_in")).withColumn("_shape", shape(F.col("_in.s")))
+    return rows, fn.features(F.col("_in.s"), F.col("_in.c"), F.col("_in.n"), F.col("_shape"))
+
+
 def feature_table(candidates: DataFrame) -> DataFrame:
     """f: the 35 features of each candidate, and its class by them."""
-    inputs = F.struct(fn.normalized(F.coalesce("value", F.lit(""))).alias("s"), F.coalesce("context", F.lit("")).alias("c"), F.coalesce("variable_name", F.lit("")).alias("n"))
-    # the generators keep the optimiser from writing the inputs, and then the features, out at every use
-    rows = candidates.select("*", F.explode(F.array(inputs)).alias("_in"))
-    f = F.array(*fn.features(F.col("_in.s"), F.col("_in.c"), F.col("_in.n")))
-    rows = rows.select("*", F.explode(F.array(f)).alias("f")).drop("_in")
+    rows, f = _measured(candidates)
+    rows = rows.select("*", F.explode(F.array(F.array(*f))).alias("f")).drop("_in", "_shape")
     return rows.withColumn("class", fn.fallback_class(F.col("f")))
 
 
+def classified(candidates: DataFrame) -> DataFrame:
+    """The class of each candidate and the features that it rests on: f07, f14, f20 and f25; the others are not made."""
+    rows, f = _measured(candidates)
+    for k in (7, 14, 20, 25):
+        rows = rows.withColumn(f"f{k:02d}", f[k])
+    rows = rows.drop("_in", "_shape")
+    return rows.withColumn("class", fn.fallback_class({k: F.col(f"f{k:02d}") for k in (7, 14, 20, 25)}))
+
+
 def cascade(candidates: DataFrame, blacklist: DataFrame) -> DataFrame:
     """Class by certain formats, then known hashes, then entropy, then the features."""
-    rows = feature_table(candidates).withColumn("hash", fn.entry_hash(F.col("variable_name"), F.col("value")))
+    rows = classified(candidates).withColumn("hash", fn.entry_hash(F.col("variable_name"), F.col("value")))
     rows = rows.join(blacklist.select("hash").distinct().withColumn("listed", F.lit(True)), "hash", "left")
-    label = F.when(fn.known_pattern(F.col("value")), "high").when(F.col("listed"), "high").when(F.col("f")[7] * 8 < 3.5, "low").otherwise(F.col("class"))
+    label = F.when(fn.known_pattern(F.col("value")), "high").when(F.col("listed"), "high").when(F.col("f07") * 8 < 3.5, "low").otherwise(F.col("class"))
     return rows.withColumn("label", label)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 
 import pandas as pd
@@ -79,19 +80,26 @@ def restore(current: DataFrame, trashed: DataFrame, keys: list[str] = KEYS) -> D
 
 
 def granular_runs(old: str, new: str) -> list[dict]:
-    """Greedy character runs that turn old into new; positions are in new."""
-    out, i, j = [], 0, 0
-    while i < len(old) or j < len(new):
-        if i < len(old) and j < len(new) and old[i] == new[j]:
-            i, j = i + 1, j + 1
-            continue
-        a, b = i, j
-        while i < len(old) and (j >= len(new) or old[i] != new[j]):
-            i += 1
-        while j < len(new) and (i >= len(old) or new[j] != old[i]):
-            j += 1
-        kind = "replace" if i > a and j > b else "delete" if i > a else "insert"
-        out.append({"type": kind, "original": old[a:i], "modified": new[b:j], "position": b})
+    """Character runs that turn old into new, found from left to right; positions are in new.
+
+    Equal heads are skipped. Where the texts part, the old one loses what stands before
+    the next place of the new character that follows, and then the new one gains what
+    stands before the next place of the old character that follows; without such a
+    place, all that is left goes or comes.
+    """
+    out, at = [], 0
+    while old or new:
+        head = len(os.path.commonprefix([old, new]))
+        old, new, at = old[head:], new[head:], at + head
+        if not old and not new:
+            break
+        lost = old[: found] if new and (found := old.find(new[0])) >= 0 else old
+        old = old[len(lost) :]
+        gained = new[: found] if old and (found := new.find(old[0])) >= 0 else new
+        new = new[len(gained) :]
+        kind = "insert" if not lost else "replace" if gained else "delete"
+        out.append({"type": kind, "original": lost, "modified": gained, "position": at})
+        at += len(gained)
     return out
 
 

@@ -73,11 +73,11 @@ def summary(files: DataFrame, errors: DataFrame, keys: list[str]) -> DataFrame:
     return files.select(*keys).join(counts, keys, "left").fillna(zero).withColumn("valid", F.col("errors") == 0)
 
 
-def policy_gate(files: DataFrame, errors: DataFrame, secrets: DataFrame, change_set: str, keys: list[str]) -> DataFrame:
-    """Per change set: issues of the three checks and whether any blocks it."""
+def policy_gate(files: DataFrame, errors: DataFrame, secrets: DataFrame, change_set: str, blocking: tuple[str, ...] = ("env_file", "secret", "validation")) -> DataFrame:
+    """Per change set: issues of the three checks, and whether one that is set to block was found."""
     staged = files.select(change_set, F.lit("env_file").alias("issue"))
     found = staged.unionByName(errors.select(change_set, F.lit("validation").alias("issue"))).unionByName(secrets.select(change_set, F.lit("secret").alias("issue")))
-    return found.groupBy(change_set).agg(*(F.count_if(F.col("issue") == i).alias(f"{i}_issues") for i in ("env_file", "secret", "validation")), F.lit(True).alias("blocked"))
+    return found.groupBy(change_set).agg(*(F.count_if(F.col("issue") == i).alias(f"{i}_issues") for i in ("env_file", "secret", "validation")), F.bool_or(F.col("issue").isin(*blocking)).alias("blocked"))
 
 
 def branch_switch(branches: DataFrame, mapping: DataFrame, files: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from kvtrail.operators import history as op
 from kvtrail.plans.catalog import query
-from kvtrail.plans.views import H, H_FINE, H_TINY, history, table
+from kvtrail.plans.views import H, H_FINE, H_TINY, history, table, tiny_history
 
 _SWITCH = """w as (select *, last_value(case when action = 'switch' then environmentName end ignore nulls) over (partition by workspace order by timestamp, id rows between unbounded preceding and 1 preceding) as previous_env from h)"""
 _MOVES = _SWITCH + ", m as (select workspace, previous_env as from_env, environmentName as to_env, count(*) as transitions from w where previous_env is not null and previous_env <> environmentName group by all)"
@@ -31,13 +31,14 @@ _simple("change_span", op.change_span, f", {_SPAN} select workspace, environment
 for _name, _fine in (("", False), ("_fine", True)):
     _simple("churn_rate" + _name, op.churn_rate, f", {_SPAN} select workspace, environmentName, round(case when total_changes = 1 then 0 when us = 0 then null else total_changes / (us / 86400000000.0::double) end, 6) as churn_rate from s", _fine)
     _simple("avg_time_between_changes" + _name, op.average_gap, f", {_SPAN} select workspace, environmentName, round(case when total_changes = 1 then 0 else us / 3600000000.0::double / (total_changes - 1) end, 6) as avg_gap_hours from s", _fine)
-_STABLE = """, g as (select *, (epoch_us(timestamp) - lag(epoch_us(timestamp)) over (partition by workspace, environmentName order by timestamp, id)) / 3600000000.0::double as gap from h),
-a as (select workspace, environmentName, count(*) as n, coalesce(avg(gap), 0) as mean, coalesce(var_pop(gap), 0) as v, (epoch_us(max(timestamp)) - epoch_us(min(timestamp))) / 86400000000.0::double as days from g group by all)
-select workspace, environmentName, (case when n = 1 then 100 else round((round(greatest(0, 100 - v / (case when mean = 0 then 24 else mean end) * 50), 9)
-  + round(case when days = 0 then 0 else greatest(0, 100 - n / days * 7 * 10) end, 9)) / 2) end)::int as stability from a"""
+STABILITY = """, sg as (select *, (epoch_us(timestamp) - lag(epoch_us(timestamp)) over (partition by workspace, environmentName order by timestamp, id)) / 3600000000.0::double as gap from h),
+sa as (select workspace, environmentName, count(*) as n, coalesce(avg(gap), 0) as mean, coalesce(var_pop(gap), 0) as v, (epoch_us(max(timestamp)) - epoch_us(min(timestamp))) / 86400000000.0::double as days from sg group by all),
+st as (select workspace, environmentName, (case when n = 1 then 100 else round((round(greatest(0, 100 - v / (case when mean = 0 then 24 else mean end) * 50), 9)
+  + round(case when days = 0 then 0 else greatest(0, 100 - n / days * 7 * 10) end, 9)) / 2) end)::int as stability from sa)"""
+_STABLE = STABILITY + " select * from st"
 _simple("stability_score", op.stability_score, _STABLE)
 _simple("stability_score_fine", op.stability_score, _STABLE, True)
-query("stability_score_tiny", f"with {H_TINY}{_STABLE}")(lambda spark, sf_dir: op.stability_score(history(spark, sf_dir, True).where(F.col("id").cast("long") < 600)))
+query("stability_score_tiny", f"with {H_TINY}{_STABLE}")(lambda spark, sf_dir: op.stability_score(tiny_history(spark, sf_dir)))
 _simple("activity_heatmap", op.heatmap, """, b as (select workspace, strftime(timestamp, '%Y-%m') as month, timestamp::date as day, hour(timestamp)::int as hour from h)
 select workspace, 'month' as level, month as period, -1 as hour, count(*) as changes from b group by workspace, month
 union all select workspace, 'day', strftime(day, '%Y-%m-%d'), -1, count(*) from b group by workspace, day

@@ -25,8 +25,6 @@ _parsed("parse_validator_dialect", lambda h: kv.validator_pairs(h, _KEYS), " sel
 _parsed("parse_sync_dialect", lambda h: kv.sync_pairs(h, _KEYS), " select id, key, arg_max(rest, line) as value from p where key <> '' group by id, key")
 _parsed("parse_export_dialect", lambda h: kv.export_pairs(h, _KEYS), """ select id, key, arg_max(trim(rest), line) as value, arg_max(trim(rest) like 'ENC[%' and trim(rest) like '%]', line) as encrypted,
 arg_max(case when rest like '%#%' then trim(rest[strpos(rest, '#') + 1:]) end, line) as comment from p where strpos(text, '=') > 1 group by id, key""")
-_parsed("parse_encrypted_dialect", lambda h: kv.export_pairs(h, _KEYS).select("id", "key", "value", F.lit(False).alias("encrypted"), F.col("value").alias("raw")),
-        " select id, key, arg_max(trim(rest), line) as value, false as encrypted, arg_max(trim(rest), line) as raw from p where strpos(text, '=') > 1 group by id, key")
 _parsed("parse_completion_dialect", lambda h: kv.completion_pairs(h, _KEYS), """, n as (select a.id, a.line, a.text, (text not like '#%' and strpos(text, '=') > 0) as pair from a where text <> ''),
 b as (select *, sum(pair::int) over (partition by id order by line) - pair::int as block from n),
 c as (select *, last_value(case when text like '#%' then trim(text[2:]) end ignore nulls) over (partition by id, block order by line) as description from b)
@@ -57,8 +55,6 @@ select id, key, case when regexp_matches(lower(key), 'key|secret|password|token|
 _parsed("export_env", lambda h: kv.export_pairs(h, _KEYS).groupBy("id").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.when(F.col("comment").isNotNull(), F.concat(F.lit("# "), "comment", F.lit("\n"))).otherwise(""), "key", F.lit("="), "value"))), "\n").alias("body")),
         """, e as (select id, key, arg_max(trim(rest), line) as value from p where strpos(text, '=') > 1 group by id, key)
 select id, string_agg(key || '=' || value, chr(10) order by key || '=' || value) as body from e group by id""")
-_parsed("reserved_key_filter", lambda h: kv.sync_pairs(h, ["workspace", "id"]).groupBy("workspace").agg(F.count_if(F.expr("upper(key) = 'PORT'")).alias("dropped"), F.count_if(F.expr("upper(key) != 'PORT'")).alias("pushed")),
-        """, e as (select workspace, id, key from p where key <> '' group by all) select workspace, count(*) filter (where upper(key) = 'PORT') as dropped, count(*) filter (where upper(key) <> 'PORT') as pushed from e group by 1""")
 _parsed("change_request_rows", lambda h: kv.sync_pairs(h, _KEYS).select("id", F.col("key").alias("name"), F.col("key").alias("originalName"), "value", F.lit(False).alias("shouldPrompt")),
         """ select id, key as name, key as originalName, arg_max(rest, line) as value, false as shouldPrompt from p where key <> '' group by id, key""")
 _parsed("sensitive_key_warning", lambda h: kv.lines_of(h.select("id", "fileContent")).where("not startswith(raw, '#') and contains(raw, '=')").withColumn("key", kv.js_trim(F.substring_index("raw", "=", 1))).where(kv.sensitive_key(F.col("key"))).select("id", F.format_string("%s (line %d)", "key", "line").alias("warning")),

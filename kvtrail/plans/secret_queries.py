@@ -8,7 +8,7 @@ from kvtrail.functions import kv
 from kvtrail.functions import secrets as fn
 from kvtrail.operators import detection as op
 from kvtrail.plans.catalog import query
-from kvtrail.plans.views import CAND, LINES, candidates, documents, lines, table
+from kvtrail.plans.views import CAND, FRAMED, LINES, candidates, documents, framed, lines, table
 
 
 # columns are made when a query runs: a session may not exist when this module is imported
@@ -147,7 +147,7 @@ def features_table(spark, sf_dir):
 
 @query("fallback_classify", f"with {_FEAT} select candidate_id, {_CLASS} as class from ft")
 def fallback_classify(spark, sf_dir):
-    return op.feature_table(candidates(spark, sf_dir)).select("candidate_id", "class")
+    return op.classified(candidates(spark, sf_dir)).select("candidate_id", "class")
 
 
 _BLACK = "bl as (select distinct left(sha256(variable_name || ':' || left(value, 8)), 16) as hash from cand where event_id % 24 = 10)"
@@ -187,8 +187,8 @@ def false_positive_removal(spark, sf_dir):
 # patterns
 def _pattern(k, p):
     # the two engines' regex flavours agree on lines; a match is compared by its count and its text
-    sql = f"with {CAND}, m as (select candidate_id, unnest(regexp_extract_all(context, '{p.re2().replace(chr(39), chr(39) * 2)}')) as match from cand) select candidate_id, match from m where match <> ''"
-    query(f"pattern_{k:02d}", sql)(lambda spark, sf_dir: candidates(spark, sf_dir).select("candidate_id", F.explode(op.matches(C(), p)).alias("match")).where("match != ''"))
+    sql = f"with {CAND}, m as (select candidate_id, unnest(regexp_extract_all({FRAMED}, '{p.re2().replace(chr(39), chr(39) * 2)}')) as match from cand) select candidate_id, match from m where match <> ''"
+    query(f"pattern_{k:02d}", sql)(lambda spark, sf_dir: candidates(spark, sf_dir).select("candidate_id", F.explode(op.matches(framed(), p)).alias("match")).where("match != ''"))
 
 
 for _k, _p in enumerate(op.DEFAULT_PATTERNS, 1):
@@ -233,7 +233,7 @@ def feedback_stats(spark, sf_dir):
 def feedback_training_set(spark, sf_dir):
     """Candidates with a reviewer's verdict: label, name and features."""
     verdict = table(spark, sf_dir, "labels").groupBy(F.col("doc_id").cast("string").alias("candidate_id")).agg(F.min("quality").alias("quality"))
-    rows = op.feature_table(candidates(spark, sf_dir)).join(verdict, "candidate_id")
-    return rows.select("candidate_id", F.when(F.col("quality") == 1, F.col("class")).otherwise("false_positive").alias("label"), "variable_name", *(F.round(F.col("f")[k], 6).alias(f"f{k:02d}") for k in (7, 14, 20)))
+    rows = op.classified(candidates(spark, sf_dir)).join(verdict, "candidate_id")
+    return rows.select("candidate_id", F.when(F.col("quality") == 1, F.col("class")).otherwise("false_positive").alias("label"), "variable_name", *(F.round(f"f{k:02d}", 6).alias(f"f{k:02d}") for k in (7, 14, 20)))
 
 

@@ -10,6 +10,7 @@ from kvtrail.operators import history as hist
 from kvtrail.operators import validation as op
 from kvtrail.operators import variables
 from kvtrail.plans.catalog import query
+from kvtrail.plans.history_queries import STABILITY
 from kvtrail.plans.kv_queries import _ASSIGN, _SEEN
 from kvtrail.plans.views import H, RULES_SQL, history, rules
 
@@ -63,12 +64,12 @@ def security_status(s, d):
 _SECRET = "se as (select workspace, id from hl where regexp_matches(raw, '\"t[0-9]{3,}\"'))"
 
 
-@query("policy_gate", f"{_ALL}, {_SECRET}, i as (select workspace, 'env_file' as issue from h union all select h.workspace, 'validation' from er join h using (id) union all select workspace, 'secret' from se) select workspace, count(*) filter (where issue = 'env_file') as env_file_issues, count(*) filter (where issue = 'secret') as secret_issues, count(*) filter (where issue = 'validation') as validation_issues, true as blocked from i group by 1")
+@query("policy_gate", f"{_ALL}, {_SECRET}, i as (select workspace, 'env_file' as issue from h union all select h.workspace, 'validation' from er join h using (id) union all select workspace, 'secret' from se) select workspace, count(*) filter (where issue = 'env_file') as env_file_issues, count(*) filter (where issue = 'secret') as secret_issues, count(*) filter (where issue = 'validation') as validation_issues, bool_or(issue in ('secret', 'validation')) as blocked from i group by 1")
 def policy_gate(s, d):
     """Workspaces as change sets; three-digit tokens stand for secrets."""
     log = history(s, d)
     secrets = kv.lines_of(log.select("workspace", "id", "fileContent")).where(F.col("raw").rlike('"t[0-9]{3,}"'))
-    return op.policy_gate(log, _errors(s, d, ["workspace", "id"]), secrets, "workspace", K)
+    return op.policy_gate(log, _errors(s, d, ["workspace", "id"]), secrets, "workspace", ("secret", "validation"))
 
 
 @query("branch_environment_mapping", f"with {H}, b as (select distinct 'b' || (event_id % 5) as branch from events), m(branch, environment) as (values ('b0', 'development'), ('b1', 'staging'), ('b2', 'production'), ('b3', 'preview')), f as (select distinct environmentName as environment, true as there from h) select branch, environment, case when environment is null then 'unmapped' when there is null then 'missing file' else 'switched' end as outcome from b left join m using (branch) left join f using (environment)")
@@ -108,7 +109,7 @@ def quick_insights(s, d):
     return out.join(joined(variables.change_frequency(seen), "key", "changed", [F.desc("changes"), F.col("key")]), "workspace")
 
 
-@query("activity_score", f"with {_ASSIGN}{_SEEN}, n as (select workspace, count(*) as n from h group by 1), c as (select workspace, sum(k) as changes from (select workspace, key, count(*) - 1 as k from x group by all) group by 1) select workspace, round(0.4 * least(n / 10.0, 100) + 0.3 * 0 + 0.3 * least(changes / 5.0, 100))::int as score from n join c using (workspace)")
+@query("activity_score", f"with {_ASSIGN}{_SEEN}{STABILITY}, sw as (select workspace, avg(stability) as stable from st group by 1), n as (select workspace, count(*) as n from h group by 1), c as (select workspace, sum(k) as changes from (select workspace, key, count(*) - 1 as k from x group by all) group by 1) select workspace, round(0.4 * least(n / 10.0, 100) + 0.3 * stable + 0.3 * least(changes / 5.0, 100))::int as score from n join c using (workspace) join sw using (workspace)")
 def activity_score(s, d):
     log = history(s, d)
     n = log.groupBy("workspace").agg(F.count(F.lit(1)).alias("n"))

@@ -61,7 +61,12 @@ def _history_sql(workspace: str, where: str = "true") -> str:
 
 H = "h as " + _history_sql("'ws_' || (user_id % 10)")
 H_FINE = "h as " + _history_sql("'user_' || user_id")
-H_TINY = "h as " + _history_sql("'user_' || user_id", "event_id < 600")
+H_TINY = "h as " + _history_sql("'user_' || user_id || '_' || (event_id // 600)")
+
+
+def tiny_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole log in many small workspaces, most of one or two changes: of a user and 600 neighbouring events."""
+    return history(spark, sf_dir, True).withColumn("workspace", F.concat("workspace", F.lit("_"), F.expr("cast(id as bigint) div 600")))
 
 
 def snapshots_at(log: DataFrame, until: Column | None = None) -> DataFrame:
@@ -82,7 +87,7 @@ LINES_OF_H = H + r""", hl as (select id, workspace, unnest(string_split(fileCont
 
 RULES = [
     ("required", "PORT", None), ("required", "DEBUG", None), ("type", "PORT", "number"), ("type", "URL", "url"),
-    ("type", "DEBUG", "boolean"), ("custom", "API_TOKEN", '^"t[0-9]$'),
+    ("type", "DEBUG", "boolean"), ("type", "API_TOKEN", "number"), ("custom", "API_TOKEN", '^"t[0-9]$'),
 ]
 
 
@@ -146,3 +151,22 @@ CAND = """cand as (select *, case when event_id % 2 = 0 then 'const API_KEY = "'
     when 0 then 'ghp_' || left(m || m, 36) when 1 then 'AKIAI' || upper(left(m, 16)) when 2 then 'sk-' || left(m, 24) when 3 then 'xoxb-12-34-' || m
     when 4 then 'eyJ' || m when 5 then m when 6 then sha256(event_id::varchar) when 7 then 'postgres://u:' || m || '@h/db' when 8 then 'password=' || left(m, 12)
     when 9 then 'vercel_' || m when 10 then 'example_test' else '' end as value from (select event_id, md5(event_id::varchar) as m from events)))"""
+
+#: What stands around the digest of an event, so that the families without a candidate have one as well.
+PATTERN_FRAMES = [
+    ("pk_", ""), ("sg.", ""), ("dop_v1_", ""), ("gho_", ""), ("MailgunApiKey-", ""), ("TwilioAuthToken-", ""), ("SENTRY_DSN=", ""), ("secret=", ""), ("mongodb+srv://", ""), ("redis://", ""),
+    ("projects/p/secrets/", "/versions/1"), *((f"x-----BEGIN {k}-----\n", f"\n-----END {k}-----y") for k in ("RSA PRIVATE KEY", "DSA PRIVATE KEY", "EC PRIVATE KEY", "OPENSSH PRIVATE KEY", "CERTIFICATE")), ("", ""),
+]
+
+
+def framed() -> Column:
+    """The context of a candidate and, after a blank, its event's digest in one of the frames."""
+    pick = lambda side: F.element_at(F.array(*(F.lit(f[side]) for f in PATTERN_FRAMES)), (F.col("event_id") % len(PATTERN_FRAMES) + 1).cast("int"))
+    return F.concat("context", F.lit(" "), pick(0), F.md5(F.col("event_id").cast("string").cast("binary")), pick(1))
+
+
+def _frame_sql(side: int) -> str:
+    return "list_extract([" + ", ".join("'" + f[side].replace("\n", "' || chr(10) || '") + "'" for f in PATTERN_FRAMES) + f"], event_id % {len(PATTERN_FRAMES)} + 1)"
+
+
+FRAMED = f"context || ' ' || {_frame_sql(0)} || md5(event_id::varchar) || {_frame_sql(1)}"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from kvtrail.plans import bundle_queries as _bundles  # noqa: F401
 from kvtrail.plans import catalog
 from kvtrail.plans import filter_queries as _filters  # noqa: F401
 from kvtrail.plans import history_queries as _history  # noqa: F401

@@ -11,11 +11,14 @@ from kvtrail.functions.secrets import checksum
 HISTORY = """id string, timestamp timestamp, action string, environmentName string, fileName string, previousEnvironment string, user string,
 commitHash string, fileContent string, metadata struct<workspace: string, reason: string, tags: array<string>, source: string, checksum: string>"""
 
+IMPORTED = """id: string, timestamp: string, action: string, environmentName: string, fileName: string, previousEnvironment: string, user: string,
+commitHash: string, fileContent: string, metadata: struct<workspace: string, reason: string, tags: array<string>, source: string, checksum: string>"""
 
-def read_history(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
-    """All month files of JSON arrays; unreadable entries are left out; newest first."""
+
+def read_history(spark: SparkSession, path: str, limit: int | None = None, lines: bool = False) -> DataFrame:
+    """All month files of JSON arrays, or with `lines` what export_history() wrote; unreadable entries are left out; newest first."""
     schema = HISTORY + ", _corrupt_record string"
-    df = spark.read.schema(schema).option("multiLine", True).option("mode", "PERMISSIVE").option("pathGlobFilter", "????-??.json").json(path)
+    df = spark.read.schema(schema).option("multiLine", not lines).option("mode", "PERMISSIVE").option("pathGlobFilter", "*.json" if lines else "????-??.json").json(path)
     df = df.where("_corrupt_record is null and id is not null").drop("_corrupt_record").orderBy(F.desc("timestamp"), "id")
     return df.limit(limit) if limit else df
 
@@ -33,9 +36,9 @@ def export_history(h: DataFrame, path: str) -> None:
     h.withColumn("month", F.date_format("timestamp", "yyyy-MM")).write.mode("overwrite").partitionBy("workspace", "month").json(path)
 
 
-def import_history(spark: SparkSession, path: str) -> DataFrame:
-    """Entries of an export document {entries: [...]} that have id, timestamp, action and content."""
-    doc = spark.read.schema(f"workspace string, entries array<struct<{HISTORY.replace('timestamp timestamp', 'timestamp string').replace(' string', ': string').replace(' struct<', ': struct<').replace('array<: string>', 'array<string>')}>>").option("multiLine", True).json(path)
+def import_history(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Entries of export documents {entries: [...]} that have id, timestamp, action and content; with `lines` a document a line."""
+    doc = spark.read.schema(f"workspace string, entries array<struct<{IMPORTED}>>").option("multiLine", not lines).json(path)
     rows = doc.select("workspace", F.explode("entries").alias("e")).select("workspace", "e.*")
     complete = F.lit(True)
     for c in ("id", "timestamp", "action", "fileContent"):

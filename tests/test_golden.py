@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from kvtrail.functions import kv, secrets
 from kvtrail.operators import crypto, detection, diff, filters, history, validation, variables
 from kvtrail.streaming import streams
+from tests.conftest import SMALL
 
 
 def one(spark, column, **values):
@@ -68,6 +69,23 @@ def test_scan_finds_blocks_over_lines_and_short_slack_tokens(spark):
     assert found == [("k", 2, 2, "SSH RSA Private Key"), ("k", 10, 3, "SSH RSA Private Key"), ("t", 1, 1, "Slack API Token")]
 
 
+def test_every_place_of_a_repeated_value_is_found(spark):
+    docs = spark.createDataFrame([("t", "s", "a/c.py", "v: xoxp-12-34-5a; and xoxp-12-34-5a;")], "doc_key string, source string, path string, text string")
+    assert sorted((r.line, r.column) for r in detection.scan(docs).collect() if r.type.startswith("Slack")) == [(1, 4), (1, 23)]
+
+
+def test_no_cheap_test_rejects_a_match(spark):
+    from kvtrail.plans.views import candidates, framed
+
+    texts = candidates(spark, SMALL).select(framed().alias("t"))
+    short = ["xoxb-1-2-a", "pwd=12345678", "PASSWD: abcdefgh", "key\tabcdefghijkl", "AUTH abcdefghijkl", "redis://0123456789", "SQLITE://" + "a" * 15, "eyJ" + "a" * 20, "f" * 32, "a/" * 10, "Sentry_Key " + "b" * 20]
+    texts = texts.unionByName(spark.createDataFrame([(x,) for x in short], "t string")).withColumn("low", F.lower("t"))
+    lost = [F.count_if(F.regexp_like("t", F.lit(p.java())) & ~detection.may_match(F.col("t"), F.col("low"), p)).alias(f"lost{k}") for k, p in enumerate(detection.DEFAULT_PATTERNS)]
+    found = [F.count_if(F.regexp_like("t", F.lit(p.java()))).alias(f"found{k}") for k, p in enumerate(detection.DEFAULT_PATTERNS)]
+    row = texts.agg(*lost, *found).first().asDict()
+    assert all(row[f"lost{k}"] == 0 < row[f"found{k}"] for k in range(30))
+
+
 @pytest.mark.parametrize("order", [(0, 1, 2, 3, 4, 5), (5, 2, 0, 3, 1, 4)])
 def test_rescan_does_not_depend_on_the_order_of_files(spark, tmp_path, order):
     saves = [("09 00:00", "a"), ("01 00:00", "b"), ("05 00:00", "a"), ("02 00:00", "c"), ("05 00:04", "a"), ("05 00:09", "a")]
