@@ -13,7 +13,8 @@ interval, and with the bytes that they reach, a context.
   every STEP bytes, counted from the anchor, so that two suffixes at the same
   distance always reach cover positions together; ranks of the cover positions'
   long strings are computed first, by doubling, and settle the suffixes' ties.
-  One group of buckets is in memory at a time.
+  One group of buckets is in memory at a time; a bucket of very many contexts is
+  never sorted whole, its strings are dealt out and counted.
 
 Copies of a whole text are one text that occurs several times.
 """
@@ -25,9 +26,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kvtrail.llm.storage import discard, fresh, written
 from kvtrail.llm.text import blocks, mix64, span_hashes, window_hashes
 
 LENGTH, GRAM, STEP = 200, 64, 8
@@ -35,6 +37,8 @@ LENGTH, GRAM, STEP = 200, 64, 8
 SORT_BYTES = 2 << 20
 #: Bytes of text that a task anchors at once.
 _BLOCK_BYTES = 2 << 20
+#: Different contexts of a bucket that are sorted in one task, at most.
+BUCKET_CONTEXTS = 4096
 _REACH = LENGTH - GRAM + 1
 
 
@@ -103,11 +107,12 @@ def _contexts(texts: DataFrame) -> DataFrame:
             out: list[tuple] = []
             for th, text, wanted in zip(block.column(0).to_pylist(), block.column(1).to_pylist(), block.column(3).to_pylist(), strict=True):
                 raw = text.encode("utf-8", "replace")
-                out += [(w["bucket"], th, w["lo"], w["at"] - w["lo"], w["alone"], raw[w["lo"] : w["hi"] + LENGTH]) for w in wanted]
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [()] * 6, kinds, strict=True)], ["bucket", "th", "lo", "anchor", "alone", "content"])
+                out += [(w["bucket"], th, w["lo"], w["at"] - w["lo"], w["alone"], w["large"], raw[w["lo"] : w["hi"] + LENGTH]) for w in wanted]
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.bool_(), pa.binary())
+            names = ["bucket", "th", "lo", "anchor", "alone", "large", "content"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [()] * 7, kinds, strict=True)], names)
 
-    return texts.mapInArrow(run, "bucket long, th long, lo int, anchor int, alone boolean, content binary")
+    return texts.mapInArrow(run, "bucket long, th long, lo int, anchor int, alone boolean, large boolean, content binary")
 
 
 def _rank(names: np.ndarray) -> np.ndarray:
@@ -189,18 +194,35 @@ def _distinct_texts(docs: DataFrame) -> DataFrame:
     return docs.groupBy("th").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
 
 
+def _large_buckets(contexts: DataFrame) -> DataFrame:
+    """th, lo, hi, as _sorted_buckets gives them, of buckets that are too large for one task: their starts are dealt by whole strings."""
+    starts = contexts.select("bucket", "th", "lo", "anchor", "alone", "content", F.explode(F.sequence(F.lit(0), F.octet_length("content") - LENGTH)).alias("s"))
+    string = F.expr(f"substring(content, s + 1, {LENGTH})")
+    starts = starts.select("bucket", "th", (F.col("lo") + F.col("s")).alias("at"), "alone", F.xxhash64(string).alias("h1"), F.xxhash64(F.lit(1), string).alias("h2"))
+    tied = starts.groupBy("bucket", "h1", "h2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket", "h1", "h2")
+    return starts.where("alone").join(tied, ["bucket", "h1", "h2"], "left_semi").select("th", F.col("at").alias("lo"), F.col("at").alias("hi"))
+
+
 def repeated_starts(texts: DataFrame) -> DataFrame:
-    """th, lo, hi: runs of starts of LENGTH-byte strings that start anywhere else as well."""
-    found = _occurrences(texts.select("th", "text", "copies"))
-    each = Window.partitionBy("bucket", "context")
-    found = found.repartition("bucket")
-    found = found.withColumn("n", F.sum("weight").over(each)).withColumn("turn", F.row_number().over(each.orderBy("th", "lo")))
-    bucket = Window.partitionBy("bucket")
-    found = found.withColumn("all", F.sum("weight").over(bucket)).withColumn("mixed", F.min("context").over(bucket) != F.max("context").over(bucket)).where("all > 1")
-    whole = found.where("n > 1").select("th", "lo", "hi")
-    wanted = found.where("mixed and turn = 1").groupBy("th").agg(F.collect_list(F.struct("bucket", "lo", "hi", "at", (F.col("n") == 1).alias("alone"))).alias("wanted"))
-    contexts = _contexts(texts.join(wanted, "th").select("th", "text", "copies", "wanted"))
-    return whole.unionByName(_sorted_buckets(contexts))
+    """th, lo, hi: runs of starts of LENGTH-byte strings that start anywhere else as well.
+
+    Buckets and contexts are counted by sums, never gathered: a passage that very many
+    texts hold is one row of a sum. A bucket of more than BUCKET_CONTEXTS different
+    contexts is dealt by its strings instead of being sorted in one task.
+    """
+    found = written(_occurrences(texts.select("th", "text", "copies")), "anchors")
+    shared = found.groupBy("bucket").agg(F.sum("weight").alias("all"), (F.min("context") != F.max("context")).alias("mixed")).where("all > 1").select("bucket", "mixed")
+    found_again = written(found.join(shared, "bucket"), "shared-anchors")
+    discard(found)
+    same = ["bucket", "context"]
+    contexts = found_again.groupBy(*same).agg(F.sum("weight").alias("n"), F.min(F.struct("th", "lo")).alias("first"))
+    whole = found_again.join(contexts.where("n > 1").select(*same), same, "left_semi").select("th", "lo", "hi")
+    mixed = found_again.where("mixed").groupBy(*same).agg(F.sum("weight").alias("n"), F.min(F.struct("th", "lo", "hi", "at")).alias("x"))
+    large = mixed.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > BUCKET_CONTEXTS).select("bucket", F.lit(True).alias("large"))
+    wanted = mixed.join(large, "bucket", "left").select("x.th", F.struct("bucket", "x.lo", "x.hi", "x.at", (F.col("n") == 1).alias("alone"), F.coalesce("large", F.lit(False)).alias("large")).alias("w"))
+    wanted = wanted.groupBy("th").agg(F.collect_list("w").alias("wanted"))  # bounded by the text
+    content = written(_contexts(texts.join(wanted, "th").select("th", "text", "copies", "wanted")), "contexts")
+    return whole.unionByName(_sorted_buckets(content.where("not large").drop("large"))).unionByName(_large_buckets(content.where("large")))
 
 
 def _cut(raw: bytes, runs: list) -> list[tuple[int, int]]:
@@ -222,8 +244,24 @@ def _kept(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join([*out, raw[at:]])
 
 
+def _keyed(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a column `name` that is the same for equal texts only.
+
+    It is a hash of the text; the texts of a hash that stands for several (by another
+    hash) get a hash of both.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    key, check = F.xxhash64(text), F.xxhash64(F.lit(1), text)
+    twice = docs.select(key.alias("key"), check.alias("check")).groupBy("key").agg(F.min("check").alias("a"), F.max("check").alias("b")).where("a != b")
+    if twice.isEmpty():
+        return docs.withColumn(name, key)
+    mark = fresh(docs, "several")
+    marked = docs.withColumn(name, key).join(twice.select(F.col("key").alias(name), F.lit(True).alias(mark)), name, "left")
+    return marked.withColumn(name, F.when(F.col(mark), F.xxhash64(key, check)).otherwise(key)).drop(mark)
+
+
 def _prepared(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit(""))).withColumn("th", F.xxhash64("text"))
+    return _keyed(docs.withColumn("text", F.coalesce(F.col("text").cast("string"), F.lit(""))), "th")
 
 
 def _with_runs(texts: DataFrame) -> DataFrame:
@@ -272,6 +310,6 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["th", "kept"])
 
     changed = _with_runs(texts).where("runs is not null").mapInArrow(run, "th long, kept string")
-    keyed = docs.withColumn("_th", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))))
-    joined = keyed.join(changed.withColumnRenamed("th", "_th").withColumnRenamed("kept", "_kept"), "_th", "left")
-    return joined.withColumn("text", F.coalesce("_kept", "text")).select(docs.columns)
+    th, kept = fresh(docs, "th"), fresh(docs, "kept")
+    joined = _keyed(docs, th).join(changed.select(F.col("th").alias(th), F.col("kept").alias(kept)), th, "left")
+    return joined.withColumn("text", F.coalesce(kept, "text")).select(docs.columns)

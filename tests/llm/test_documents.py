@@ -233,6 +233,25 @@ def brute_dedup(rows):
     return sorted(out)
 
 
+@pytest.mark.parametrize("most", [4096, 2])
+def test_dedup_of_documents_and_of_a_bucket_of_many_contexts(spark, monkeypatch, most):
+    monkeypatch.setattr(suffix_dedup, "BUCKET_CONTEXTS", most)
+    rng = np.random.default_rng(8)
+    passage = " ".join(f"p{k}" for k in range(90))
+    rows = [(k, " ".join(f"w{x}" for x in rng.integers(0, 10**6, 40)) + passage + " ".join(f"w{x}" for x in rng.integers(0, 10**6, 40))) for k in range(12)]
+    rows += [(100 + r.doc_id, r.text) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = suffix_dedup.dedup_digest(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert sorted(tuple(r) for r in got) == brute_dedup(rows)
+
+
+def test_remove_repeats_beside_clashing_columns(spark):
+    text = " ".join(f"p{k}" for k in range(90))
+    docs = spark.createDataFrame([(1, text, 5, "a", 7), (2, text, 6, "b", 8), (3, None, 7, None, 9)], "doc_id long, text string, th long, kept string, several long")
+    got = sorted(tuple(r) for r in suffix_dedup.remove_repeats(docs).collect())
+    assert got == [(1, "", 5, "a", 7), (2, "", 6, "b", 8), (3, None, 7, None, 9)]
+
+
 def test_dedup(spark, odd, empty):
     rows = [(r.doc_id, r.text) for r in odd.collect()]
     assert sorted(tuple(r) for r in suffix_dedup.dedup_digest(odd).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()) == brute_dedup(rows)
