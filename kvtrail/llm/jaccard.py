@@ -265,7 +265,7 @@ class Join:
         alike = F.expr("min(k1) = max(k1) and min(k2) = max(k2)").alias("alike")
         groups = names.where("n > 0").groupBy("n", "g1", "g2").agg(F.min(F.struct("doc_id", "row")).alias("x"), alike, F.count(F.lit(1)).alias("size"))
         # what is not said about a row holds: it is the only one of its group
-        more = groups.where("size > 1").select("n", "g1", "g2", F.col("x.row").alias("first"), "alike")
+        more = written(groups.where("size > 1").select("n", "g1", "g2", F.col("x.row").alias("first"), "alike"), "groups")
         marks = names.join(more, ["n", "g1", "g2"]).select("row", (F.col("row") != F.col("first")).alias("drop"), (~F.col("alike")).alias("several"))
         kept = rows.where("n > 0").join(marks, "row", "left").where("coalesce(not drop, true)")
         listed = kept.select(F.col("row").alias("g"), "n", F.coalesce("several", F.lit(False)).alias("several"), F.col("parts").alias("all"), F.posexplode("tokens").alias("at", "token"))
@@ -352,7 +352,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Empty tables give no rows.
     """
     join = Join(docs)
-    with_set = join.names.where("n > 0").join(join.classes(), ["n", "k1", "k2"])
+    classes = written(join.classes(), "classes")  # written before they are joined, so that the join can split a set of very many rows
+    with_set = join.names.where("n > 0").join(classes, ["n", "k1", "k2"])
     with_set = with_set.select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
     bare = join.names.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
     return with_set.unionByName(bare)

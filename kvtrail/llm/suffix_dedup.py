@@ -212,11 +212,12 @@ def repeated_starts(texts: DataFrame) -> DataFrame:
     """
     found = written(_occurrences(texts.select("th", "text", "copies")), "anchors")
     shared = found.groupBy("bucket").agg(F.sum("weight").alias("all"), (F.min("context") != F.max("context")).alias("mixed")).where("all > 1").select("bucket", "mixed")
+    shared = written(shared, "shared-buckets")  # sums are written before they are joined, so that the join can split a hot key
     found_again = written(found.join(shared, "bucket"), "shared-anchors")
     discard(found)
     same = ["bucket", "context"]
-    contexts = found_again.groupBy(*same).agg(F.sum("weight").alias("n"), F.min(F.struct("th", "lo")).alias("first"))
-    whole = found_again.join(contexts.where("n > 1").select(*same), same, "left_semi").select("th", "lo", "hi")
+    copied = written(found_again.groupBy(*same).agg(F.sum("weight").alias("n")).where("n > 1").select(*same), "copied-contexts")
+    whole = found_again.join(copied, same, "left_semi").select("th", "lo", "hi")
     mixed = found_again.where("mixed").groupBy(*same).agg(F.sum("weight").alias("n"), F.min(F.struct("th", "lo", "hi", "at")).alias("x"))
     large = mixed.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > BUCKET_CONTEXTS).select("bucket", F.lit(True).alias("large"))
     wanted = mixed.join(large, "bucket", "left").select("x.th", F.struct("bucket", "x.lo", "x.hi", "x.at", (F.col("n") == 1).alias("alone"), F.coalesce("large", F.lit(False)).alias("large")).alias("w"))
