@@ -88,7 +88,9 @@ def search_block(queries: np.ndarray, query_ids: np.ndarray, index: dict, k: int
     magnitude, norm = np.abs(queries).sum(1).astype(np.float64), np.sqrt((queries.astype(np.float64) ** 2).sum(1))
     possible = None
     at = 0
-    while at < len(impacts):
+    # sums are kept as floats, exact below 2**53; beyond that nothing is ruled out, and all members are scored in whole numbers
+    largest = float(np.abs(vectors).max(initial=0)) * float(magnitude.max(initial=0))
+    while at < len(impacts) and largest < 2**53:
         level = impacts[at]
         while at < len(impacts) and impacts[at] == level:
             m, d = members[bounds[at] : bounds[at + 1]], dims[at]

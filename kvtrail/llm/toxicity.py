@@ -8,10 +8,11 @@ characters lower a match but don't end it. Landmarks span the kernel's space
 are linear in the subsequences, the fitted machine is one table of weights.
 
 Strings are the words of sentences, without punctuation; single characters set
-apart by blanks ("i d i o t") make one word. A sentence is as toxic as its worst word, a text as
-its worst sentence. Labels are those of whole texts: the words that bear a toxic
-text's label are those that tell toxic texts from clean ones best, and the
-machine is fitted again with the clean words that it takes for toxic. Words are scored once for each distinct word of a block.
+apart by white space ("i d  i o t") make one word. A sentence is as toxic as its worst word, a text as
+its worst sentence. Labels are those of whole texts, so the machine is fitted on words of
+labelled texts: those that bear a toxic text's label are those that tell toxic texts from
+clean ones best, with disguises of them, against clean words, and it is fitted again with the
+clean words that it takes for toxic. Words are scored once for each distinct word of a block.
 """
 
 from __future__ import annotations
@@ -30,10 +31,14 @@ from kvtrail.llm.quality_net import ConstantScore, labelled_texts, trained_in_a_
 from kvtrail.llm.text import blocks, code_points, span_hashes, texts_of
 
 SPAN, DECAY = 6, 0.6
+#: White space between single characters that make one word, at most.
+APART = 2
 #: Longer words are cut into overlapping pieces of so many symbols.
 LONGEST = 24
 #: Bound of the labelled texts that a fit takes, per label; of its landmarks and words.
 TRAIN_PER_LABEL, LANDMARKS, NEGATIVE_WORDS = 1000, 240, 5000
+#: Machines whose mean is taken, so that the draw of landmarks matters less.
+MACHINES = 5
 THRESHOLD = 0.7
 _PUNCT, _LETTER, _OTHER, _LETTER_TOO, _START = 27, 28, 29, 30, 31
 #: Characters that stand in for letters.
@@ -66,6 +71,13 @@ def _without(drop: np.ndarray, symbols: np.ndarray, bounds: np.ndarray, points:
     return symbols[~drop], upto[bounds], points[~drop]
 
 
+def _last(bounds: np.ndarray, n: int) -> np.ndarray:
+    """The place after each text."""
+    out = np.zeros(n, bool)
+    out[bounds[1:] - 1] = True
+    return out
+
+
 def _runs(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     edge = np.flatnonzero(np.diff(np.concatenate([[False], symbols > 0, [False]])))
     return edge[0::2], edge[1::2]
@@ -79,10 +91,12 @@ def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     symbols, bounds, points = _without(symbols == _PUNCT, symbols, bounds, points)
     starts, ends = _runs(symbols)
     single = ends - starts == 1
-    apart = ends[:-1][single[1:] & single[:-1] & (starts[1:] - ends[:-1] == 1)]
+    gap = starts[1:] - ends[:-1]
+    apart = single[1:] & single[:-1] & (gap <= APART)
     drop = np.zeros(len(symbols), bool)
-    drop[apart[points[apart] == 0x20]] = True
-    symbols, bounds, _ = _without(drop, symbols, bounds, points)
+    for k in range(APART):
+        drop[ends[:-1][apart & (gap > k)] + k] = True
+    symbols, bounds, _ = _without(drop & ~_last(bounds, len(symbols)), symbols, bounds, points)
     starts, ends = _runs(symbols)
     n = ends - starts
     long = np.flatnonzero(n > LONGEST)
@@ -216,9 +230,8 @@ def _disguised(word: bytes, rng: np.random.Generator) -> list[bytes]:
     return [word[:dup] + word[dup : dup + 1] + word[dup:], word[:at] + bytes([letter]) + word[at:], word[:at] + bytes([_OTHER]) + word[at:]]
 
 
-def train(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS, rounds: int = 4, seed: int = 11) -> ToxicityModel:
-    """Fit on labelled texts of both kinds."""
-    rng = np.random.default_rng(seed)
+def train(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS, rounds: int = 4, machines: int = MACHINES, seed: int = 11) -> ToxicityModel:
+    """Fit on labelled texts of both kinds: the mean of several machines, each with landmarks of its own."""
     symbols, starts, ends, owner = words(texts)
     raw = symbols.tobytes()
     own: list[set[bytes]] = [set() for _ in texts]
@@ -228,9 +241,18 @@ def train(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS, round
     in_clean = Counter(w for k in np.flatnonzero(~toxic) for w in own[k])
     support = _bearers([own[k] for k in np.flatnonzero(toxic)], in_clean, int((~toxic).sum()))
     clean = sorted(in_clean, key=lambda w: (-in_clean[w], w))
+    fitted = [_fitted(support, clean, landmarks, rounds, np.random.default_rng(seed + k)) for k in range(machines)]
+    model = ToxicityModel(np.mean([m.table for m in fitted], axis=0), float(np.mean([m.bias for m in fitted])))
+    worst = model.text_margins(texts)
+    model.slope, model.shift = _logistic(worst, toxic)
+    model.keys, model.known = np.empty(0, np.uint64), np.empty(0, np.float32)
+    return model
+
+
+def _fitted(support: dict[bytes, int], clean: list[bytes], landmarks: int, rounds: int, rng: np.random.Generator) -> ToxicityModel:
+    """One machine: words that bear the label and disguises of them against clean words, the hardest of which join after each round."""
     common = clean[: NEGATIVE_WORDS // 2]
     negatives = common + [clean[i] for i in rng.permutation(np.arange(len(common), len(clean)))[: NEGATIVE_WORDS - len(common)].tolist()]
-    model = None
     for turn in range(rounds):
         marks = [w for w, _ in sorted(support.items(), key=lambda x: (-x[1], x[0]))[: landmarks // 2]]
         spoiled = [v for w in marks for v in _disguised(w, rng)]
@@ -248,9 +270,6 @@ def train(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS, round
             every = _margins_of(model, clean)
             hard = [clean[i] for i in np.argsort(-every)[: NEGATIVE_WORDS // 4].tolist()]
             negatives = list(dict.fromkeys(hard + negatives))[:NEGATIVE_WORDS]
-    worst = model.text_margins(texts)
-    model.slope, model.shift = _logistic(worst, toxic)
-    model.keys, model.known = np.empty(0, np.uint64), np.empty(0, np.float32)
     return model
 
 

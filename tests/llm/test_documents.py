@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -51,6 +52,16 @@ def test_topk_with_ties_nulls_and_copies(spark):
     assert topk.search(topk.build_index(none, 1), none, 1).count() == 0
 
 
+def test_topk_with_repeated_ids_extra_columns_and_large_components(spark):
+    big = 2.0**20
+    rows = [(1, [big, 1.0], 0, 5), (1, [big, 2.0], 0, 5), (2, [big, 3.0], 0, 5), (3, [-big, 1.0], 0, 5), (20, [big, 1.0], 0, 5)]
+    vectors = topk.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, score long, block long"))
+    found = topk.search(topk.build_index(vectors, 1), vectors.where("vec_id = 20"), 1, 3).collect()
+    score = lambda y: (2**20 * 1024) ** 2 + 1024 * 1024 * y
+    assert score(3) >= 1 << 53
+    assert sorted((r["rank"], r.vec_id, r.score) for r in found) == [(1, 2, score(3)), (2, 1, score(2)), (3, 1, score(1))]
+
+
 def brute_stats(text):
     words = WORD.findall(text)
     threes = Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
@@ -287,6 +298,86 @@ def test_disguised_insults_score_above_clean_words():
         assert model.scores([" ".join(clean[:20]) + " " + word])[0] > max(0.5, low), word
 
 
+@pytest.mark.parametrize("text", ["i  d  i  o  t", "i\td\ti\to\tt", "i\nd\ni\no\nt", "i d i o t"])
+def test_letters_set_apart_make_one_word(text):
+    symbols, starts, ends, owner = toxicity.words([text, "a", text, ""])
+    found = [(symbols[a:b].tobytes(), int(k)) for a, b, k in zip(starts, ends, owner, strict=True)]
+    assert found == [(bytes([9, 4, 9, 15, 20]), 0), (bytes([1]), 1), (bytes([9, 4, 9, 15, 20]), 2)]
+
+
+def naive_subsequences(word):
+    out = Counter()
+    for at in combinations(range(len(word)), 4):
+        if at[3] - at[0] < toxicity.SPAN:
+            out[tuple(word[i] for i in at)] += toxicity.DECAY ** (at[3] - at[0] + 1)
+    return out
+
+
+def test_subsequence_kernel_equals_brute_force():
+    rng = np.random.default_rng(5)
+    found = [bytes(rng.integers(1, 5, int(n)).astype(np.uint8)) for n in rng.integers(3, 12, 30)]
+    naive = [naive_subsequences(bytes([toxicity._START]) + w) for w in found]
+    for w, own in zip(found, naive, strict=True):
+        codes, weights = toxicity.occurrences(np.frombuffer(bytes([toxicity._START]) + w, np.uint8)[None, :])
+        want = sum(v * v for v in own.values()) or 1
+        assert toxicity.self_kernel(codes, weights)[0] == pytest.approx(want, rel=1e-4)
+    space = toxicity._Landmarks(found)
+    x = space.features(found)
+    norm = [sum(v * v for v in n.values()) ** 0.5 for n in naive]
+    for i in range(len(found)):
+        for j in range(len(found)):
+            dot = sum(v * naive[j][c] for c, v in naive[i].items()) / (norm[i] * norm[j])
+            assert x[i] @ x[j] == pytest.approx(dot, abs=2e-2)
+
+
+def random_net(rng):
+    q = quality_net
+    return q.QualityNet(rng.normal(0, 0.3, (q.WIDTH, 256, q.FILTERS)).astype(np.float32), rng.normal(0, 0.1, q.FILTERS).astype(np.float32), rng.normal(0, 0.4, (q.FILTERS + 2, q.HIDDEN)), rng.normal(0, 0.4, q.HIDDEN + 1))
+
+
+def test_convolution_equals_brute_force():
+    rng = np.random.default_rng(2)
+    net, q = random_net(rng), quality_net
+    raw = [bytes(rng.integers(32, 127, n).astype(np.uint8)) for n in (1, 5, 200, 256, 511, 512, 700, 1300)] + [b""]
+    got = net.scores(raw)
+    joined = b"".join(t or b"\n" for t in raw) + bytes(q.WIDTH)
+    at = 0
+    for k, text in enumerate(raw):
+        text = text or b"\n"
+        response = np.array([[sum(net.taps[j, joined[at + p + j], f] for j in range(q.WIDTH)) + net.bias[f] for f in range(q.FILTERS)] for p in range(len(text))])
+        n = max(1, len(text) // q.SEGMENT)
+        edges = [i * q.SEGMENT for i in range(n)] + [len(text)]
+        spans = [(edges[i], edges[i + 2]) for i in range(n - 1)] or [(0, len(text))]
+        evidence = []
+        for a, b in spans:
+            x = np.r_[np.maximum(response[a:b].max(0), 0), np.log2(b - a + 1.0) / 8, 1]
+            evidence.append(np.tanh(x @ net.hidden) @ net.out[:-1] + net.out[-1])
+        assert got[k] == pytest.approx(1 / (1 + np.exp(max(evidence))), abs=1e-4)
+        at += len(text)
+
+
+def test_gradients_equal_differences():
+    rng = np.random.default_rng(9)
+    net = random_net(rng)
+    raw = [bytes(rng.integers(97, 123, n).astype(np.uint8)) for n in (40, 300, 800)]
+    good, weight = np.array([True, False, False]), np.array([1.0, 0.5, 2.0])
+
+    def loss():
+        z = -np.log(1 / net.scores(raw) - 1) * -1
+        return float((weight / len(raw) * (np.logaddexp(0, z) - ~good * z)).sum() + 0.5e-4 * (net.hidden**2).sum())
+
+    grads = quality_net._gradients(net, raw, good, weight)
+    for param, grad in zip([net.hidden, net.out, net.bias], [grads[2], grads[3], grads[1]], strict=True):
+        for k in rng.integers(0, param.size, 12).tolist():
+            step, kept = 1e-3, param.flat[k]
+            param.flat[k] = kept + step
+            up = loss()
+            param.flat[k] = kept - step
+            down = loss()
+            param.flat[k] = kept
+            assert grad.flat[k] == pytest.approx((up - down) / (2 * step), abs=2e-3)
+
+
 @pytest.mark.parametrize("module", [quality_net, toxicity])
 def test_classifiers_take_odd_and_empty_tables(spark, odd, empty, module):
     labels = spark.createDataFrame([(6, 1, 0), (12, 0, 1), (None, 1, 1), (4, None, None)], "doc_id long, quality int, toxic int")

@@ -14,7 +14,7 @@ import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from kvtrail.llm import packing, pieces, queries, records, token_counts
+from kvtrail.llm import packing, pieces, queries, records, token_counts, tokenizing
 from kvtrail.llm.tokenizing import byte_bpe, piece_bpe
 from tests.conftest import SMALL
 
@@ -94,6 +94,32 @@ def brute_cost(cuts, penalty, capacity):
     return best[-1]
 
 
+def test_regular_chunks_keep_their_own_ids():
+    word = "a"
+    while len(word) < 4096:
+        word += word.translate(str.maketrans("ab", "ba"))
+        if len(word) >= 1024:
+            texts = [word, word.translate(str.maketrans("ab", "ba"))]
+            ids, bounds = tokenizing.ByteBpe().encode(texts)
+            assert [ids[bounds[k] : bounds[k + 1]].tolist() for k in (0, 1)] == [byte_ids(t) for t in texts]
+            ids, bounds = tokenizing.PieceBpe().encode(texts)
+            assert [ids[bounds[k] : bounds[k + 1]].tolist() for k in (0, 1)] == [PIECES.encode(t) for t in texts]
+
+
+def test_chunks_of_equal_first_hashes_are_told_apart(monkeypatch):
+    real, calls = tokenizing.span_names, []
+
+    def weak(symbols, starts, ends, count=2, salt=0):
+        calls.append(salt)
+        names = real(symbols, starts, ends, count, salt)
+        return [names[0] if salt else names[0] & np.uint64(3), names[1]]
+
+    monkeypatch.setattr(tokenizing, "span_names", weak)
+    texts = ["many words that share a weak hash", "other words again"]
+    ids, bounds = tokenizing.ByteBpe().encode(texts)
+    assert [ids[bounds[k] : bounds[k + 1]].tolist() for k in (0, 1)] == [byte_ids(t) for t in texts] and calls == [0, 1]
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_cuts_cost_least(seed):
     rng = np.random.default_rng(seed)
@@ -164,6 +190,17 @@ def test_ledger(spark, odd, empty, tmp_path):
     assert left == {("s", "byte_bpe_50k"): (1, len(byte_ids("two words"))), ("s", "piece_bpe_32k"): (1, len(PIECES.encode("two words")))}
 
 
+def test_a_batch_that_failed_between_ledger_and_totals_counts_once(spark, odd, tmp_path):
+    store = token_counts.TokenLedger(spark, f"file://{tmp_path}/l")
+    store.apply(1, inserts=token_counts.count_tokens(odd))
+    before = sorted(map(tuple, store.totals().collect()), key=str)
+    new = token_counts.count_tokens(spark.createDataFrame([(900, "two words", "en", "s")], "doc_id long, text string, lang string, source string"))
+    new.write.parquet(f"file://{tmp_path}/l/ledger/batch=000000002")  # the ledger's part was written, the totals were not
+    assert sorted(map(tuple, store.totals().collect()), key=str) == before and not store.committed(2)
+    assert store.apply(2, inserts=new) and not store.apply(2, inserts=new)
+    assert store.totals().agg(F.sum("docs")).first()[0] == sum(r[3] for r in before) + 2
+
+
 def test_token_count_query(spark):
     docs, labels = spark.read.parquet(f"{SMALL}/documents.parquet").collect(), spark.read.parquet(f"{SMALL}/labels.parquet").collect()
     toxic = {r.doc_id for r in labels if r.toxic == 1}
