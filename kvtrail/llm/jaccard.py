@@ -267,6 +267,7 @@ class Join:
         # what is not said about a row holds: it is the only one of its group
         more = written(groups.where("size > 1").select("n", "g1", "g2", F.col("x.row").alias("first"), "alike"), "groups")
         marks = names.join(more, ["n", "g1", "g2"]).select("row", (F.col("row") != F.col("first")).alias("drop"), (~F.col("alike")).alias("several"))
+        marks = written(marks, "marks")  # its size is known then, so that few marks don't shuffle all prefixes
         kept = rows.where("n > 0").join(marks, "row", "left").where("coalesce(not drop, true)")
         listed = kept.select(F.col("row").alias("g"), "n", F.coalesce("several", F.lit(False)).alias("several"), F.col("parts").alias("all"), F.posexplode("tokens").alias("at", "token"))
         parts = F.coalesce(F.element_at("all", F.col("at") + 1), F.lit(1))
