@@ -14,17 +14,20 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Totals after four batches: all documents come in; those with repeated lines are revised
-    to their distinct lines; toxic ones are deleted; and the deletes come in a second time."""
+    """Totals after four batches: all documents come in; toxic ones are deleted; those of low
+    quality are revised to their distinct lines; and the deletes come in a second time.
+
+    Revised texts are counted where they are read; only their counts meet the labels.
+    """
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     toxic = labels.where("toxic = 1").select("doc_id").distinct()
+    low = labels.where("quality = 0 and toxic = 0").select("doc_id").distinct()
     store = token_counts.TokenLedger(spark, shared_folder(spark, "token-counts"))
     store.apply(1, inserts=token_counts.count_tokens(docs))
-    lines = F.split("text", "\n")
-    revised = docs.where(F.size(F.array_distinct(lines)) < F.size(lines)).withColumn("text", F.array_join(F.array_distinct(lines), "\n"))
-    store.apply(2, revisions=token_counts.count_tokens(revised))
-    store.apply(3, deletes=toxic)
-    store.apply(3, deletes=toxic)
+    store.apply(2, deletes=toxic)
+    lines = F.array_join(F.array_distinct(F.split("text", "\n")), "\n")
+    store.apply(3, revisions=token_counts.count_tokens(docs.withColumn("text", lines)).join(low, "doc_id", "left_semi"))
+    store.apply(2, deletes=toxic)
     return store.totals()
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvtrail.llm.storage import exists
+from kvtrail.llm.storage import discard, exists, written
 from kvtrail.llm.text import blocks, texts_of
 from kvtrail.llm.tokenizing import byte_bpe, piece_bpe
 
@@ -73,6 +73,8 @@ class TokenLedger:
         """
         if self.committed(batch):
             return False
+        if revisions is not None:
+            revisions = written(revisions, "revisions")  # read twice below
         parts = [x for x in (inserts, revisions) if x is not None]
         back = []
         if deletes is not None:
@@ -93,6 +95,8 @@ class TokenLedger:
         rows.write.mode("overwrite").parquet(own)
         new = self.spark.read.schema(LEDGER).parquet(own)
         new.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")).write.mode("overwrite").parquet(f"{self.path}/totals/batch={batch:09d}")
+        if revisions is not None:
+            discard(revisions)
         return True
 
     def _read(self, part: str, schema: str) -> DataFrame:
