@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from kvtrail.llm.quality_net import ConstantScore, labelled_texts, trained_in_a_task
 from kvtrail.llm.text import blocks, code_points, span_hashes, texts_of
 
-SPAN, DECAY = 6, 0.6
+SPAN, DECAY = 8, 0.8
 #: White space between single characters that make one word, at most.
 APART = 2
 #: Longer words are cut into overlapping pieces of so many symbols.
@@ -225,9 +225,19 @@ class _Landmarks:
 
 
 def _disguised(word: bytes, rng: np.random.Generator) -> list[bytes]:
-    """The word with a doubled symbol, with one inserted letter, and with one inserted other character."""
+    """The word with a doubled symbol, with one inserted letter, with one inserted other character, with two letters inserted apart and side by side, and with a letter between all symbols."""
     dup, at, letter = rng.integers(0, len(word)), rng.integers(1, max(2, len(word))), rng.integers(1, 27)
-    return [word[:dup] + word[dup : dup + 1] + word[dup:], word[:at] + bytes([letter]) + word[at:], word[:at] + bytes([_OTHER]) + word[at:]]
+    between = bytes(x for c in word for x in (c, int(rng.integers(1, 27))))[:-1]
+    first, second = sorted(rng.integers(1, max(2, len(word)), 2).tolist())
+    a, b = (bytes([x]) for x in rng.integers(1, 27, 2).tolist())
+    return [
+        word[:dup] + word[dup : dup + 1] + word[dup:],
+        word[:at] + bytes([letter]) + word[at:],
+        word[:at] + bytes([_OTHER]) + word[at:],
+        word[:first] + a + word[first:second] + b + word[second:],
+        word[:first] + a + b + word[first:],
+        between[:LONGEST],
+    ]
 
 
 def train(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS, rounds: int = 4, machines: int = MACHINES, seed: int = 11) -> ToxicityModel:
@@ -243,8 +253,7 @@ def train(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS, round
     clean = sorted(in_clean, key=lambda w: (-in_clean[w], w))
     fitted = [_fitted(support, clean, landmarks, rounds, np.random.default_rng(seed + k)) for k in range(machines)]
     model = ToxicityModel(np.mean([m.table for m in fitted], axis=0), float(np.mean([m.bias for m in fitted])))
-    worst = model.text_margins(texts)
-    model.slope, model.shift = _logistic(worst, toxic)
+    model.slope, model.shift = _logistic(model.text_margins(texts), toxic)
     model.keys, model.known = np.empty(0, np.uint64), np.empty(0, np.float32)
     return model
 
@@ -336,7 +345,7 @@ def _logistic(margin: np.ndarray, toxic: np.ndarray, trims: int = 4) -> tuple[fl
     Texts that a fit finds most unlike their label are left out of the next fit, so
     that wrong labels don't flatten the curve.
     """
-    x, t = np.c_[margin, np.ones(len(margin))], np.where(toxic, 0.99, 0.01)
+    x, t = np.c_[margin, np.ones(len(margin))], np.where(toxic, 0.999, 0.001)
     share = np.where(toxic, 0.5 / max(1, toxic.sum()), 0.5 / max(1, (~toxic).sum())) * len(toxic)
     w, use = np.array([1.0, 0.0]), np.ones(len(x), bool)
     for _ in range(trims):
