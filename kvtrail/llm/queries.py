@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvtrail.llm import jaccard, line_rules, manifest, packing, pieces, quality_net, records, suffix_dedup, token_counts, topk, toxicity, word_index
+from kvtrail.llm import collocations, jaccard, line_rules, manifest, packing, pieces, quality_net, records, suffix_dedup, token_counts, topk, toxicity, word_index
 from kvtrail.llm.storage import shared_folder
 
 
@@ -86,6 +86,10 @@ def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return word_index.contamination(index, _table(spark, sf_dir, "benchmark")).drop("items")
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(_table(spark, sf_dir, "documents"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = manifest.leaves(_table(spark, sf_dir, "documents"), tampered=manifest.every_third())
     return manifest.verify(manifest.build(rows))
@@ -103,6 +107,7 @@ QUERIES = {
     "op9_quality_rules": op9_quality_rules,
     "op10_jaccard_join": op10_jaccard_join,
     "op11_decontamination": op11_decontamination,
+    "op12_collocations": op12_collocations,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 ORACLE_SQL: dict[str, str] = {
@@ -110,5 +115,6 @@ ORACLE_SQL: dict[str, str] = {
     "op9_quality_rules": line_rules.ORACLE_SQL,
     "op10_jaccard_join": jaccard.ORACLE_SQL,
     "op11_decontamination": word_index.ORACLE_SQL,
+    "op12_collocations": collocations.ORACLE_SQL,
     "op13_merkle_manifest": manifest.ORACLE_SQL,
 }
