@@ -10,7 +10,7 @@ from kvtrail.plans.catalog import query
 from kvtrail.plans.views import LINES_OF_H, history, history_from_events
 from kvtrail.sources import io
 from kvtrail.sources.scratch import shared_folder
-from kvtrail.streaming import streams
+from kvtrail.streaming import ordered, running, streams
 
 
 def _WS():
@@ -18,43 +18,45 @@ def _WS():
 
 
 
+#: Rows of the given log come in any order of files, so its streams wait for longer than it is.
+LATE = "400 days"
+
 
 @query("stream_windowed_activity", "with b as (select 'ws_' || (user_id % 10) as workspace, date_trunc('hour', ts)::timestamp as start from events) select workspace, start, count(*) as changes from b group by all")
 def stream_windowed_activity(s, d):
-    out = streams.windowed_activity(streams.event_stream(s, d).withColumn("workspace", _WS()), late="400 days")
-    return _complete(out, shared_folder(s, "activity"))
-
-
-def _complete(out, path):
-    """All windows, open ones as well: each micro-batch replaces the result of the one before."""
+    events = streams.event_stream(s, d).select("timestamp", _WS().alias("workspace"))
+    return running.close(events, shared_folder(s, "activity"), lambda x: streams.windowed_activity(x, late=LATE)).rows
 
-    def save(rows, epoch):
-        rows.write.mode("overwrite").parquet(f"{path}/rows")
 
-    out.writeStream.foreachBatch(save).option("checkpointLocation", f"{path}/state").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
-    return out.sparkSession.read.schema(out.schema).parquet(f"{path}/rows")
+@query("stream_sliding_activity", """with b as (select 'ws_' || (user_id % 10) as workspace, time_bucket(interval 15 minute, ts)::timestamp as last, unnest([0, 15, 30, 45]) as back from events)
+select workspace, last - to_minutes(back) as start, count(*) as changes from b group by all""")
+def stream_sliding_activity(s, d):
+    """Windows of an hour that begin every quarter of an hour."""
+    events = streams.event_stream(s, d).select("timestamp", _WS().alias("workspace"))
+    return running.close(events, shared_folder(s, "sliding"), lambda x: streams.windowed_activity(x, late=LATE, slide="15 minutes")).rows
 
 
 @query("stream_edit_sessions", """with g as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 30 minute then 0 else 1 end as new from events),
 n as (select user_id, ts, sum(new) over (partition by user_id order by ts) as k from g) select user_id, min(ts) as start, max(ts) + interval 30 minute as "end", count(*) as edits from n group by user_id, k""")
 def stream_edit_sessions(s, d):
-    return _complete(streams.edit_sessions(streams.event_stream(s, d), late="400 days"), shared_folder(s, "sessions"))
+    events = streams.event_stream(s, d).select("timestamp", "user_id")
+    return running.close(events, shared_folder(s, "sessions"), lambda x: streams.edit_sessions(x, late=LATE)).rows
 
 
 @query("stream_record_on_save", "select event_id::varchar as id, 'modify' as action, strftime(ts, '%Y-%m') as month from events")
 def stream_record_on_save(s, d):
     saves = history_from_events(streams.event_stream(s, d).drop("timestamp"))
-    return streams.drain(streams.record_saves(saves), shared_folder(s, "saves")).select("id", "action", "month")
+    return running.drain(streams.record_saves(saves), shared_folder(s, "saves")).rows.select("id", "action", "month")
 
 
 @query("stream_change_data", """with b as (select event_type || (user_id % 7) as key, case when event_id % 5 > 0 then (event_id % 3)::varchar end as value, ts, event_id from events),
-l as (select *, lag(value) over w as old, row_number() over w as n from b window w as (partition by key order by ts, event_id))
+l as (select *, lag(value) over w as old, row_number() over w as n from b window w as (partition by key order by ts, event_id::varchar))
 select key, old as old_value, value as new_value, case when value is null then 'deleted' else 'modified' end as type, ts as timestamp from l where old is not null and (value is null or value <> old)""")
 def stream_change_data(s, d):
     e = streams.event_stream(s, d)
     key = F.concat("event_type", (F.col("user_id") % 7).cast("string"))
-    values = e.select(key.alias("key"), F.when(F.col("event_id") % 5 > 0, (F.col("event_id") % 3).cast("string")).alias("value"), "timestamp")
-    return streams.drain(streams.change_data(values), shared_folder(s, "changes"))
+    values = e.select(key.alias("key"), F.col("event_id").cast("string").alias("id"), F.when(F.col("event_id") % 5 > 0, (F.col("event_id") % 3).cast("string")).alias("value"), "timestamp")
+    return running.close(values, shared_folder(s, "changes"), lambda x: ordered.change_data(x, LATE)).rows
 
 
 @query("stream_incremental_rescan")
@@ -63,11 +65,12 @@ def stream_incremental_rescan(s, d):
     return streams.fresh_content(saves, shared_folder(s, "rescan")).select("id", "content_hash")
 
 
-@query("stream_branch_changes", """with b as (select 'ws_' || (user_id % 10) as workspace, event_type as branch, ts from events), s as (select *, lead(ts) over (partition by workspace order by ts) - ts as stay from b),
-k as (select * from s where stay >= interval 500 millisecond), l as (select *, lag(branch) over (partition by workspace order by ts) as before from k) select workspace, branch from l where before is null or before <> branch""")
+@query("stream_branch_changes", """with b as (select 'ws_' || (user_id % 10) as workspace, event_type as branch, ts from events), s as (select *, lead(ts) over (partition by workspace order by ts, branch) - ts as stay from b),
+k as (select * from s where stay is null or stay >= interval 500 millisecond), l as (select *, lag(branch) over (partition by workspace order by ts, branch) as before from k) select workspace, branch, ts as timestamp from l where before is null or before <> branch""")
 def stream_branch_changes(s, d):
+    """The last branch of each workspace as well: it stays until the stream is closed."""
     e = streams.event_stream(s, d).select(_WS().alias("workspace"), F.col("event_type").alias("branch"), "timestamp")
-    return streams.drain(streams.settled_branches(e), shared_folder(s, "branches"))
+    return running.close(e, shared_folder(s, "branches"), lambda x: ordered.settled_branches(x, LATE)).rows
 
 
 @query("stream_feedback_batches", "select event_id::varchar as id, true as sent from events")
