@@ -39,13 +39,15 @@ HEAVY_SHARE, LANGUAGE_PARTS = 1000, 1024
 _FILTER_WORDS = (1 << 10, 1 << 22)
 #: Counters that a task holds before it hands them on, and counters of one row.
 _HELD, _ROW = 1 << 20, 1024
+_NAMES = ["pkey", "part", "next", "n", "word"]
 _OTHER, _WHOLE, _SPELLING, _LANGUAGE = np.uint64(0), -1, -2, -3
 _BREAK, _GAP = np.zeros(256, bool), np.zeros(256, bool)
 _BREAK[list(b".,;:!?\n\x0b\x0c\r")] = True
 _GAP[list(b".,;:!?\n\x0b\x0c\r \t")] = True
 #: floor(1000 a n / (l r)) in whole numbers of up to 38 digits.
 SCORE = "(cast(a as decimal(20,0)) * cast(n as decimal(18,0)) * 1000) div (cast(l as decimal(19,0)) * cast(r as decimal(19,0)))"
-_SCHEMA = "pkey long, part int, prefix array<long>, next array<long>, n array<long>, word string"
+#: A stripe: name of its prefix, part, next words (eight bytes each) and counts (four bytes each); or a name and its spelling.
+_SCHEMA = "pkey long, part int, next binary, n binary, word string"
 
 
 def _fold(key: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -58,6 +60,11 @@ def _language_id(lang: str) -> int:
     return int.from_bytes(hashlib.blake2b(lang.encode("utf-8", "replace"), digest_size=8).digest(), "little") or 1
 
 
+def _root(lang: str) -> int:
+    """Name of the prefix of no word."""
+    return int(_fold(np.zeros(1, np.uint64), np.array([_language_id(lang)], np.uint64))[0])
+
+
 def _words(texts: list[str], langs: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of every word: name, language, piece, and place in the bytes of the block, which come last."""
     data, bounds = byte_block(texts)
@@ -78,37 +85,35 @@ def _words(texts: list[str], langs: list[str]) -> tuple[np.ndarray, np.ndarray,
 
 
 class _Held:
-    """Counters of a task, of prefixes of one length: key, prefix key, prefix, next word, count."""
+    """Counters of a task, of prefixes of one length: name of the prefix, name of its first two words, next word, count."""
 
     def __init__(self) -> None:
         self.parts: list[tuple] = []
         self.size = 0
 
-    def add(self, pkey: np.ndarray, prefix: list[np.ndarray], following: np.ndarray, count: np.ndarray | None = None) -> None:
+    def add(self, pkey: np.ndarray, lead: np.ndarray, following: np.ndarray, count: np.ndarray | None = None) -> None:
         key = _fold(pkey, following)
         order = np.argsort(key, kind="stable")
         first = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]]) if len(key) else np.zeros(0, np.int64)
         at = order[first]
         n = np.diff(np.r_[first, len(key)]) if count is None else np.add.reduceat(count[order], first) if len(first) else count
-        self.parts.append((pkey[at], [c[at] for c in prefix], following[at], n))
+        self.parts.append((pkey[at], lead[at], following[at], n))
         self.size += len(at)
 
     def shrink(self) -> None:
         """Sum up equal counters of different blocks."""
         if len(self.parts) > 1:
             parts, self.parts, self.size = self.parts, [], 0
-            columns = [np.concatenate(c) for c in zip(*(p[1] for p in parts), strict=True)]
-            self.add(np.concatenate([p[0] for p in parts]), columns, np.concatenate([p[2] for p in parts]), np.concatenate([p[3] for p in parts]))
+            self.add(*(np.concatenate(c) for c in zip(*parts, strict=True)))
 
     def rows(self, heavy: tuple[np.ndarray, np.ndarray] | None) -> Iterator[pa.RecordBatch]:
         """All counters as stripes; heavy: keys of the prefixes that are cut, in order, and their numbers of parts (None: all are)."""
         self.shrink()
-        for pkey, prefix, following, n in self.parts:
+        for pkey, lead, following, n in self.parts:
             if heavy is None:
                 part = (following % np.uint64(LANGUAGE_PARTS)).astype(np.int32)
             else:
                 keys, parts = heavy
-                lead = pkey if len(prefix) < 3 else _fold(_fold(_fold(np.zeros(len(pkey), np.uint64), prefix[0]), prefix[1]), prefix[2])  # longer prefixes go by their first two words
                 at = np.minimum(np.searchsorted(keys, lead), max(0, len(keys) - 1))
                 cut = keys[at] == lead if len(keys) else np.zeros(len(pkey), bool)
                 part = np.full(len(pkey), _WHOLE, np.int32)
@@ -119,19 +124,33 @@ class _Held:
             run = np.cumsum(new) - 1
             inside = np.arange(len(pkey)) - np.flatnonzero(new)[run]
             first = np.flatnonzero(new | (inside % _ROW == 0))
-            bounds = pa.array(np.r_[first, len(pkey)].astype(np.int32))
-            names = np.stack([c[order][first] for c in prefix], 1).reshape(-1)
-            prefixes = pa.ListArray.from_arrays(pa.array(np.arange(len(first) + 1, dtype=np.int32) * len(prefix)), pa.array(names.view(np.int64)))
-            lists = [pa.ListArray.from_arrays(bounds, pa.array(x.view(np.int64))) for x in (following, n.astype(np.int64))]
-            batch = pa.RecordBatch.from_arrays([pa.array(pkey[first].view(np.int64)), pa.array(part[first]), prefixes, *lists, pa.nulls(len(first), pa.string())], ["pkey", "part", "prefix", "next", "n", "word"])
+            lists = [_lists(x, np.r_[first, len(pkey)]) for x in (following.astype("<u8"), n.astype("<u4"))]
+            batch = pa.RecordBatch.from_arrays([pa.array(pkey[first].view(np.int64)), pa.array(part[first]), *lists, pa.nulls(len(first), pa.string())], _NAMES)
             yield from (batch.slice(k, 4096) for k in range(0, batch.num_rows, 4096))
         self.parts, self.size = [], 0
 
 
+def _lists(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """values[bounds[k]:bounds[k + 1]] as the bytes of row k."""
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * values.itemsize).astype(np.int32).tobytes()), pa.py_buffer(values.tobytes())])
+
+
+def _numbers(column: pa.ChunkedArray | pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all rows end to end, and how many each row has."""
+    size = pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64) // np.dtype(kind).itemsize
+    chunks = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
+    out = [np.zeros(0, np.uint8)]
+    for chunk in chunks:
+        if len(chunk):
+            bounds = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
+            out.append(np.frombuffer(chunk.buffers()[2] or b"", np.uint8)[bounds[0] : bounds[-1]])
+    return np.concatenate(out).view(kind), size
+
+
 def _spelled(spelling: dict[int, str], part: int) -> pa.RecordBatch:
-    none = pa.array([[]] * len(spelling), pa.list_(pa.int64()))
+    none = pa.array([b""] * len(spelling), pa.binary())
     keys = pa.array(np.array(list(spelling), np.uint64).view(np.int64))
-    return pa.RecordBatch.from_arrays([keys, pa.array([part] * len(spelling), pa.int32()), none, none, none, pa.array(list(spelling.values()), pa.string())], ["pkey", "part", "prefix", "next", "n", "word"])
+    return pa.RecordBatch.from_arrays([keys, pa.array([part] * len(spelling), pa.int32()), none, none, pa.array(list(spelling.values()), pa.string())], _NAMES)
 
 
 def _in(table: np.ndarray, key: np.ndarray) -> np.ndarray:
@@ -155,15 +174,15 @@ def _stripes(docs: DataFrame, lengths: range, frequent: np.ndarray | None = None
             name, language, piece, start, end, data = _words(texts_of(block), own)
             root = _fold(np.zeros(len(name), np.uint64), language)
             if 0 in held:
-                langs |= {_language_id(x): x for x in set(own)}
-                held[0].add(root, [language], name)
+                langs |= {_root(x): x for x in set(own)}
+                held[0].add(root, root, name)
             elif 1 in held:
                 key = _fold(root, name)
                 good = _in(frequent, key)
                 follows = np.zeros(len(name), bool)
                 follows[:-1] = (piece[1:] == piece[:-1]) & good[1:]
                 following = np.where(follows, np.r_[name[1:], _OTHER], _OTHER)[good]
-                held[1].add(key[good], [language[good], name[good]], following)
+                held[1].add(key[good], key[good], following)
             else:
                 # linked[i]: words i and i + 1 are a frequent pair; run[i]: so many words from i on are linked
                 key = _fold(_fold(root, name)[:-1], name[1:]) if len(name) else name
@@ -174,11 +193,10 @@ def _stripes(docs: DataFrame, lengths: range, frequent: np.ndarray | None = None
                 padded = np.r_[name, np.zeros(WORDS, np.uint64)]
                 for k in lengths:
                     at = np.flatnonzero(length >= k)
-                    words = [padded[at + j] for j in range(k)]
-                    pkey = root[at]
-                    for w in words:
-                        pkey = _fold(pkey, w)
-                    held[k].add(pkey, [language[at], *words], np.where(length[at] > k, padded[at + k], _OTHER))
+                    pkey = lead = key[at]
+                    for j in range(2, k):
+                        pkey = _fold(pkey, padded[at + j])
+                    held[k].add(pkey, lead, np.where(length[at] > k, padded[at + k], _OTHER))
                 if spell:
                     part = np.flatnonzero(linked[:-1] | np.r_[False, linked[:-2]]) if len(name) else np.zeros(0, np.int64)
                     ids, first = np.unique(name[part], return_index=True)
@@ -204,7 +222,7 @@ def _stripes(docs: DataFrame, lengths: range, frequent: np.ndarray | None = None
 
 def _cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """The same rows in parts of a bounded number of counters."""
-    before = np.cumsum(pc.list_value_length(batch["next"]).to_numpy(zero_copy_only=False)) // _HELD
+    before = np.cumsum(pc.binary_length(batch["n"]).to_numpy(zero_copy_only=False).astype(np.int64) // 4) // _HELD
     first = np.flatnonzero(np.r_[True, before[1:] != before[:-1]]) if batch.num_rows else np.zeros(0, np.int64)
     for a, b in zip(first.tolist(), [*first[1:].tolist(), batch.num_rows], strict=True):
         yield batch.slice(a, b - a)
@@ -216,41 +234,42 @@ def _groups(rows: pa.Table) -> np.ndarray:
     return np.flatnonzero(np.r_[True, (pkey[1:] != pkey[:-1]) | (part[1:] != part[:-1])])
 
 
-def _summed(rows: pa.Table) -> pa.Table:
-    """One row for each run of a prefix and part, equal counters summed up."""
+def _summed(rows: pa.Table, wide: bool) -> pa.Table:
+    """One row for each run of a prefix and part, equal counters summed up; counts have eight bytes then. wide: so have those of the first row."""
     first = _groups(rows)
     owner = np.repeat(np.arange(len(first)), np.diff(np.r_[first, rows.num_rows]))
-    owner = np.repeat(owner, pc.list_value_length(rows["next"]).to_numpy())
-    following, n = (pc.list_flatten(rows[c]).to_numpy().astype(np.int64) for c in ("next", "n"))
+    following, size = _numbers(rows["next"], "<u8")
+    n = _numbers(rows["n"][1:] if wide else rows["n"], "<u4")[0].astype("<u8")
+    if wide:
+        n = np.concatenate([_numbers(rows["n"][:1], "<u8")[0], n])
+    owner = np.repeat(owner, size)
     order = np.lexsort((following, owner))
     owner, following, n = owner[order], following[order], n[order]
     new = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (following[1:] != following[:-1])]) if len(owner) else np.zeros(0, np.int64)
-    bounds = pa.array(np.searchsorted(owner[new], np.arange(len(first) + 1)).astype(np.int32))
-    counts = np.add.reduceat(n, new) if len(new) else n
-    lists = [pa.ListArray.from_arrays(bounds, pa.array(x)) for x in (following[new], counts)]
+    bounds = np.searchsorted(owner[new], np.arange(len(first) + 1))
+    lists = [_lists(x, bounds) for x in (following[new], np.add.reduceat(n, new) if len(new) else n)]
     at = pa.array(first)
-    return pa.table([rows["pkey"].take(at), rows["part"].take(at), rows["prefix"].take(at), *lists, rows["word"].take(at)], names=rows.schema.names)
+    return pa.table([rows["pkey"].take(at), rows["part"].take(at), *lists, rows["word"].take(at)], names=_NAMES)
 
 
 def _finished(rows: pa.Table, min_count: int) -> pa.RecordBatch:
     """Totals of merged stripes, and their counters that reach min_count."""
-    size = pc.list_value_length(rows["next"]).to_numpy()
+    following, size = _numbers(rows["next"], "<u8")
+    n = _numbers(rows["n"], "<i8")[0]
     owner = np.repeat(np.arange(rows.num_rows), size)
-    following, n = (pc.list_flatten(rows[c]).to_numpy().astype(np.int64) for c in ("next", "n"))
     total = np.zeros(rows.num_rows, np.int64)
     np.add.at(total, owner, n)
-    keep = (n >= min_count) & (following != 0)
+    keep = (n >= min_count) & (following != _OTHER)
     bounds = pa.array(np.searchsorted(owner[keep], np.arange(rows.num_rows + 1)).astype(np.int32))
-    keys = _fold(rows["pkey"].to_numpy().view(np.uint64)[owner[keep]], following[keep].view(np.uint64)).view(np.int64)
-    lists = [pa.ListArray.from_arrays(bounds, pa.array(x)) for x in (following[keep], n[keep])]
-    columns = {"pkey": rows["pkey"], "part": rows["part"], "prefix": rows["prefix"], "next": lists[0], "n": lists[1], "word": rows["word"], "total": pa.array(total), "keys": pa.ListArray.from_arrays(bounds, pa.array(keys))}
-    return pa.table(columns).combine_chunks().to_batches()[0]
+    keys = _fold(rows["pkey"].to_numpy().view(np.uint64)[owner[keep]], following[keep])
+    lists = [pa.ListArray.from_arrays(bounds, pa.array(x)) for x in (following[keep].view(np.int64), n[keep], keys.view(np.int64))]
+    return pa.table([rows["pkey"], rows["part"], rows["word"], pa.array(total), *lists], names=["pkey", "part", "word", "total", "next", "n", "keys"]).combine_chunks().to_batches()[0]
 
 
 def _merged(stripes: DataFrame, min_count: int) -> DataFrame:
     """Stripes of one prefix and part summed up counter by counter, as they come in sorted order.
 
-    pkey, part, prefix, word, total, and next, n, keys (names of the longer phrases) of the
+    pkey, part, word, total, and next, n, keys (names of the longer phrases) of the
     counters that reach min_count. Only the last stripe waits for more rows.
     """
 
@@ -258,16 +277,16 @@ def _merged(stripes: DataFrame, min_count: int) -> DataFrame:
         waiting: list[pa.Table] = []
         for batch in batches:
             for part in _cut(batch):
-                rows = pa.concat_tables([*waiting, pa.Table.from_batches([part])]).combine_chunks()
-                last = int(_groups(rows)[-1])
-                if last:
-                    yield _finished(_summed(rows.slice(0, last)), min_count)
-                waiting = [_summed(rows.slice(last))]
+                rows = _summed(pa.concat_tables([*waiting, pa.Table.from_batches([part])]), bool(waiting))
+                if rows.num_rows > 1:
+                    yield _finished(rows.slice(0, rows.num_rows - 1), min_count)
+                waiting = [rows.slice(rows.num_rows - 1)]
         if waiting:
             yield _finished(waiting[0], min_count)
 
     dealt = stripes.repartition("pkey", "part").sortWithinPartitions("pkey", "part")
-    return dealt.mapInArrow(run, f"{_SCHEMA}, total long, keys array<long>").where(f"word is not null or part >= 0 or total >= {min_count}")
+    kinds = "pkey long, part int, word string, total long, next array<long>, n array<long>, keys array<long>"
+    return dealt.mapInArrow(run, kinds).where(f"word is not null or part >= 0 or total >= {min_count}")
 
 
 def _filter(merged: DataFrame) -> np.ndarray:
@@ -290,20 +309,37 @@ def _heavy(merged: DataFrame, all_words: int) -> tuple[np.ndarray, np.ndarray]:
     return keys[order], 1 + n[order] * HEAVY_SHARE // max(1, all_words)
 
 
-def stripes(docs: DataFrame, min_count: int = MIN_COUNT) -> tuple[DataFrame, DataFrame]:
-    """The merged stripes: prefix (names of the language and of up to four words), total, next, n; and the spelling: id, kind, word.
+def stripes(docs: DataFrame, min_count: int = MIN_COUNT) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The merged stripes of prefixes of no, of one, and of two to four words: pkey, part, word, total, next, n, keys.
 
     A null text counts as empty, a null language as `und`. next and n list the counters
-    that reach min_count; prefixes whose total does not are left out.
+    that reach min_count, keys names the phrases that they count; prefixes whose total
+    does not reach it are left out. Rows with a word spell a language or a word.
     """
     rows = docs.select(F.col("text").cast("string").alias("text"), F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
     one = written(_merged(_stripes(rows, range(1)), min_count), "stripes")
     every = one.agg(F.sum("total")).first()[0] or 0
     two = written(_merged(_stripes(rows, range(1, 2), _filter(one), _heavy(one, every)), min_count), "stripes")
-    more = written(_merged(_stripes(rows, range(2, WORDS), _filter(two), _heavy(two, every), spell=True), min_count), "stripes")
-    both = one.union(two).union(more)
-    spelling = both.where(F.col("word").isNotNull()).select(F.col("pkey").alias("id"), F.col("part").alias("kind"), "word")
-    return both.where(F.col("word").isNull()).select("prefix", "total", "next", "n"), spelling
+    return one, two, written(_merged(_stripes(rows, range(2, WORDS), _filter(two), _heavy(two, every), spell=True), min_count), "stripes")
+
+
+def _phrases(one: DataFrame, two: DataFrame, more: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """words, a of every frequent phrase of two words and more; words, f, longer of every frequent prefix.
+
+    words are the names of the language and the words. A prefix's f is the sum of its
+    stripe, longer its largest extension. Phrases get their words from their prefixes, length by length.
+    """
+    counters = [x.select("pkey", F.explode(F.arrays_zip("next", "n", "keys")).alias("x")).select("pkey", F.col("x.next").alias("next"), F.col("x.n").alias("a"), F.col("x.keys").alias("key")) for x in (one, two, more)]
+    level = counters[0].select("key", F.array("pkey", "next").alias("words"), "a")
+    levels = [one.where(F.col("part") >= 0).select(F.col("pkey").alias("key"), F.array("pkey").alias("words"), F.lit(0).cast("long").alias("a")).distinct(), level]
+    for k in range(2, WORDS + 1):
+        shorter = levels[-1].select(F.col("key").alias("pkey"), "words")
+        levels.append(written(counters[min(k - 1, 2)].join(shorter, "pkey").select("key", F.concat("words", F.array("next")).alias("words"), "a"), "phrases"))
+    sums = one.union(two).union(more).where(F.col("word").isNull()).groupBy("pkey").agg(F.sum("total").alias("f"), F.max(F.array_max("n")).alias("longer"))
+    sums = written(sums, "prefix-sums")
+    totals = [x.join(sums, x.key == sums.pkey).select("words", "f", "longer") for x in levels[:-1]]
+    union = lambda parts: parts[0] if len(parts) == 1 else parts[0].union(union(parts[1:]))
+    return union([x.select("words", "a") for x in levels[2:]]), written(union(totals), "prefix-totals")
 
 
 def mine(docs: DataFrame, min_count: int = MIN_COUNT, top: int = TOP, subsumed_percent: int = SUBSUMED_PERCENT) -> DataFrame:
@@ -315,29 +351,27 @@ def mine(docs: DataFrame, min_count: int = MIN_COUNT, top: int = TOP, subsumed_p
     out. Scores are compared as whole numbers of up to 38 digits. Tables without a
     frequent phrase give no rows.
     """
-    found, spelling = stripes(docs, min_count)
-    totals = written(found.groupBy("prefix").agg(F.sum("total").alias("f"), F.max(F.array_max("n")).alias("longer")), "prefix-totals")
-    pairs = found.where(F.size("prefix") > 1).select("prefix", F.explode(F.arrays_zip("next", "n")).alias("x"))
-    phrases = written(pairs.select(F.concat("prefix", F.array("x.next")).alias("words"), F.col("x.n").alias("a")), "phrases")
-    languages = spelling.where(F.col("kind") == _LANGUAGE).select(F.array("id").alias("language"), F.col("word").alias("lang"))
-    languages = written(languages.join(totals.select(F.col("prefix").alias("language"), F.col("f").alias("n")), "language"), "languages")
+    one, two, more = stripes(docs, min_count)
+    phrases, totals = _phrases(one, two, more)
+    languages = one.where(F.col("part") == _LANGUAGE).select(F.array("pkey").alias("language"), F.col("word").alias("lang"))
+    languages = written(languages.join(totals.select(F.col("words").alias("language"), F.col("f").alias("n")), "language"), "languages")
 
     language = F.slice("words", 1, 1)
     cuts = phrases.select("words", "a", F.explode(F.sequence(F.lit(1), F.size("words") - 2)).alias("k"))
     cuts = cuts.select("words", "a", "k", language.alias("language"), F.expr("slice(words, 1, k + 1)").alias("first"), F.concat(language, F.expr("slice(words, k + 2, size(words))")).alias("rest"))
-    part = lambda name, of: totals.select(F.col("prefix").alias(of), F.col("f").alias(name))
+    part = lambda name, of: totals.select(F.col("words").alias(of), F.col("f").alias(name))
     scored = cuts.join(part("l", "first"), "first").join(part("r", "rest"), "rest").join(languages, "language")
     scored = scored.withColumn("score", F.expr(SCORE))
     best = scored.groupBy("words", "a", "lang", "n").agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
 
-    after = totals.select(F.col("prefix").alias("words"), "longer")
+    after = totals.select("words", "longer")
     tail = F.concat(language, F.expr("slice(words, 3, size(words))"))
     before = phrases.where(F.size("words") > 3).groupBy(tail.alias("words")).agg(F.max("a").alias("longer_before"))
     longer = F.greatest(F.coalesce("longer", F.lit(0)), F.coalesce("longer_before", F.lit(0)))
     kept = best.join(after, "words", "left").join(before, "words", "left").where(100 * longer < subsumed_percent * F.col("a"))
     kept = kept.select("words", "lang", "a", "n", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"), F.col("cut.score").alias("score"))
 
-    letters = spelling.where(F.col("kind") == _SPELLING).select("id", "word")
+    letters = more.where(F.col("part") == _SPELLING).select(F.col("pkey").alias("id"), "word")
     spelled = kept.select("words", F.posexplode(F.expr("slice(words, 2, size(words))")).alias("at", "id")).join(letters, "id")
     spelled = spelled.groupBy("words").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]), " ").alias("phrase"))
     named = kept.join(spelled, "words").withColumn("_salt", F.pmod(F.xxhash64("words"), F.lit(64)))
