@@ -158,14 +158,15 @@ def _text_hits(rows: DataFrame, patterns: list[Pattern]) -> DataFrame:
     return rows.withColumn("content", content).withColumn("column", F.length(F.substring_index("ahead", "\n", -1)) + 1).drop("ahead")
 
 
-def scan(docs: DataFrame, patterns: PatternSet = PatternSet(), most_bytes: int = 1 << 20) -> DataFrame:
-    """Findings of every pattern in documents that pass the path and size rules.
+def scan(docs: DataFrame, patterns: PatternSet = PatternSet(), most_bytes: int = 1 << 20, any_path: bool = False) -> DataFrame:
+    """Findings of every pattern in documents that pass the path and size rules, or with any_path those of size alone.
 
     One projection matches the patterns of single lines, each on the lines that hold what
     its matches can't do without, another those that span lines on whole texts;
     neighbouring lines come from the document's own array of lines, so nothing is shuffled.
     """
-    rows = docs.where(~ignored(F.col("path")) & should_scan(F.col("path")) & size_gate(F.col("text"), most_bytes)).select("doc_key", "source", "path", "text", F.split("text", "\n").alias("all"))
+    place = F.lit(True) if any_path else ~ignored(F.col("path")) & should_scan(F.col("path"))
+    rows = docs.where(place & size_gate(F.col("text"), most_bytes)).select("doc_key", "source", "path", "text", F.split("text", "\n").alias("all"))
     wide = [p for p in patterns.patterns if p.spans_lines]
     narrow = [p for p in patterns.patterns if not p.spans_lines]
     parts = ([_line_hits(rows, narrow)] if narrow or not wide else []) + ([_text_hits(rows, wide)] if wide else [])

@@ -42,29 +42,65 @@ def sync_preview(a: DataFrame, b: DataFrame, keys: list[str] = KEYS) -> DataFram
     return both.groupBy(*keys).agg(new.alias("new_keys"), changed.alias("changed_keys"), gone.alias("removed_keys"), (new + changed + gone).alias("total_changes"), ((new + changed + gone) == 0).alias("in_sync"))
 
 
-def _pairs_map(df: DataFrame) -> DataFrame:
-    """Adds kv, the snapshot's pairs (diff dialect, last wins) as a map; narrow, no shuffle."""
+def with_pairs(df: DataFrame, name: str = "kv") -> DataFrame:
+    """Adds the snapshot's pairs (diff dialect, last wins) as an array of key and value, in the order of keys; narrow, no shuffle."""
     text = F.transform(F.split("fileContent", "\n"), kv.js_trim)
     rows = F.filter(text, lambda x: (x != "") & ~x.startswith("#") & (F.instr(x, "=") > 1))
-    entry = F.transform(rows, lambda x: F.struct(kv.js_trim(F.substring_index(x, "=", 1)).alias("key"), F.regexp_replace(x, "^[^=]*=", "").alias("value")))
-    entry = F.filter(entry, lambda x: x["key"] != "")
-    unique = F.array_distinct(F.transform(entry, lambda x: x["key"]))
-    last = F.transform(unique, lambda k: F.struct(k.alias("key"), F.element_at(F.filter(entry, lambda x: x["key"] == k), -1)["value"].alias("value")))
-    return df.withColumn("kv", F.map_from_entries(last))
+    entry = F.transform(rows, lambda x, i: F.struct(kv.js_trim(F.substring_index(x, "=", 1)).alias("key"), i.alias("at"), F.regexp_replace(x, "^[^=]*=", "").alias("value")))
+    df = df.withColumn("_sorted", F.array_sort(F.filter(entry, lambda x: x["key"] != "")))
+    last = F.filter("_sorted", lambda x, i: ~F.get("_sorted", i + 1)["key"].eqNullSafe(x["key"]))
+    return df.withColumn(name, F.transform(last, lambda x: F.struct(x["key"].alias("key"), x["value"].alias("value")))).drop("_sorted")
+
+
+def merged_pairs(df: DataFrame, old: str, new: str) -> DataFrame:
+    """One row for each key of two sorted arrays of pairs, beside the other columns: key, status, old_value, new_value.
+
+    Both arrays are laid together and sorted once; the two values of a key are then neighbours. A null array has no pairs.
+    """
+    none = F.expr("cast(array() as array<struct<key: string, value: string>>)")
+    side = lambda c, k: F.transform(F.coalesce(F.col(c), none), lambda x: F.struct(x["key"].alias("key"), F.lit(k).alias("side"), x["value"].alias("value")))
+    rest = [c for c in df.columns if c not in (old, new)]
+    df = df.select(*rest, F.array_sort(F.concat(side(old, 0), side(new, 1))).alias("_both"))
+    same = lambda x, i: F.get("_both", i)["key"].eqNullSafe(x["key"])
+    row = lambda x, a, b: F.struct(x["key"].alias("key"), a.alias("old_value"), b.alias("new_value"))
+    null = F.lit(None).cast("string")
+    one = F.transform("_both", lambda x, i: F.when(x["side"] == 0, row(x, x["value"], F.when(same(x, i + 1), F.get("_both", i + 1)["value"]))).when(~same(x, i - 1), row(x, null, x["value"])))
+    df = df.withColumn("_rows", one).select(*rest, F.explode(F.filter("_rows", lambda x: x.isNotNull())).alias("_r")).select(*rest, "_r.*")
+    status = F.when(F.col("old_value").isNull(), "added").when(F.col("new_value").isNull(), "removed").when(F.col("old_value") != F.col("new_value"), "changed").otherwise("unchanged")
+    return df.select(*rest, "key", status.alias("status"), "old_value", "new_value")
+
+
+BLAME = ["user", "timestamp", "commitHash"]
 
 
 def diff_against_previous(log: DataFrame, same_environment: bool) -> DataFrame:
-    """Changes of each snapshot against the one before it, in the workspace or in its environment, with blame."""
+    """Changes of each snapshot against the one before it, in the workspace or in its environment.
+
+    Changed keys blame the snapshot before: its user, time and commit. The first snapshot has nothing to be compared with.
+    """
     part = KEYS if same_environment else ["workspace"]
     w = Window.partitionBy(*part).orderBy("timestamp", "id")
-    rows = _pairs_map(log)
-    rows = rows.withColumn("before", F.lag(F.struct("kv", "user", "timestamp")).over(w)).where("before is not null")
-    keys = F.array_distinct(F.concat(F.map_keys("kv"), F.map_keys("before.kv")))
-    out = rows.select("workspace", "environmentName", "id", F.explode(keys).alias("key"), "kv", "before")
-    old, new = F.try_element_at("before.kv", "key"), F.try_element_at("kv", "key")
-    status = F.when(old.isNull(), "added").when(new.isNull(), "removed").when(old != new, "changed").otherwise("unchanged")
-    blame_user = F.when((old.isNotNull()) & (new.isNotNull()) & (old != new), F.col("before.user"))
-    return out.select("workspace", "environmentName", "id", "key", status.alias("status"), old.alias("old_value"), new.alias("new_value"), blame_user.alias("blame_user"))
+    rows = with_pairs(log).withColumn("_before", F.lag(F.struct("kv", *BLAME)).over(w)).where("_before is not null")
+    rows = rows.select("workspace", "environmentName", "id", F.col("_before.kv").alias("_old"), "kv", *(F.col(f"_before.{c}").alias(f"_{c}") for c in BLAME))
+    blame = lambda c, name: F.when(F.col("status") == "changed", F.col(f"_{c}")).alias(name)
+    out = merged_pairs(rows, "_old", "kv")
+    return out.select("workspace", "environmentName", "id", "key", "status", "old_value", "new_value", blame("user", "blame_user"), blame("timestamp", "blame_timestamp"), blame("commitHash", "blame_commit"))
+
+
+def first_against_current(log: DataFrame, current: DataFrame) -> DataFrame:
+    """The first snapshot of each environment against the environment's file as it is: old values are the snapshot's.
+
+    current has workspace, environmentName, fileContent; an environment without a file has lost all its keys.
+    """
+    first = log.groupBy(*KEYS).agg(F.min_by(F.struct("id", "fileContent"), F.struct("timestamp", "id")).alias("x")).select(*KEYS, "x.id", "x.fileContent")
+    now = with_pairs(current.select(*KEYS, "fileContent"), "_now").drop("fileContent")
+    return merged_pairs(with_pairs(first).drop("fileContent").join(now, KEYS, "left"), "kv", "_now")
+
+
+def changes_shown(log: DataFrame, current: DataFrame) -> DataFrame:
+    """What a viewer of each entry sees: its changes against the entry before it in the environment, or, for the first one, the file as it is now. against tells which."""
+    before = diff_against_previous(log, True).withColumn("against", F.lit("previous"))
+    return before.unionByName(first_against_current(log, current).withColumn("against", F.lit("current")), allowMissingColumns=True)
 
 
 def trash_log(log: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kvtrail.functions import kv
+from kvtrail.operators.detection import scan
 
 _NUMBER = r"^\s*[+-]?(?:Infinity|(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?)\s*\z|^\s*(?:0[xX][0-9a-fA-F]+|0[bB][01]+|0[oO][0-7]+)\s*\z"
 
@@ -56,14 +57,48 @@ def custom_errors(pairs: DataFrame, rules: DataFrame, keys: list[str]) -> DataFr
     return bad.select(*keys, F.lit("custom").alias("type"), F.col("key").alias("variable"), F.lit("Custom rule failed").alias("message"), "line")
 
 
+#: Rules that are sent to every task, at most.
+MOST_RULES = 10_000
+
+
 def validate(files: DataFrame, rules: DataFrame, keys: list[str]) -> DataFrame:
-    """All errors of all files."""
-    pairs = kv.validator_pairs(files, keys)
-    parts = [syntax_errors(files, keys), missing_errors(files, pairs, rules, keys), type_errors(pairs, rules, keys), custom_errors(pairs, rules, keys)]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """All errors of all files: syntax, missing, type and custom.
+
+    Each file is parsed once and stays one row until its errors are known; the rules come along as one row of
+    lists. More than MOST_RULES rules meet the files by joins instead.
+    """
+    if rules.limit(MOST_RULES + 1).count() > MOST_RULES:
+        pairs = kv.validator_pairs(files, keys)
+        return syntax_errors(files, keys).unionByName(missing_errors(files, pairs, rules, keys)).unionByName(type_errors(pairs, rules, keys)).unionByName(custom_errors(pairs, rules, keys))
+    of = lambda kind: F.col("rule_type") == kind
+    rule = F.struct(F.col("variable").alias("key"), "arg")
+    lists = rules.agg(F.array_sort(F.collect_set(F.when(of("required"), F.col("variable")))).alias("_required"), *(F.collect_list(F.when(of(t), rule)).alias(f"_{t}") for t in ("type", "custom")))
+    text = F.transform(F.split("fileContent", "\n"), lambda x, i: F.struct((i + 1).alias("line"), kv.js_trim(x).alias("text")))
+    rows = files.select(*keys, F.filter(text, lambda x: (x["text"] != "") & ~x["text"].startswith("#")).alias("_lines"))
+    parts = lambda x: F.struct(
+        x["line"].alias("line"), F.instr(x["text"], "=").alias("at"), kv.js_trim(F.substring_index(x["text"], "=", 1)).alias("key"), F.regexp_replace(x["text"], "^[^=]*=", "").alias("rest")
+    )
+    rows = rows.select(*keys, F.transform("_lines", parts).alias("_lines"))
+    named = F.filter("_lines", lambda x: (x["at"] > 0) & (x["key"] != ""))
+    rows = rows.withColumn("_sorted", F.array_sort(F.transform(named, lambda x: F.struct(x["key"].alias("key"), x["line"].alias("line"), x["rest"].alias("value")))))
+    rows = rows.withColumn("_pairs", F.filter("_sorted", lambda x, i: ~F.get("_sorted", i + 1)["key"].eqNullSafe(x["key"]))).join(F.broadcast(lists))
+
+    error = lambda kind, variable, message, line: F.struct(F.lit(kind).alias("type"), variable.cast("string").alias("variable"), message.alias("message"), line.cast("int").alias("line"))
+    null = F.lit(None)
+    syntax = F.flatten(F.transform("_lines", lambda x: F.filter(F.array(
+        F.when(x["at"] == 0, error("syntax", null, F.lit("Invalid line format"), x["line"])),
+        F.when((x["at"] > 0) & (x["key"] == ""), error("syntax", null, F.lit("Missing variable name"), x["line"])),
+        F.when((x["at"] > 0) & (F.regexp_count(x["rest"], F.lit('"')) % 2 == 1), error("syntax", null, F.lit("Unmatched quotes"), x["line"])),
+    ), lambda e: e.isNotNull())))
+    missing = F.transform(F.array_except("_required", F.transform("_pairs", lambda x: x["key"])), lambda v: error("missing", v, F.concat(F.lit("Required variable missing: "), v), null))
+
+    def failed(kind, holds, message):
+        hit = lambda x, r: F.when((r["key"] == x["key"]) & ~holds(x["value"], r["arg"]), error(kind, x["key"], message(r["arg"]), x["line"]))
+        return F.flatten(F.transform("_pairs", lambda x: F.filter(F.transform(f"_{kind}", lambda r: hit(x, r)), lambda e: e.isNotNull())))
+
+    types = failed("type", type_holds, lambda arg: F.concat(F.lit("Expected "), arg))
+    custom = failed("custom", lambda value, pattern: F.regexp_like(value, pattern), lambda _: F.lit("Custom rule failed"))
+    return rows.select(*keys, F.explode(F.concat(syntax, missing, types, custom)).alias("_e")).select(*keys, "_e.type", "_e.variable", "_e.message", "_e.line")
 
 
 def summary(files: DataFrame, errors: DataFrame, keys: list[str]) -> DataFrame:
@@ -73,11 +108,20 @@ def summary(files: DataFrame, errors: DataFrame, keys: list[str]) -> DataFrame:
     return files.select(*keys).join(counts, keys, "left").fillna(zero).withColumn("valid", F.col("errors") == 0)
 
 
-def policy_gate(files: DataFrame, errors: DataFrame, secrets: DataFrame, change_set: str, blocking: tuple[str, ...] = ("env_file", "secret", "validation")) -> DataFrame:
-    """Per change set: issues of the three checks, and whether one that is set to block was found."""
-    staged = files.select(change_set, F.lit("env_file").alias("issue"))
-    found = staged.unionByName(errors.select(change_set, F.lit("validation").alias("issue"))).unionByName(secrets.select(change_set, F.lit("secret").alias("issue")))
-    return found.groupBy(change_set).agg(*(F.count_if(F.col("issue") == i).alias(f"{i}_issues") for i in ("env_file", "secret", "validation")), F.bool_or(F.col("issue").isin(*blocking)).alias("blocked"))
+def policy_gate(files: DataFrame, rules: DataFrame, change_set: str, blocking: tuple[str, ...] = ("env_file", "secret", "validation")) -> DataFrame:
+    """Per change set: issues of the three checks, and whether one that is set to block was found.
+
+    files has the change set, id, path and fileContent. Every file is scanned for secrets, unless
+    it is large or binary; files whose path begins with .env are issues themselves and have to hold to the rules.
+    """
+    env = files.where(F.col("path").startswith(".env"))
+    docs = files.select(F.col(change_set).alias("doc_key"), F.lit(None).cast("string").alias("source"), "path", F.col("fileContent").alias("text"))
+    secrets = scan(docs, any_path=True).select(F.col("doc_key").alias(change_set), F.lit("secret").alias("issue"))
+    errors = validate(env, rules, [change_set]).select(change_set, F.lit("validation").alias("issue"))
+    none = files.select(change_set, F.lit(None).cast("string").alias("issue"))
+    found = none.unionByName(env.select(change_set, F.lit("env_file").alias("issue"))).unionByName(errors).unionByName(secrets)
+    blocked = F.coalesce(F.bool_or(F.col("issue").isin(*blocking)), F.lit(False)) if blocking else F.lit(False)
+    return found.groupBy(change_set).agg(*(F.count_if(F.col("issue") == i).alias(f"{i}_issues") for i in ("env_file", "secret", "validation")), blocked.alias("blocked"))
 
 
 def branch_switch(branches: DataFrame, mapping: DataFrame, files: DataFrame) -> DataFrame:

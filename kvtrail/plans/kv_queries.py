@@ -108,29 +108,41 @@ _compared("diff_display", lambda a, b: diff.kv_diff(a, b).select("workspace", "e
           f" select workspace, environmentName, ({_order})::int as place, case status when 'added' then '+ ' || key || '=' || new_value when 'removed' then '- ' || key || '=' || old_value when 'changed' then '~ ' || key || ': ' || old_value || ' -> ' || new_value else '  ' || key end as line from d")
 query("granular_diff")(lambda spark, sf_dir: diff.granular_diff(diff.kv_diff(*_two(spark, sf_dir)).where("status = 'changed'")))
 
-_PREV = _ASSIGN + """, q as (select id, key, arg_max(rest, line) as value from p where key <> '' group by id, key),
-o as (select id, workspace, environmentName, lag(id) over w as pid, lag("user") over w as puser from h window w as (partition by {part} order by timestamp, id)),
-u as (select o.id, o.workspace, o.environmentName, o.pid, o.puser, q.key from o join q on q.id = o.id or q.id = o.pid where pid is not null group by all),
-d as (select u.workspace, u.environmentName, u.id, u.key, a.value as old_value, b.value as new_value, u.puser from u left join q a on a.id = u.pid and a.key = u.key left join q b on b.id = u.id and b.key = u.key),
-s as (select workspace, environmentName, id, key, case when old_value is null then 'added' when new_value is null then 'removed' when old_value <> new_value then 'changed' else 'unchanged' end as status, old_value, new_value, case when old_value <> new_value then puser end as blame_user from d)"""
+#: Changes against the snapshot before; {part} is the partition.
+PREVIOUS = _ASSIGN + """, q as (select id, key, arg_max(rest, line) as value from p where key <> '' group by id, key),
+o as (select id, workspace, environmentName, lag(id) over w as pid, lag("user") over w as puser, lag(timestamp) over w as ptime from h window w as (partition by {part} order by timestamp, id)),
+u as (select o.id, o.workspace, o.environmentName, o.pid, o.puser, o.ptime, q.key from o join q on q.id = o.id or q.id = o.pid where pid is not null group by all),
+d as (select u.workspace, u.environmentName, u.id, u.key, a.value as old_value, b.value as new_value, u.puser, u.ptime, case when u.puser is not null then left(md5(u.pid), 8) end as pcommit from u left join q a on a.id = u.pid and a.key = u.key left join q b on b.id = u.id and b.key = u.key),
+s as (select workspace, environmentName, id, key, case when old_value is null then 'added' when new_value is null then 'removed' when old_value <> new_value then 'changed' else 'unchanged' end as status, old_value, new_value, case when old_value <> new_value then puser end as blame_user,
+  case when old_value <> new_value then ptime end as blame_timestamp, case when old_value <> new_value then pcommit end as blame_commit from d)"""
+#: The first entry of each environment, and the file as the last entry left it.
+_FIRST = """, e as (select workspace, environmentName, arg_min(id, timestamp) as id, arg_max(id, timestamp) as cid from h group by all),
+k as (select e.*, q.key from e join q on q.id = e.id or q.id = e.cid group by all),
+g as (select k.workspace, k.environmentName, k.id, k.key, a.value as old_value, b.value as new_value from k left join q a on a.id = k.id and a.key = k.key left join q b on b.id = k.cid and b.key = k.key)"""
+
+
+def log_with_commits(spark, sf_dir):
+    """The log with a commit for every entry of a known user."""
+    return history(spark, sf_dir).withColumn("commitHash", F.when(F.col("user").isNotNull(), F.left(F.md5(F.col("id").cast("binary")), F.lit(8))))
 
 
 def _previous(name, same, f, sql):
     part = "workspace, environmentName" if same else "workspace"
-    query(name, f"with {_PREV.replace('{part}', part)}{sql}")(lambda spark, sf_dir: f(history(spark, sf_dir)))
+    query(name, f"with {PREVIOUS.replace('{part}', part)}{sql}")(lambda spark, sf_dir: f(log_with_commits(spark, sf_dir)))
 
 
 _previous("diff_with_blame", False, lambda h: diff.diff_against_previous(h, False), " select * from s")
-_previous("diff_prev_same_env", True, lambda h: diff.diff_against_previous(h, True), " select * from s")
+_previous("diff_prev_same_env", True, lambda h: diff.changes_shown(h, snapshots_at(h)), _FIRST + """ select *, 'previous' as against from s union all
+select workspace, environmentName, id, key, case when old_value is null then 'added' when new_value is null then 'removed' when old_value <> new_value then 'changed' else 'unchanged' end, old_value, new_value, null, null, null, 'current' from g""")
 _TRASH = " select workspace, environmentName, id, key, old_value, new_value, case when status = 'removed' then 'deleted' else 'modified' end as type from s where status = 'removed' or (status = 'changed' and new_value <> '')"
 _previous("trash_log", True, diff.trash_log, _TRASH)
 
 
-@query("trash_restore", f"with {_PREV.replace('{part}', 'workspace, environmentName')}, t as ({_TRASH}), b as (select workspace, environmentName, key, arg_max(old_value, id::bigint) as back from t group by all)"
+@query("trash_restore", f"with {PREVIOUS.replace('{part}', 'workspace, environmentName')}, t as ({_TRASH}), b as (select workspace, environmentName, key, arg_max(old_value, id::bigint) as back from t group by all)"
        + ", z as (select workspace, environmentName, arg_max(id, timestamp) as id from h group by all), c as (select workspace, environmentName, key, value from z join q using (id))"
        + " select coalesce(c.workspace, b.workspace) as workspace, coalesce(c.environmentName, b.environmentName) as environmentName, coalesce(c.key, b.key) as key, coalesce(back, value) as value from c full join b on c.workspace = b.workspace and c.environmentName = b.environmentName and c.key = b.key")
 def trash_restore(spark, sf_dir):
-    log = history(spark, sf_dir)
+    log = log_with_commits(spark, sf_dir)
     return diff.restore(kv.sync_pairs(snapshots_at(log), diff.KEYS), diff.trash_log(log))
 
 

@@ -61,15 +61,25 @@ def security_status(s, d):
     return out.withColumn("issues", F.col("errors") + F.col("warnings"))
 
 
-_SECRET = "se as (select workspace, id from hl where regexp_matches(raw, '\"t[0-9]{3,}\"'))"
+#: Change sets of three neighbouring entries; every second file is no env file.
+_SETS = "cs as (select id, id::bigint // 3 as change_set, id::bigint % 2 = 0 as env, regexp_matches(fileContent, '\\bghp_[a-zA-Z0-9]{20,}\\b') as secret from h)"
 
 
-@query("policy_gate", f"{_ALL}, {_SECRET}, i as (select workspace, 'env_file' as issue from h union all select h.workspace, 'validation' from er join h using (id) union all select workspace, 'secret' from se) select workspace, count(*) filter (where issue = 'env_file') as env_file_issues, count(*) filter (where issue = 'secret') as secret_issues, count(*) filter (where issue = 'validation') as validation_issues, bool_or(issue in ('secret', 'validation')) as blocked from i group by 1")
-def policy_gate(s, d):
-    """Workspaces as change sets; three-digit tokens stand for secrets."""
-    log = history(s, d)
-    secrets = kv.lines_of(log.select("workspace", "id", "fileContent")).where(F.col("raw").rlike('"t[0-9]{3,}"'))
-    return op.policy_gate(log, _errors(s, d, ["workspace", "id"]), secrets, "workspace", ("secret", "validation"))
+def _change_sets(s, d):
+    path = F.when(F.col("id").cast("long") % 2 == 0, F.concat(F.lit(".env."), "environmentName")).otherwise(F.concat(F.lit("config/"), "environmentName", F.lit(".txt")))
+    return history(s, d).withColumn("change_set", F.expr("cast(id as bigint) div 3")).withColumn("path", path)
+
+
+def _gate(name, toggles):
+    env, secret, validation = (t in toggles for t in ("env_file", "secret", "validation"))
+    blocked = f"(({env} and env_file_issues > 0) or ({secret} and secret_issues > 0) or ({validation} and validation_issues > 0)) as blocked"
+    sql = f"{_ALL}, {_SETS}, ve as (select id, count(*) as n from er group by 1), g as (select change_set, count(*) filter (where env) as env_file_issues, count(*) filter (where secret) as secret_issues, coalesce(sum(n) filter (where env), 0)::bigint as validation_issues from cs left join ve using (id) group by 1) select *, {blocked} from g"
+    query(name, sql)(lambda s, d: op.policy_gate(_change_sets(s, d), rules(s), "change_set", toggles))
+
+
+_gate("policy_gate", ("secret", "validation"))
+_gate("policy_gate_secrets", ("secret",))
+_gate("policy_gate_all", ("env_file", "secret", "validation"))
 
 
 @query("branch_environment_mapping", f"with {H}, b as (select distinct 'b' || (event_id % 5) as branch from events), m(branch, environment) as (values ('b0', 'development'), ('b1', 'staging'), ('b2', 'production'), ('b3', 'preview')), f as (select distinct environmentName as environment, true as there from h) select branch, environment, case when environment is null then 'unmapped' when there is null then 'missing file' else 'switched' end as outcome from b left join m using (branch) left join f using (environment)")

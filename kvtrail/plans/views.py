@@ -25,9 +25,10 @@ def history_from_events(events: DataFrame, fine: bool = False) -> DataFrame:
     for event, name in ACTIONS.items():
         action = F.when(F.col("event_type") == event, name).otherwise(action)
     content = F.concat(
-        F.lit("# generated\nPORT="), (3000 + e % 7).cast("string"), F.lit('\nAPI_TOKEN="t'), k.cast("string"), F.lit('"'),
+        F.lit("# generated\nPORT="), F.when(e % 9 == 4, "auto").otherwise((3000 + e % 7).cast("string")), F.lit('\nAPI_TOKEN="t'), k.cast("string"), F.lit('"'),
         F.when(k % 3 == 0, "\nDEBUG=true").otherwise(""), F.lit("\nURL=http://h"), (u % 5).cast("string"),
         F.when(k % 17 == 0, "\nBROKEN LINE").otherwise(""), F.when(k % 11 == 0, F.concat(F.lit("\nPORT="), k.cast("string"))).otherwise(""),
+        F.when((u % 10 == 3) & (e % 5 == 0), F.concat(F.lit("\nSEALED=ENC["), e.cast("string"), F.lit("]"))).otherwise(""), F.when(e % 40 == 7, F.concat(F.lit("\nGH_TOKEN=ghp_"), F.md5(e.cast("string").cast("binary")))).otherwise(""),
     )
     return events.select(
         e.cast("string").alias("id"),
@@ -52,10 +53,12 @@ def _history_sql(workspace: str, where: str = "true") -> str:
   list_extract(['development','staging','production','local'], (event_id * 7 + user_id) % 4 + 1) as environmentName,
   case event_type {cases} end as action,
   case when event_type = 'error' then 'rollback after error' end as reason,
-  '# generated' || chr(10) || 'PORT=' || (3000 + event_id % 7) || chr(10) || 'API_TOKEN="t' || k || '"'
+  '# generated' || chr(10) || 'PORT=' || case when event_id % 9 = 4 then 'auto' else (3000 + event_id % 7)::varchar end || chr(10) || 'API_TOKEN="t' || k || '"'
    || case when k % 3 = 0 then chr(10) || 'DEBUG=true' else '' end || chr(10) || 'URL=http://h' || (user_id % 5)
    || case when k % 17 = 0 then chr(10) || 'BROKEN LINE' else '' end
-   || case when k % 11 = 0 then chr(10) || 'PORT=' || k else '' end as fileContent
+   || case when k % 11 = 0 then chr(10) || 'PORT=' || k else '' end
+   || case when user_id % 10 = 3 and event_id % 5 = 0 then chr(10) || 'SEALED=ENC[' || event_id || ']' else '' end
+   || case when event_id % 40 = 7 then chr(10) || 'GH_TOKEN=ghp_' || md5(event_id::varchar) else '' end as fileContent
   from (select *, json_extract_string(props, '$.k')::bigint as k from events) where {where})"""
 
 
@@ -87,7 +90,7 @@ LINES_OF_H = H + r""", hl as (select id, workspace, unnest(string_split(fileCont
 
 RULES = [
     ("required", "PORT", None), ("required", "DEBUG", None), ("type", "PORT", "number"), ("type", "URL", "url"),
-    ("type", "DEBUG", "boolean"), ("type", "API_TOKEN", "number"), ("custom", "API_TOKEN", '^"t[0-9]$'),
+    ("type", "DEBUG", "boolean"), ("custom", "API_TOKEN", '^"t[0-8]?[0-9]"$'),
 ]
 
 
