@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from functools import reduce
 from operator import and_, or_
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,6 +76,45 @@ DEFAULT_PATTERNS = [
 ]
 
 
+def required_literals(regex: str, any_case: bool = False) -> tuple[str, ...]:
+    """Strings of which every match holds one (in lower case where any case matches); () if none can be told."""
+    try:
+        tree = re._parser.parse(regex)
+    except (re.error, OverflowError):
+        return ()
+    if tree.state.flags & (re.IGNORECASE | re.VERBOSE):
+        return ()
+
+    def best(options: list[tuple[str, ...]]) -> tuple[str, ...]:
+        return max(options, key=lambda x: min(map(len, x)), default=())
+
+    def walk(sequence) -> list[tuple[str, ...]]:
+        found, literal = [], ""
+        for code, value in [*sequence, (None, None)]:
+            name = str(code)
+            if name == "LITERAL":
+                literal += chr(value)
+                continue
+            if literal:
+                found.append((literal,))
+                literal = ""
+            if name == "SUBPATTERN":
+                if not value[1]:  # no flags of its own
+                    found += walk(value[3])
+            elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT") and value[0] > 0:
+                found += walk(value[2])
+            elif name == "BRANCH":
+                ways = [best(walk(x)) for x in value[1]]
+                if all(ways):
+                    found.append(tuple(dict.fromkeys(w for way in ways for w in way)))
+        return found
+
+    words = best(walk(tree))
+    if not words or min(map(len, words)) < 2 or not all(w.isascii() for w in words):
+        return ()
+    return tuple(w.lower() if any_case else w for w in words)
+
+
 @dataclass(frozen=True)
 class PatternSet:
     """An unchangeable list of patterns, highest priority first once one has been added."""
@@ -80,8 +122,20 @@ class PatternSet:
     patterns: tuple[Pattern, ...] = tuple(DEFAULT_PATTERNS)
 
     def add(self, p: Pattern) -> PatternSet:
+        """A pattern that doesn't say what its matches need gets it from its expression."""
+        p = p if p.needs or p.run else replace(p, needs=required_literals(p.regex, p.any_case))
         return replace(self, patterns=tuple(sorted((*self.patterns, p), key=lambda x: -x.priority)))
 
+    def add_rows(self, rows: DataFrame, most: int = 1000) -> PatternSet:
+        """Adds the patterns of a table type, regex, priority, requires_entropy, by type; more than `most` are an error."""
+        found = rows.select("type", "regex", F.col("priority").cast("int"), F.coalesce("requires_entropy", F.lit(False))).orderBy("type", "regex").limit(most + 1).collect()
+        if len(found) > most:
+            raise ValueError(f"more than {most} patterns")
+        return reduce(lambda s, r: s.add(Pattern(*r)), found, self)
+
+    def reset(self) -> PatternSet:
+        return PatternSet()
+
     def remove(self, kind: str) -> PatternSet:
         return replace(self, patterns=tuple(p for p in self.patterns if p.type != kind))
 
@@ -107,6 +161,36 @@ def may_match(text: Column, lower: Column, p: Pattern) -> Column:
     return reduce(and_, tests[1:] or tests)
 
 
+#: Sets of more patterns find the strings that matches need by one automaton instead of one test each.
+AUTOMATON_FROM = 64
+
+
+def _tested(rows: DataFrame, text: str, patterns: list[Pattern]) -> tuple[DataFrame, list[Column]]:
+    """rows with what the tests need, and for each pattern a cheap test that every text with a match passes."""
+    rows = rows.withColumn("lower", F.lower(text))
+    if len(patterns) <= AUTOMATON_FROM:
+        return rows, [may_match(F.col(text), F.col("lower"), p) for p in patterns]
+    words: dict[str, list[int]] = {}
+    for k, p in enumerate(patterns):
+        for w in p.needs:
+            words.setdefault(w.lower(), []).append(k)
+
+    @F.pandas_udf("array<int>")
+    def possible(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for word, which in words.items():
+            automaton.add_word(word, which)
+        automaton.make_automaton()
+        for part in parts:
+            yield pd.Series([sorted({k for _, which in automaton.iter(t) for k in which}) if t and words else [] for t in part], dtype=object)
+
+    rows = rows.withColumn("_possible", possible("lower"))
+    held = lambda k, p: F.array_contains("_possible", k) if p.needs else F.lit(True)
+    return rows, [held(k, p) & F.col(text).rlike(p.run) if p.run else held(k, p) for k, p in enumerate(patterns)]
+
+
 def _hits(text: Column, p: Pattern) -> Column:
     """type, priority, checked, value and start (from 0) of each match; matches lie between the pieces of a split."""
     both = F.array(F.struct(matches(text, p).alias("values"), F.split(text, p.java(), -1).alias("gaps")))
@@ -124,9 +208,9 @@ def _hits(text: Column, p: Pattern) -> Column:
 
 def pattern_counts(rows: DataFrame, text: str, patterns: PatternSet = PatternSet()) -> DataFrame:
     """type and number of matches of each pattern: one aggregate per pattern in a single pass, behind each one's cheap test."""
-    rows = rows.select(F.col(text).alias("text"), F.lower(text).alias("lower"))
-    found = lambda p: F.when(may_match(F.col("text"), F.col("lower"), p), F.regexp_count("text", F.lit(p.java())))
-    counts = rows.agg(*(F.coalesce(F.sum(found(p)), F.lit(0)).alias(f"c{k}") for k, p in enumerate(patterns.patterns)))
+    rows, tests = _tested(rows.select(F.col(text).alias("text")), "text", list(patterns.patterns))
+    found = [F.when(t, F.regexp_count("text", F.lit(p.java()))) for t, p in zip(tests, patterns.patterns, strict=True)]
+    counts = rows.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(f"c{k}") for k, c in enumerate(found)))
     kinds = F.array(*(F.struct(F.lit(p.type).alias("type"), F.col(f"c{k}").alias("matches")) for k, p in enumerate(patterns.patterns)))
     return counts.select(F.explode(kinds).alias("x")).select("x.type", "x.matches")
 
@@ -139,8 +223,8 @@ def context_window(lines: DataFrame) -> DataFrame:
 
 def _line_hits(rows: DataFrame, patterns: list[Pattern]) -> DataFrame:
     """Hits within a line: its number from 0 as first and last, the line, the hit and its column."""
-    rows = rows.select("doc_key", "source", "path", "all", F.posexplode("all").alias("pos", "content")).withColumn("lower", F.lower("content"))
-    tests = [may_match(F.col("content"), F.col("lower"), p) for p in patterns]
+    rows = rows.select("doc_key", "source", "path", "all", F.posexplode("all").alias("pos", "content"))
+    rows, tests = _tested(rows, "content", patterns)
     found = F.array(*(F.when(t, _hits(F.col("content"), p)) for t, p in zip(tests, patterns, strict=True)))
     rows = rows.where(reduce(or_, tests)).withColumn("h", F.explode(F.filter(F.flatten(F.array_compact(found)), lambda h: h["value"] != "")))
     return rows.select("doc_key", "source", "path", "all", "pos", F.col("pos").alias("last"), "content", "h.*").withColumn("column", F.col("start") + 1).drop("start")
@@ -148,8 +232,7 @@ def _line_hits(rows: DataFrame, patterns: list[Pattern]) -> DataFrame:
 
 def _text_hits(rows: DataFrame, patterns: list[Pattern]) -> DataFrame:
     """Hits of patterns that span lines, in whole texts: as _line_hits, with all lines of a hit as content."""
-    rows = rows.withColumn("lower", F.lower("text"))
-    tests = [may_match(F.col("text"), F.col("lower"), p) for p in patterns]
+    rows, tests = _tested(rows, "text", patterns)
     found = F.array(*(F.when(t, _hits(F.col("text"), p)) for t, p in zip(tests, patterns, strict=True)))
     rows = rows.where(reduce(or_, tests)).withColumn("h", F.explode(F.flatten(F.array_compact(found))))
     rows = rows.select("doc_key", "source", "path", "all", F.expr("left(text, h.start)").alias("ahead"), "h.*").drop("start")

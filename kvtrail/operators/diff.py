@@ -42,6 +42,17 @@ def sync_preview(a: DataFrame, b: DataFrame, keys: list[str] = KEYS) -> DataFram
     return both.groupBy(*keys).agg(new.alias("new_keys"), changed.alias("changed_keys"), gone.alias("removed_keys"), (new + changed + gone).alias("total_changes"), ((new + changed + gone) == 0).alias("in_sync"))
 
 
+def sync_report(a: DataFrame, b: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """The lines of a report on pulling b over a: section with its number of keys, and one line a key; equal pairs are not shown."""
+    both = a.withColumnRenamed("value", "_old").join(b.withColumnRenamed("value", "_new"), [*keys, "key"], "full_outer").where("not (_old <=> _new)")
+    old, new = F.col("_old"), F.col("_new")
+    kind = F.when(old.isNull(), "Added").when(new.isNull(), "Removed").otherwise("Modified")
+    line = F.when(old.isNull(), F.concat(F.lit("+ "), "key", F.lit("="), new)).when(new.isNull(), F.concat(F.lit("- "), "key", F.lit("="), old)).otherwise(F.concat(F.lit("~ "), "key", F.lit("="), old, F.lit(" → "), new))
+    rows = both.select(*keys, kind.alias("_kind"), line.alias("line"))
+    count = F.count(F.lit(1)).over(Window.partitionBy(*keys, "_kind"))
+    return rows.select(*keys, F.concat("_kind", F.lit(" Variables ("), count.cast("string"), F.lit(")")).alias("section"), "line")
+
+
 def with_pairs(df: DataFrame, name: str = "kv") -> DataFrame:
     """Adds the snapshot's pairs (diff dialect, last wins) as an array of key and value, in the order of keys; narrow, no shuffle."""
     text = F.transform(F.split("fileContent", "\n"), kv.js_trim)

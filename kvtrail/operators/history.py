@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kvtrail.functions import kv
+
 ORDER = ["timestamp", "id"]
 HOUR_US, DAY_US = 3_600_000_000, 86_400_000_000
 
@@ -163,6 +165,14 @@ def content_as_of(h: DataFrame, at: Column) -> DataFrame:
 
 
 def facets(h: DataFrame) -> DataFrame:
-    """Distinct non-empty values of user, environment and action, one row each."""
+    """Distinct non-empty values of user, environment, action and variable, one row each."""
     kinds = F.array(F.struct(F.lit("user").alias("facet"), F.col("user").alias("value")), F.struct(F.lit("environment").alias("facet"), F.col("environmentName").alias("value")), F.struct(F.lit("action").alias("facet"), F.col("action").alias("value")))
-    return h.select(F.explode(kinds).alias("f")).select("f.facet", "f.value").where("value is not null and value != ''").distinct()
+    keys = kv.assignments(h.select("fileContent")).select(F.lit("variable").alias("facet"), F.col("key").alias("value"))
+    return h.select(F.explode(kinds).alias("f")).select("f.facet", "f.value").unionByName(keys).where("value is not null and value != ''").distinct()
+
+
+def filter_stats(h: DataFrame) -> DataFrame:
+    """One row: how many entries, users, environments, actions and variables there are, and the ends of the log."""
+    ends = h.agg(F.count(F.lit(1)).alias("total"), F.min("timestamp").alias("oldest"), F.max("timestamp").alias("newest"))
+    counts = facets(h).agg(*(F.count_if(F.col("facet") == f).alias(f"{f}s") for f in ("user", "environment", "action", "variable")))
+    return counts.join(F.broadcast(ends))

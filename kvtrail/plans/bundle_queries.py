@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from kvtrail.functions import kv
-from kvtrail.operators import crypto, variables
+from kvtrail.operators import crypto, filters, variables
 from kvtrail.operators import history as op
 from kvtrail.plans.catalog import query
 from kvtrail.plans.history_queries import _MOVES, _SPAN, STABILITY
 from kvtrail.plans.kv_queries import _ASSIGN, _SEEN
-from kvtrail.plans.views import H, history
+from kvtrail.plans.views import ENVIRONMENTS, SNAPS, H, history, snapshots_at
 from kvtrail.sources import io
 from kvtrail.sources.scratch import shared_folder
 
@@ -53,6 +53,46 @@ def rules_source(s, d):
     return io.rules_from_config(s, path)
 
 
+_AT = "2024-03-01 12:00:00"
+
+
+@query("history_export_documents", f"with {H} select '2024-03-01T12:00:00Z' as exportedAt, workspace, id, timestamp, action, environmentName, \"user\", fileContent from h")
+def history_export_documents(s, d):
+    """The log as export documents, imported again."""
+    path = shared_folder(s, "export-documents")
+    io.export_documents(history(s, d), path, F.lit(_AT).cast("timestamp"))
+    return io.import_history(s, path, lines=True).select("exportedAt", "workspace", "id", "timestamp", "action", "environmentName", "user", "fileContent")
+
+
+@query("env_file_scan", f"with {SNAPS} select workspace, environmentName, fileContent from snap_b")
+def env_file_scan(s, d):
+    """The environments of every workspace from its files; a plain .env, copies, examples and a file in a folder below are none."""
+    path = shared_folder(s, "env-files")
+    now = snapshots_at(history(s, d))
+    own = now.select(F.concat("workspace", F.lit("/.env."), "environmentName").alias("path"), "fileContent")
+    names = F.array(*map(F.lit, (".env", ".env.backup", ".env.Example", ".env.template", "below/.env.x", "node_modules/y/.env.z", "x.env.y")))
+    others = now.select(F.explode(F.transform(names, lambda x: F.concat("workspace", F.lit("/"), x))).alias("path"), "fileContent")
+    io.save_files(own.unionByName(others), path)
+    return io.env_files(s, path).select("workspace", "environmentName", "fileContent")
+
+
+@query("config_source", f"""with {H}, b as (select distinct 'b' || (id::bigint % 5) as branch, list_extract(['development','staging','production','local'], (id::bigint % 5 % 4 + 1)::int) as env from h)
+select 'branch' as kind, branch as name, env as value from b union all select distinct 'environment', environmentName, '.env.' || environmentName from h
+union all select 'flag', * from (values ('blockEnvFiles', 'true'), ('blockSecrets', 'false'), ('blockValidationErrors', 'true'), ('autoSwitchOnBranchChange', 'true'))""")
+def config_source(s, d):
+    """A configuration of the log's branches and environments, with one flag off and two left unsaid, written and read."""
+    path, n = shared_folder(s, "config"), F.col("id").cast("long") % 5
+    log = history(s, d)
+    branch = log.select(F.concat(F.lit("b"), n.cast("string")).alias("b"), F.element_at(F.array(*map(F.lit, ENVIRONMENTS)), (n % 4 + 1).cast("int")).alias("e")).distinct()
+    branches = branch.agg(F.map_from_entries(F.collect_list(F.struct("b", "e"))).alias("gitBranchMapping"))
+    envs = log.select("environmentName").distinct().agg(F.map_from_entries(F.collect_list(F.struct("environmentName", F.concat(F.lit(".env."), "environmentName")))).alias("environments"))
+    hook = F.struct(F.lit(False).alias("blockSecrets"))
+    branches.join(F.broadcast(envs)).select(F.to_json(F.struct("gitBranchMapping", "environments", hook.alias("gitCommitHook"), F.lit(True).alias("autoSwitchOnBranchChange")))).coalesce(1).write.text(path)
+    config = io.read_config(s, path)
+    row = lambda kind, df, name, value: df.select(F.lit(kind).alias("kind"), F.col(name).alias("name"), F.col(value).cast("string").alias("value"))
+    return row("branch", io.branch_map(config), "branch", "environmentName").unionByName(row("environment", io.custom_environments(config), "environmentName", "fileName")).unionByName(row("flag", io.hook_flags(config), "flag", "value"))
+
+
 # the dialect of sealed files
 _SEALED = "key = 'API_TOKEN' and id::bigint % 2 = 0"
 
@@ -115,13 +155,14 @@ def dashboard_lists(s, d):
 
 @query("filter_options", f"""with {_ASSIGN}{_SEEN}, f as (select distinct facet, value from (select 'user' as facet, "user" as value from h union all select 'environment', environmentName from h union all select 'action', action from h union all select 'variable', key from x) where value <> '')
 select facet, value from f union all select 'number of ' || facet || 's', count(*)::varchar from f group by facet
+union all select 'preset', label || ' from ' || strftime(t - to_days(d), '%Y-%m-%d') from (select date_trunc('day', max(timestamp)) as t from h), (values ('Today', 0), ('Last 7 days', 7), ('Last 30 days', 30), ('Last 90 days', 90), ('Last 180 days', 180), ('Last year', 365)) p(label, d)
 union all select 'oldest', strftime(min(timestamp), '%Y-%m-%d %H:%M:%S') from h union all select 'newest', strftime(max(timestamp), '%Y-%m-%d %H:%M:%S') from h""")
 def filter_options(s, d):
-    """What a filter bar offers: the values of four facets, how many each has, and the ends of the log."""
+    """What a filter bar offers: the values of four facets, how many each has, ranges of time, and the ends of the log."""
     log = history(s, d)
-    keys = variables.appearances(log).select(F.lit("variable").alias("facet"), F.col("key").alias("value"))
-    facets = op.facets(log).unionByName(keys).where("value != ''").distinct()
+    facets = op.facets(log)
+    ranges = filters.date_presets(log.agg(F.max("timestamp").alias("ref_ts"))).select(F.lit("preset").alias("facet"), F.concat("label", F.lit(" from "), F.date_format("start", "yyyy-MM-dd")).alias("value"))
     counts = facets.groupBy("facet").agg(F.count(F.lit(1)).cast("string").alias("value")).select(F.format_string("number of %ss", "facet").alias("facet"), "value")
     ends = log.agg(F.min("timestamp").alias("oldest"), F.max("timestamp").alias("newest"))
     end = lambda c: F.struct(F.lit(c).alias("facet"), F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias("value"))
-    return facets.unionByName(counts).unionByName(ends.select(F.explode(F.array(end("oldest"), end("newest"))).alias("e")).select("e.*"))
+    return facets.unionByName(counts).unionByName(ranges).unionByName(ends.select(F.explode(F.array(end("oldest"), end("newest"))).alias("e")).select("e.*"))

@@ -58,9 +58,11 @@ r as (select *, row_number() over (partition by workspace order by changes desc,
 _simple("peak_hours_ranked", lambda h: op.top_k(op.peak_hours(h), 3, [F.desc("changes"), F.col("hour")]).withColumn("label", op.format_hour(F.col("hour"))), """, c as (select workspace, hour(timestamp)::int as hour, count(*) as changes from h group by all),
 r as (select *, row_number() over (partition by workspace order by changes desc, hour)::int as rank from c)
 select *, (case when hour % 12 = 0 then 12 else hour % 12 end) || case when hour < 12 then ' AM' else ' PM' end as label from r where rank <= 3""")
-_simple("facets", op.facets, """ select distinct facet, value from (select 'user' as facet, "user" as value from h union all select 'environment', environmentName from h union all select 'action', action from h) where value is not null and value <> ''""")
-_simple("filter_stats", lambda h: h.agg(F.countDistinct("user").alias("users"), F.countDistinct("environmentName").alias("environments"), F.countDistinct("action").alias("actions"), F.min("timestamp").alias("oldest"), F.max("timestamp").alias("newest")),
-        ' select count(distinct "user") as users, count(distinct environmentName) as environments, count(distinct action) as actions, min(timestamp) as oldest, max(timestamp) as newest from h')
+_FACETS = """, fa as (select distinct facet, value from (select 'user' as facet, "user" as value from h union all select 'environment', environmentName from h union all select 'action', action from h
+union all select 'variable', trim(l[:strpos(l, '=') - 1]) from (select trim(unnest(string_split(fileContent, chr(10)))) as l from h) where l not like '#%' and strpos(l, '=') > 0) where value is not null and value <> '')"""
+_simple("facets", op.facets, _FACETS + " select * from fa")
+_simple("filter_stats", op.filter_stats, _FACETS + """ select (select count(*) from fa where facet = 'user') as users, (select count(*) from fa where facet = 'environment') as environments, (select count(*) from fa where facet = 'action') as actions,
+(select count(*) from fa where facet = 'variable') as variables, count(*) as total, min(timestamp) as oldest, max(timestamp) as newest from h""")
 _simple("retention_by_age", lambda h: op.retention_by_age(h, 10).select("id", "timestamp"), " select id, timestamp from h where timestamp >= (select max(timestamp) from h) - interval 10 day")
 _simple("retention_by_count", lambda h: op.retention_by_count(h, 100).select("workspace", "id"), ", r as (select workspace, id, row_number() over (partition by workspace order by timestamp desc, id desc) as n from h) select workspace, id from r where n <= 100")
 _simple("rollback_as_of", lambda h: op.rollback(h, "17", F.lit("2024-02-01 00:00:00").cast("timestamp")), """ select workspace, environmentName, 'rollback' as action, environmentName as previousEnvironment,

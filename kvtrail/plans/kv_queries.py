@@ -101,6 +101,10 @@ _SYNC = """, j as (select coalesce(a.workspace, b.workspace) as workspace, coale
 k as (select workspace, environmentName, count(*) filter (where l is null) as new_keys, count(*) filter (where l <> r) as changed_keys, count(*) filter (where r is null) as removed_keys from j group by all)
 select *, new_keys + changed_keys + removed_keys as total_changes, new_keys + changed_keys + removed_keys = 0 as in_sync from k"""
 _compared("sync_preview", lambda a, b: diff.sync_preview(kv.last_wins(a, diff.KEYS, "value"), kv.last_wins(b, diff.KEYS, "value")), _SYNC)
+_REPORT = """, j as (select coalesce(a.workspace, b.workspace) as workspace, coalesce(a.environmentName, b.environmentName) as environmentName, coalesce(a.key, b.key) as key, a.value as l, b.value as r from ma a full join mb b on a.workspace = b.workspace and a.environmentName = b.environmentName and a.key = b.key),
+k as (select *, case when l is null then 'Added' when r is null then 'Removed' else 'Modified' end as kind from j where l is distinct from r)
+select workspace, environmentName, kind || ' Variables (' || count(*) over (partition by workspace, environmentName, kind) || ')' as section, case kind when 'Added' then '+ ' || key || '=' || r when 'Removed' then '- ' || key || '=' || l else '~ ' || key || '=' || l || ' → ' || r end as line from k"""
+_compared("sync_report", lambda a, b: diff.sync_report(kv.last_wins(a, diff.KEYS, "value"), kv.last_wins(b, diff.KEYS, "value")), _REPORT)
 _compared("key_set_difference", lambda a, b: a.select(*diff.KEYS, "key").distinct().exceptAll(b.select(*diff.KEYS, "key").distinct()).withColumn("side", F.lit("removed")).unionByName(b.select(*diff.KEYS, "key").distinct().exceptAll(a.select(*diff.KEYS, "key").distinct()).withColumn("side", F.lit("new"))),
           " select workspace, environmentName, key, 'removed' as side from (select workspace, environmentName, key from ma except select workspace, environmentName, key from mb) union all select workspace, environmentName, key, 'new' from (select workspace, environmentName, key from mb except select workspace, environmentName, key from ma)")
 _order = "case status when 'added' then 0 when 'removed' then 1 when 'changed' then 2 else 3 end"

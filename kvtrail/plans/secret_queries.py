@@ -207,8 +207,26 @@ def _matched(name, patterns, sql):
 
 _matched("patterns_by_priority", op.PatternSet().at_least(5), "priority >= 5")
 _matched("patterns_by_category", op.PatternSet().category("HASH"), "contains(lower(type), 'hash')")
-_custom = op.PatternSet().remove("Base64 Encoded Data").add(op.Pattern("Note", r"\bnote\b", 9))
-query("custom_pattern_set", f"with {CAND} select 'Note' as type, sum(len(regexp_extract_all(context, '\\bnote\\b')))::bigint as matches from cand")(lambda spark, sf_dir: op.pattern_counts(candidates(spark, sf_dir), "context", _custom.category("note")))
+_custom = op.PatternSet().remove("Base64 Encoded Data").add(op.Pattern("Note", r"\bnote\b", 9)).add(op.Pattern("Slack Address", r"xoxb-[0-9]+-[0-9]+-[a-f0-9]{8}", 6))
+_SETS = {"changed": _custom, "reset": _custom.reset()}
+
+
+def _counted(text, where="cand"):
+    count = lambda p: f"select '{p.type}' as type, coalesce(sum(len(regexp_extract_all({text}, '{p.re2().replace(chr(39), chr(39) * 2)}'))), 0)::bigint as matches from {where}"
+    return {name: " union all ".join(f"select '{name}' as stage, * from ({count(p)})" for p in patterns.patterns) for name, patterns in _SETS.items()}
+
+
+@query("custom_pattern_set", f"with {CAND} " + " union all ".join(_counted("context").values()))
+def custom_pattern_set(spark, sf_dir):
+    """Matches of every pattern after two have been added and one removed, and after a reset."""
+    stages = [op.pattern_counts(candidates(spark, sf_dir), "context", p).select(F.lit(name).alias("stage"), "type", "matches") for name, p in _SETS.items()]
+    return stages[0].unionByName(stages[1])
+
+
+@query("pattern_counts_texts", f"with {CAND}, t as materialized (select {FRAMED} as text from cand) " + _counted("text", "t")["reset"].replace("select 'reset' as stage, * from", "select * from"))
+def pattern_counts_texts(spark, sf_dir):
+    """Matches of every pattern in whole texts, so keys and certificates over several lines count."""
+    return op.pattern_counts(candidates(spark, sf_dir).select(framed().alias("text")), "text")
 
 
 @query("context_window", f"with {LINES} select doc_key, line, lag(content) over w as before, lead(content) over w as after from lines window w as (partition by doc_key order by line)")
