@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +38,8 @@ LENGTH, GRAM, STEP = 200, 64, 8
 SORT_BYTES = 2 << 20
 #: Bytes of text that a task anchors at once.
 _BLOCK_BYTES = 2 << 20
+#: Bits of a place in a block; the others of a hash decide which anchor is the smallest.
+_PLACE_BITS = 24
 #: Different contexts of a bucket that are sorted in one task, at most.
 BUCKET_CONTEXTS = 4096
 _REACH = LENGTH - GRAM + 1
@@ -58,7 +61,7 @@ def anchors(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
     if n <= 0:
         return none
     grams = window_hashes(data, GRAM)
-    bits = np.uint64(max(1, len(data).bit_length()))
+    bits = np.uint64(max(_PLACE_BITS, len(data).bit_length()))
     low = np.uint64((1 << int(bits)) - 1)
     least = (grams >> bits << bits) | (low - np.arange(len(grams), dtype=np.uint64))
     width = 1
@@ -82,19 +85,47 @@ def anchors(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, ...]:
     return text[first], lo, hi, at, grams[at], context
 
 
+def _pieces(data: np.ndarray, bounds: np.ndarray, size: int) -> Iterator[tuple[int, tuple[np.ndarray, ...]]]:
+    """anchors() of a block, and where it begins; of one very long text in pieces, each with the bytes that its last starts reach."""
+    if len(bounds) > 2 or len(data) <= 2 * size:
+        yield 0, anchors(data, bounds)
+        return
+    for begin in range(0, len(data) - LENGTH + 1, size):
+        piece = data[begin : begin + size + LENGTH - 1]
+        yield begin, anchors(piece, np.array([0, len(piece)]))
+
+
+def _repeated_here(text: np.ndarray, lo: np.ndarray, hi: np.ndarray, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple[np.ndarray, ...]]:
+    """Of contexts that one text repeats: one of each (with all others), whether it is repeated, and merged runs (text, lo, hi) of the starts of all of them.
+
+    A text of one period has very many starts and few contexts, and its runs are one.
+    """
+    order = np.lexsort((lo, context, text))
+    new = np.r_[True, (context[order][1:] != context[order][:-1]) | (text[order][1:] != text[order][:-1])] if len(text) else np.zeros(0, bool)
+    size = np.diff(np.r_[np.flatnonzero(new), len(text)])
+    many = np.sort(order[np.repeat(size > 1, size)])  # anchors are in the order of texts and places
+    t, a, b = text[many], lo[many], hi[many]
+    cut = np.flatnonzero(np.r_[True, (t[1:] != t[:-1]) | (a[1:] > b[:-1] + 1)]) if len(many) else many
+    return order[new], size > 1, (t[cut], a[cut], np.maximum.reduceat(b, cut) if len(cut) else b)
+
+
 def _occurrences(texts: DataFrame) -> DataFrame:
-    """th, lo, hi, at (places in the text), bucket, context and weight of every anchor."""
+    """th, lo, hi, at (places in the text), bucket, context and weight of every anchor, once for each context of a text;
+    and, with a null bucket, runs of starts that are repeated within their text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, "text", _BLOCK_BYTES):
             data, bounds = _raw(block)
-            text, lo, hi, at, gram, context = anchors(data, bounds)
-            begin = bounds[text]
             th, copies = block.column(0).to_numpy(), block.column(2).to_numpy()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(th[text]), *(pa.array((x - begin).astype(np.int32)) for x in (lo, hi, at)), pa.array(gram.view(np.int64)), pa.array(context.view(np.int64)), pa.array(np.minimum(copies[text], 2).astype(np.int32))],
-                ["th", "lo", "hi", "at", "bucket", "context", "weight"],
-            )
+            for ahead, (text, lo, hi, at, gram, context) in _pieces(data, bounds, _BLOCK_BYTES):
+                one, again, (run_text, run_lo, run_hi) = _repeated_here(text, lo, hi, context)
+                text, lo, hi, at, gram, context = (x[one] for x in (text, lo, hi, at, gram, context))
+                begin, run_begin = bounds[text] - ahead, bounds[run_text] - ahead
+                none = np.full(len(run_text), -1)
+                joined = [np.r_[th[text], th[run_text]], np.r_[lo - begin, run_lo - run_begin], np.r_[hi - begin, run_hi - run_begin], np.r_[at - begin, none]]
+                names = [pa.array(np.r_[x.view(np.int64), none], mask=np.r_[np.zeros(len(x), bool), np.ones(len(none), bool)]) for x in (gram, context)]
+                weight = np.r_[np.where(again, 2, np.minimum(copies[text], 2)), none]
+                yield pa.RecordBatch.from_arrays([pa.array(joined[0]), *(pa.array(x.astype(np.int32)) for x in joined[1:]), *names, pa.array(weight.astype(np.int32))], ["th", "lo", "hi", "at", "bucket", "context", "weight"])
 
     return texts.mapInArrow(run, "th long, lo int, hi int, at int, bucket long, context long, weight int")
 
@@ -211,7 +242,8 @@ def repeated_starts(texts: DataFrame) -> DataFrame:
     contexts is dealt by its strings instead of being sorted in one task.
     """
     found = written(_occurrences(texts.select("th", "text", "copies")), "anchors")
-    shared = found.groupBy("bucket").agg(F.sum("weight").alias("all"), (F.min("context") != F.max("context")).alias("mixed")).where("all > 1").select("bucket", "mixed")
+    here = written(found.where("bucket is null").select("th", "lo", "hi"), "own-runs")
+    shared = found.where("bucket is not null").groupBy("bucket").agg(F.sum("weight").alias("all"), (F.min("context") != F.max("context")).alias("mixed")).where("all > 1").select("bucket", "mixed")
     shared = written(shared, "shared-buckets")  # sums are written before they are joined, so that the join can split a hot key
     found_again = written(found.join(shared, "bucket"), "shared-anchors")
     discard(found)
@@ -223,18 +255,18 @@ def repeated_starts(texts: DataFrame) -> DataFrame:
     wanted = mixed.join(large, "bucket", "left").select("x.th", F.struct("bucket", "x.lo", "x.hi", "x.at", (F.col("n") == 1).alias("alone"), F.coalesce("large", F.lit(False)).alias("large")).alias("w"))
     wanted = wanted.groupBy("th").agg(F.collect_list("w").alias("wanted"))  # bounded by the text
     content = written(_contexts(texts.join(wanted, "th").select("th", "text", "copies", "wanted")), "contexts")
-    return whole.unionByName(_sorted_buckets(content.where("not large").drop("large"))).unionByName(_large_buckets(content.where("large")))
+    return here.unionByName(whole).unionByName(_sorted_buckets(content.where("not large").drop("large"))).unionByName(_large_buckets(content.where("large")))
 
 
-def _cut(raw: bytes, runs: list) -> list[tuple[int, int]]:
-    """Maximal spans of covered bytes; runs: (first, last) starts."""
-    spans: list[tuple[int, int]] = []
-    for lo, hi in sorted((r["lo"], r["hi"]) for r in runs or []):
-        if spans and lo <= spans[-1][1]:
-            spans[-1] = (spans[-1][0], max(spans[-1][1], hi + LENGTH))
-        else:
-            spans.append((lo, hi + LENGTH))
-    return spans
+def _spans(runs: pa.ListArray) -> Iterator[list[tuple[int, int]]]:
+    """For each row, the maximal spans of covered bytes; runs: structs of first and last starts."""
+    lo, hi = (runs.flatten().field(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("lo", "hi"))
+    ends = np.cumsum(pc.fill_null(pc.list_value_length(runs), 0).to_numpy(zero_copy_only=False)).tolist()
+    for a, b in zip([0, *ends], ends, strict=False):
+        order = np.argsort(lo[a:b])
+        first, end = lo[a:b][order], np.maximum.accumulate(hi[a:b][order] + LENGTH) if b > a else hi[a:b]
+        cut = np.flatnonzero(np.r_[True, first[1:] > end[:-1]]) if b > a else order
+        yield list(zip(first[cut].tolist(), end[np.r_[cut[1:], b - a] - 1].tolist() if b > a else [], strict=True))
 
 
 def _kept(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -283,9 +315,8 @@ def dedup_digest(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for th, text, runs in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for th, text, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _spans(batch.column(3)), strict=True):
                 raw = text.encode("utf-8", "replace")
-                spans = _cut(raw, runs)
                 out.append((th, len(raw), sum(b - a for a, b in spans), len(spans), hashlib.sha256(_kept(raw, spans)).hexdigest()))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [()] * 5, kinds, strict=True)], ["th", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
@@ -305,9 +336,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, runs in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                raw = text.encode("utf-8", "replace")
-                out.append(_kept(raw, _cut(raw, runs)).decode("utf-8", "ignore"))
+            for text, spans in zip(batch.column(1).to_pylist(), _spans(batch.column(3)), strict=True):
+                out.append(_kept(text.encode("utf-8", "replace"), spans).decode("utf-8", "ignore"))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["th", "kept"])
 
     changed = _with_runs(texts).where("runs is not null").mapInArrow(run, "th long, kept string")

@@ -271,6 +271,27 @@ def test_dedup(spark, odd, empty):
     assert cut.columns == odd.columns and cut.count() == odd.count() and cut.where("doc_id = 0 and text is null").count() == 1
 
 
+@pytest.mark.parametrize("size", [1000, 2 << 20])
+def test_dedup_of_long_texts_in_pieces(spark, monkeypatch, size):
+    monkeypatch.setattr(suffix_dedup, "_BLOCK_BYTES", size)
+    rng = np.random.default_rng(6)
+    word = lambda n: "".join(rng.choice(list("abcdefgh é"), n))
+    passage, period = word(700), word(300)
+    rows = [(1, word(2900) + passage + word(3000)), (2, word(990) + passage + word(2000) + passage[:450] + word(1500)), (3, period * 12), (4, "x" + period * 9 + word(500)), (5, "a" * 5000), (6, word(1500) + "a" * 2300 + word(10)), (7, passage)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    got = suffix_dedup.dedup_digest(docs).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert sorted(tuple(r) for r in got) == brute_dedup(rows)
+
+
+def test_dedup_of_one_very_long_period(spark):
+    n = 30_000_000
+    period = "".join(chr(97 + k % 26) + str(k) for k in range(70))[:300]
+    for unit in ("a", period):
+        docs = spark.createDataFrame([(1, len(unit))], "doc_id long, n long").selectExpr("doc_id", f"repeat('{unit}', {n // len(unit)}) as text")
+        row = suffix_dedup.dedup_digest(docs).first()
+        assert (row.n_bytes, row.n_removed, row.n_spans) == (n // len(unit) * len(unit), n // len(unit) * len(unit), 1)
+
+
 def held_out(spark, scored, column):
     labels = {r.doc_id: r[column] for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect()}
     rows = [(r.score, labels[r.doc_id]) for r in scored if r.held_out and r.doc_id in labels]
