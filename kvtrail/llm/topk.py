@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kvtrail.llm.storage import written
+
 #: Vectors in one block, and queries in one group.
 BLOCK_VECTORS, GROUP_QUERIES = 4096, 256
 
@@ -108,8 +110,13 @@ def search_block(queries: np.ndarray, query_ids: np.ndarray, index: dict, k: int
     if possible is None:
         possible = ~own
     member, who = np.nonzero(possible)
-    exact = np.einsum("ij,ij->i", vectors[member], queries[who])
-    order = np.lexsort((ids[member], -exact, who))
+    if largest < 2**62:
+        exact = np.einsum("ij,ij->i", vectors[member], queries[who])
+        order = np.lexsort((ids[member], -exact, who))
+    else:  # whole numbers of any size; what 64 bits can't hold counts as the largest or smallest number that they can
+        sums = [sum(a * b for a, b in zip(vectors[m].tolist(), queries[w].tolist(), strict=True)) for m, w in zip(member.tolist(), who.tolist(), strict=True)]
+        order = np.array(sorted(range(len(sums)), key=lambda x: (who[x], -sums[x], ids[member[x]])), np.int64)
+        exact = np.array([max(-(2**63), min(2**63 - 1, x)) for x in sums], np.int64)
     member, who, exact = member[order], who[order], exact[order]
     first = np.searchsorted(who, np.arange(q))
     keep = np.arange(len(who)) - first[who] < k
@@ -120,15 +127,16 @@ def search(index: DataFrame, queries: DataFrame, blocks: int, k: int = 10) -> Da
     """query_id, rank, vec_id, score: the k highest inner products of each query; ties go to the smaller vec_id.
 
     A query finds fewer rows only if there are fewer vectors of its length. Repeated
-    vec_ids among the vectors are rows of their own; all rows with the query's own vec_id are
-    left out. No queries or no vectors give no rows.
+    vec_ids are rows of their own, among the vectors and among the queries, each of which has its own
+    ranks; all vectors with the query's vec_id are left out. Scores that 64 bits can't hold
+    are as large or small as these can be. No queries or no vectors give no rows.
     """
-    groups = queries.select("vec_id", "v").dropDuplicates(["vec_id"])
-    count = groups.count()
-    n_groups = max(1, -(-count // GROUP_QUERIES))
-    packed = _packed(groups, F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(n_groups)).cast("int"), GROUP_QUERIES).withColumnRenamed("block", "group")
+    rows = written(queries.select("vec_id", "v").withColumn("row", F.monotonically_increasing_id()), "topk-queries")
+    n_groups = max(1, -(-rows.count() // GROUP_QUERIES))
+    group = F.pmod(F.xxhash64("row"), F.lit(n_groups)).alias("group")
+    packed = rows.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("vec_id", "row", "v"))).alias("m")).select(F.col("m.vec_id").alias("ids"), F.col("m.row").alias("rows"), F.col("m.v").alias("v"))
     # every group meets every block: the groups, a bounded number of rows each, are dealt to the blocks' numbers
-    pairs = packed.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.col("ids").alias("query_ids"), F.col("v").alias("queries"))
+    pairs = packed.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.col("ids").alias("query_ids"), F.col("rows").alias("query_rows"), F.col("v").alias("queries"))
     met = pairs.join(index, "block")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,12 +147,12 @@ def search(index: DataFrame, queries: DataFrame, blocks: int, k: int = 10) -> Da
                 found["vectors"] = found["vectors"].reshape(len(found["ids"]), width)
                 pick = [i for i, v in enumerate(row["queries"]) if len(v) == width]
                 if pick:
-                    own = np.array([row["query_ids"][i] for i in pick], np.int64)
+                    own, numbers = (np.array([row[c][i] for i in pick], np.int64) for c in ("query_ids", "query_rows"))
                     who, ids, score = search_block(np.array([row["queries"][i] for i in pick], np.int64).reshape(len(pick), width), own, found, k)
-                    yield pa.RecordBatch.from_arrays([pa.array(own[who]), pa.array(ids), pa.array(score)], ["query_id", "vec_id", "score"])
+                    yield pa.RecordBatch.from_arrays([pa.array(numbers[who]), pa.array(own[who]), pa.array(ids), pa.array(score)], ["row", "query_id", "vec_id", "score"])
 
-    best = met.mapInArrow(run, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = met.mapInArrow(run, "row long, query_id long, vec_id long, score long")
+    order = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
@@ -155,9 +163,9 @@ def block_count(vectors: DataFrame) -> int:
 ORACLE_SQL = """
 with v as (select vec_id, [floor(1024 * x::double)::bigint for x in embedding] as v from embeddings
            where embedding is not null and vec_id is not null and len([x for x in embedding if x is null or not isfinite(x)]) = 0),
-q as (select * from v where vec_id % 100 = 0),
-s as (select q.vec_id as query_id, v.vec_id, list_sum([a[1] * a[2] for a in list_zip(q.v, v.v)])::bigint as score
+q as (select *, row_number() over () as row from v where vec_id % 100 = 0),
+s as (select q.row, q.vec_id as query_id, v.vec_id, list_sum([a[1] * a[2] for a in list_zip(q.v, v.v)])::bigint as score
       from q join v on q.vec_id <> v.vec_id and len(q.v) = len(v.v)),
-r as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from s)
+r as (select *, row_number() over (partition by row order by score desc, vec_id)::int as rank from s)
 select query_id, rank, vec_id, score from r where rank <= 10
 """

@@ -62,6 +62,18 @@ def test_topk_with_repeated_ids_extra_columns_and_large_components(spark):
     assert sorted((r["rank"], r.vec_id, r.score) for r in found) == [(1, 2, score(3)), (2, 1, score(2)), (3, 1, score(1))]
 
 
+def test_topk_of_repeated_queries_and_scores_beyond_64_bits(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [2.0, 1.0]), (2, [1.0, 3.0])]
+    vectors = topk.integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    found = topk.search(topk.build_index(vectors, 2), vectors.where("vec_id = 0"), 2, 1).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in found) == [(0, 1, 1, 2 << 20), (0, 1, 2, 3 << 20)]
+    huge = [(0, [2.0**30, 2.0**30]), (1, [2.0**30, 2.0**30]), (2, [2.0**30, 2.0**29]), (3, [-(2.0**30), -(2.0**30)]), (4, [2.0**20, 0.0])]
+    vectors = topk.integer_vectors(spark.createDataFrame(huge, "vec_id long, embedding array<double>"))
+    found = topk.search(topk.build_index(vectors, 1), vectors.where("vec_id = 0"), 1, 5).collect()
+    top = 2**63 - 1
+    assert sorted((r["rank"], r.vec_id, r.score) for r in found) == [(1, 1, top), (2, 2, top), (3, 4, top), (4, 3, -(2**63))]
+
+
 def brute_stats(text):
     words = WORD.findall(text)
     threes = Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
@@ -95,6 +107,34 @@ def test_clean_drops_frequent_lines_from_texts(spark, odd, empty):
     assert line_rules.clean(odd).columns == odd.columns and line_rules.clean(empty).count() == 0
 
 
+def test_clean_beside_clashing_columns(spark):
+    names = ["_id", "_host", "_key", "_frequent", "_id2", "_HOST2", "_key2", "hash", "docs", "lines"]
+    body = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(i, f"foot\n{body} {i}", "h", *range(len(names))) for i in range(6)], "doc_id long, text string, source string, " + ", ".join(f"{n} long" for n in names))
+    cleaned = line_rules.clean(docs, max_docs=5)
+    assert cleaned.columns == docs.columns
+    assert sorted(tuple(r) for r in cleaned.collect()) == [(i, f"{body} {i}", "h", *range(len(names))) for i in range(6)]
+
+
+def test_sketch_counts_within_its_bound():
+    rng = np.random.default_rng(3)
+    key, n = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    true = Counter()
+    for _ in range(40):
+        part = np.concatenate([rng.integers(0, 10**6, 900), np.arange(5)]).astype(np.uint64)
+        true.update(part.tolist())
+        key, n = jaccard.heavier(np.concatenate([key, part]), np.concatenate([n, np.ones(len(part), np.int64)]), 300)
+    got = dict(zip(key.tolist(), n.tolist(), strict=True))
+    assert len(got) <= 300 and all(true[k] - sum(true.values()) / 301 <= c <= true[k] for k, c in got.items())
+
+
+def test_spread_out_frequent_shingles_are_seen(spark):
+    common = "these five words are everywhere"
+    rows = spark.range(0, 4000, 1, 8).selectExpr("id as doc_id", f"concat(concat_ws(' ', transform(sequence(1, 40), k -> concat('w', id, '_', k))), if(id % 40 = 0, ' {common}', '')) as text")
+    key, n = jaccard.frequent_shingles(rows)
+    assert jaccard.shingle_sets([common])[0][0] in key and 90 <= n.max() <= 100
+
+
 def shingles(text):
     words = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     return {tuple(words)} if 0 < len(words) < 5 else {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
