@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kvtrail.llm.storage import written
+from kvtrail.llm.storage import fresh, written
 from kvtrail.llm.text import blocks, byte_block, mix64, span_hashes, texts_of, word_spans
 
 #: A line in more documents of a host than this is boilerplate.
@@ -106,10 +106,14 @@ def _with_frequent(docs: DataFrame, host: str, max_docs: int) -> DataFrame:
     frequent = lines.groupBy("_host", "hash").agg(F.countDistinct("_id").alias("docs")).where(F.col("docs") > max_docs)
     mark = lines.alias("l").join(frequent.alias("f"), F.expr("l.hash = f.hash and l._host <=> f._host"), "left_semi")
     # rows with the same doc_id, host and text are alike, so they share their marks
-    marks = mark.groupBy("_id", "_host", "_key").agg(F.collect_set("hash").alias("_frequent"))
-    marks = marks.select(F.col("_id").alias("_id2"), F.col("_host").alias("_host2"), F.col("_key").alias("_key2"), "_frequent")
-    rows = docs.select("*", *_row_names(host))
-    return rows.join(marks, F.expr("_key = _key2 and _id <=> _id2 and _host <=> _host2"), "left").select(*docs.columns, "_frequent")
+    own = [fresh(docs, c) for c in ("_id", "_host", "_key")]
+    other, name = [c + "2" for c in own], fresh(docs, "_frequent")
+    taken = {c.lower() for c in docs.columns}
+    other = [next(c + "_" * k for k in range(len(taken) + 1) if (c + "_" * k).lower() not in taken) for c in other]
+    marks = mark.groupBy("_id", "_host", "_key").agg(F.collect_set("hash").alias(name)).select(*(F.col(c).alias(o) for c, o in zip(("_id", "_host", "_key"), other, strict=True)), name)
+    rows = docs.select("*", *(c.alias(o) for c, o in zip(_row_names(host), own, strict=True)))
+    same = [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(own, other, strict=True)]
+    return rows.join(marks, same[0] & same[1] & (F.col(own[2]) == F.col(other[2])), "left").select(*docs.columns, name)
 
 
 def _failed(counts) -> np.ndarray:
