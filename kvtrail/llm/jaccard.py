@@ -40,6 +40,8 @@ PERCENT = 80
 SPARE_PERCENT = 5
 #: Entries of the table of frequent shingles, at most; documents that hold a frequent shingle, at least.
 FREQUENT_ENTRIES, FREQUENT_DOCS = 250_000, 50
+#: Shingles that the sketch of a task holds.
+SKETCH_ENTRIES = 1 << 17
 #: Members of a posting list before it is split.
 BUCKET_MEMBERS = 1000
 #: Members of a block and shingles of all its sets, on average; a cell holds two blocks.
@@ -87,22 +89,41 @@ def _two(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def heavier(key: np.ndarray, n: np.ndarray, most: int = SKETCH_ENTRIES) -> tuple[np.ndarray, np.ndarray]:
+    """The counts of a bounded sketch: equal keys summed up, and if there are more than `most`, all less the first count that has no room.
+
+    A key then counts for less than it should by at most the sum of all counts by `most` + 1, however the counts came in.
+    """
+    order = np.argsort(key, kind="stable")
+    key, n = key[order], n[order]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    key, n = key[first], np.add.reduceat(n, first) if len(first) else n
+    if len(key) > most:
+        n = n - np.partition(n, len(n) - most - 1)[len(n) - most - 1]
+        key, n = key[n > 0], n[n > 0]
+    return key, n
+
+
 def frequent_shingles(docs: DataFrame, words: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that a large share of the documents hold, in order of their hashes, and their counts.
 
-    Every block of every task counts its documents; what three or more of a block
-    hold is summed up. The least count that is kept follows the number of all
-    shingles, so that the table has FREQUENT_ENTRIES entries at most. The counts
-    only set an order and split long lists: results don't depend on them.
+    Every task counts in a sketch of SKETCH_ENTRIES shingles; the tasks' counts are summed up. A
+    shingle counts for less than it should by one SKETCH_ENTRIES-th of all shingles at most, and one a task,
+    wherever its documents lie. The least count that is kept follows the number of all shingles, so that the table has
+    FREQUENT_ENTRIES entries at most. The counts only set an order and split long lists: results don't depend on them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, n, total = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
         for block in blocks(batches, "text", _BLOCK_BYTES):
-            key, count = np.unique(shingle_sets(texts_of(block), words)[0], return_counts=True)
-            often = count >= 3
-            total = pa.array([int(count.sum())] + [0] * int(often.sum()), pa.int64())
-            h = pa.array(np.concatenate([[np.uint64(0)], key[often]]).view(np.int64))
-            yield pa.RecordBatch.from_arrays([h, pa.array(np.concatenate([[0], count[often]])), total], ["h", "n", "total"])
+            found = shingle_sets(texts_of(block), words)[0]
+            total += len(found)
+            key, n = heavier(np.concatenate([key, found]), np.concatenate([n, np.ones(len(found), np.int64)]))
+        key, n = key[n > 1], n[n > 1]
+        for k in range(0, len(key) + 1, 1 << 16):
+            part = slice(k, k + (1 << 16))
+            h = pa.array(np.concatenate([[np.uint64(0)], key[part]]).view(np.int64))
+            yield pa.RecordBatch.from_arrays([h, pa.array(np.concatenate([[0], n[part]])), pa.array([0 if k else total] + [0] * len(key[part]), pa.int64())], ["h", "n", "total"])
 
     counted = written(_two(docs).mapInArrow(run, "h long, n long, total long"), "shingle-counts")
     total = counted.agg(F.sum("total")).first()[0] or 0
