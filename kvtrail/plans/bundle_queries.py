@@ -98,9 +98,9 @@ _SEALED = "key = 'API_TOKEN' and id::bigint % 2 = 0"
 
 
 @query("parse_encrypted_dialect", f"""with {_ASSIGN}, e as (select id, key, arg_max(trim(rest), line) as value from p where strpos(text, '=') > 1 group by id, key)
-select id, key, case when {_SEALED} and id::bigint % 5 = 0 then 'sealed' else value end as value, ({_SEALED} and id::bigint % 5 <> 0) as encrypted, ({_SEALED}) as raw_is_sealed from e""")
+select id, key, case when {_SEALED} and id::bigint % 5 = 0 or value like 'ENC[%]' then 'sealed' else value end as value, ({_SEALED} and id::bigint % 5 <> 0) as encrypted, ({_SEALED} or value like 'ENC[%]') as raw_is_sealed from e""")
 def parse_encrypted_dialect(s, d):
-    """Tokens of even entries are sealed in their files; every fifth entry is read with a wrong key."""
+    """Tokens of even entries are sealed in their files; every fifth entry is read with a wrong key. What only looks sealed stays as it is."""
     right, wrong, n = F.lit(b"0" * 32), F.lit(b"1" * 32), F.col("id").cast("long")
     token = F.regexp_extract("fileContent", '(?m)^API_TOKEN=(.*)$', 1)
     line = lambda v: F.concat(F.lit("API_TOKEN="), v)

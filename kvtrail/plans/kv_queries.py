@@ -40,18 +40,18 @@ _parsed("render_kv", lambda h: kv.validator_pairs(h, _KEYS).groupBy("id").agg(F.
 select id, string_agg(key || '=' || value, chr(10) order by line) || chr(10) as body from v group by id""")
 _parsed("kv_stats", lambda h: kv.export_pairs(h, _KEYS).groupBy("id").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.expr("not encrypted")).alias("plain"), F.count_if("encrypted").alias("encrypted")),
         """, e as (select id, key, arg_max(trim(rest), line) as value from p where strpos(text, '=') > 1 group by id, key)
-select id, count(*) as total, count(*) filter (where not starts_with(value, 'ENC[')) as plain, count(*) filter (where starts_with(value, 'ENC[') and value like '%]') as encrypted from e group by id""")
+select id, count(*) as total, count(*) filter (where not (value like 'ENC[%' and value like '%]')) as plain, count(*) filter (where value like 'ENC[%' and value like '%]') as encrypted from e group by id""")
 _parsed("workspace_has_encrypted", lambda h: kv.lines_of(h.select("workspace", "fileContent")).groupBy("workspace").agg(F.bool_or(F.col("raw").contains("=") & kv.is_encrypted(F.expr("substring(raw, instr(raw, '=') + 1)"))).alias("has_encrypted")),
         " select workspace, bool_or(raw like '%=ENC[%' and raw like '%]') as has_encrypted from hl group by 1")
 _parsed("export_csv", lambda h: kv.export_pairs(h, _KEYS).select("id", F.concat(F.lit('"'), F.regexp_replace("key", '"', '""'), F.lit('","'), F.regexp_replace("value", '"', '""'), F.lit('",'), F.col("encrypted").cast("string"), F.lit(","), F.when(F.coalesce("comment", F.lit("")) != "", F.concat(F.lit('"'), F.regexp_replace("comment", '"', '""'), F.lit('"'))).otherwise("")).alias("row")),
-        """, e as (select id, key, arg_max(trim(rest), line) as value from p where strpos(text, '=') > 1 group by id, key)
-select id, '"' || replace(key, '"', '""') || '","' || replace(value, '"', '""') || '",false,' as row from e""")
+        """, e as (select id, key, arg_max(trim(rest), line) as value, arg_max(case when rest like '%#%' then trim(rest[strpos(rest, '#') + 1:]) else '' end, line) as comment from p where strpos(text, '=') > 1 group by id, key)
+select id, '"' || replace(key, '"', '""') || '","' || replace(value, '"', '""') || '",' || (value like 'ENC[%' and value like '%]')::varchar || ',' || case when comment <> '' then '"' || replace(comment, '"', '""') || '"' else '' end as row from e""")
 _parsed("export_metadata", lambda h: kv.export_pairs(h, ["workspace", "id"]).groupBy("workspace").agg(F.count(F.lit(1)).alias("variables"), F.count_if("encrypted").alias("encrypted"), F.count_if(F.expr("not encrypted")).alias("plain")).select("workspace", F.lit("1.0").alias("version"), "variables", "encrypted", "plain"),
         """, e as (select workspace, id, key, arg_max(trim(rest), line) as value from p where strpos(text, '=') > 1 group by workspace, id, key)
-select workspace, '1.0' as version, count(*) as variables, count(*) filter (where starts_with(value, 'ENC[')) as encrypted, count(*) filter (where not starts_with(value, 'ENC[')) as plain from e group by 1""")
+select workspace, '1.0' as version, count(*) as variables, count(*) filter (where value like 'ENC[%' and value like '%]') as encrypted, count(*) filter (where not (value like 'ENC[%' and value like '%]')) as plain from e group by 1""")
 _parsed("mask_secret_on_export", lambda h: kv.export_pairs(h, _KEYS).select("id", "key", F.when(kv.sensitive_key(F.col("key")) & ~F.col("encrypted"), "*** MASKED SECRET ***").otherwise(F.col("value")).alias("value")),
         """, e as (select id, key, arg_max(trim(rest), line) as value from p where strpos(text, '=') > 1 group by id, key)
-select id, key, case when regexp_matches(lower(key), 'key|secret|password|token|auth') then '*** MASKED SECRET ***' else value end as value from e""")
+select id, key, case when regexp_matches(lower(key), 'key|secret|password|token|auth') and not (value like 'ENC[%' and value like '%]') then '*** MASKED SECRET ***' else value end as value from e""")
 _parsed("export_env", lambda h: kv.export_pairs(h, _KEYS).groupBy("id").agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.when(F.col("comment").isNotNull(), F.concat(F.lit("# "), "comment", F.lit("\n"))).otherwise(""), "key", F.lit("="), "value"))), "\n").alias("body")),
         """, e as (select id, key, arg_max(trim(rest), line) as value from p where strpos(text, '=') > 1 group by id, key)
 select id, string_agg(key || '=' || value, chr(10) order by key || '=' || value) as body from e group by id""")
