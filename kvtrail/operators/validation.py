@@ -45,14 +45,14 @@ def missing_errors(files: DataFrame, pairs: DataFrame, rules: DataFrame, keys: l
 
 
 def type_errors(pairs: DataFrame, rules: DataFrame, keys: list[str]) -> DataFrame:
-    r = F.broadcast(rules.where("rule_type = 'type'").select(F.col("variable").alias("key"), F.col("arg").alias("kind")))
+    r = rules.where("rule_type = 'type'").select(F.col("variable").alias("key"), F.col("arg").alias("kind"))
     bad = pairs.join(r, "key").where(~type_holds(F.col("value"), F.col("kind")))
     return bad.select(*keys, F.lit("type").alias("type"), F.col("key").alias("variable"), F.concat(F.lit("Expected "), "kind").alias("message"), "line")
 
 
 def custom_errors(pairs: DataFrame, rules: DataFrame, keys: list[str]) -> DataFrame:
     """Values that do not match the pattern of their rule; the pattern is a column."""
-    r = F.broadcast(rules.where("rule_type = 'custom'").select(F.col("variable").alias("key"), F.col("arg").alias("pattern")))
+    r = rules.where("rule_type = 'custom'").select(F.col("variable").alias("key"), F.col("arg").alias("pattern"))
     bad = pairs.join(r, "key").where(F.expr("not (value rlike pattern)"))
     return bad.select(*keys, F.lit("custom").alias("type"), F.col("key").alias("variable"), F.lit("Custom rule failed").alias("message"), "line")
 
@@ -65,7 +65,7 @@ def validate(files: DataFrame, rules: DataFrame, keys: list[str]) -> DataFrame:
     """All errors of all files: syntax, missing, type and custom.
 
     Each file is parsed once and stays one row until its errors are known; the rules come along as one row of
-    lists. More than MOST_RULES rules meet the files by joins instead.
+    lists. More than MOST_RULES rules meet the files by joins instead. A null content has no lines.
     """
     if rules.limit(MOST_RULES + 1).count() > MOST_RULES:
         pairs = kv.validator_pairs(files, keys)
@@ -73,7 +73,7 @@ def validate(files: DataFrame, rules: DataFrame, keys: list[str]) -> DataFrame:
     of = lambda kind: F.col("rule_type") == kind
     rule = F.struct(F.col("variable").alias("key"), "arg")
     lists = rules.agg(F.array_sort(F.collect_set(F.when(of("required"), F.col("variable")))).alias("_required"), *(F.collect_list(F.when(of(t), rule)).alias(f"_{t}") for t in ("type", "custom")))
-    text = F.transform(F.split("fileContent", "\n"), lambda x, i: F.struct((i + 1).alias("line"), kv.js_trim(x).alias("text")))
+    text = F.transform(F.split(F.coalesce("fileContent", F.lit("")), "\n"), lambda x, i: F.struct((i + 1).alias("line"), kv.js_trim(x).alias("text")))
     rows = files.select(*keys, F.filter(text, lambda x: (x["text"] != "") & ~x["text"].startswith("#")).alias("_lines"))
     parts = lambda x: F.struct(
         x["line"].alias("line"), F.instr(x["text"], "=").alias("at"), kv.js_trim(F.substring_index(x["text"], "=", 1)).alias("key"), F.regexp_replace(x["text"], "^[^=]*=", "").alias("rest")
@@ -126,7 +126,7 @@ def policy_gate(files: DataFrame, rules: DataFrame, change_set: str, blocking: t
 
 def branch_switch(branches: DataFrame, mapping: DataFrame, files: DataFrame) -> DataFrame:
     """What a branch switches to: unmapped, a mapped environment without a file, or the environment."""
-    m = F.broadcast(mapping.select("branch", F.col("environmentName").alias("environment")))
+    m = mapping.select("branch", F.col("environmentName").alias("environment"))
     f = files.select(F.col("environmentName").alias("environment"), F.lit(True).alias("there")).distinct()
     out = branches.join(m, "branch", "left").join(f, "environment", "left")
     return out.select("branch", "environment", F.when(F.col("environment").isNull(), "unmapped").when(F.col("there").isNull(), "missing file").otherwise("switched").alias("outcome"))
