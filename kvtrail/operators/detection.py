@@ -222,12 +222,13 @@ def context_window(lines: DataFrame) -> DataFrame:
 
 
 def _line_hits(rows: DataFrame, patterns: list[Pattern]) -> DataFrame:
-    """Hits within a line: its number from 0 as first and last, the line, the hit and its column."""
-    rows = rows.select("doc_key", "source", "path", "all", F.posexplode("all").alias("pos", "content"))
+    """Hits within a line: the line with its number from 0 and its neighbours, the hit and its column."""
+    beside = F.transform("all", lambda x, i: F.struct(x.alias("content"), F.get("all", i - 1).alias("before"), F.get("all", i + 1).alias("after")))
+    rows = rows.select("doc_key", "source", "path", F.posexplode(beside).alias("pos", "x")).select("doc_key", "source", "path", "pos", "x.*")
     rows, tests = _tested(rows, "content", patterns)
     found = F.array(*(F.when(t, _hits(F.col("content"), p)) for t, p in zip(tests, patterns, strict=True)))
     rows = rows.where(reduce(or_, tests)).withColumn("h", F.explode(F.filter(F.flatten(F.array_compact(found)), lambda h: h["value"] != "")))
-    return rows.select("doc_key", "source", "path", "all", "pos", F.col("pos").alias("last"), "content", "h.*").withColumn("column", F.col("start") + 1).drop("start")
+    return rows.select("doc_key", "source", "path", "pos", "content", "before", "after", "h.*").withColumn("column", F.col("start") + 1).drop("start")
 
 
 def _text_hits(rows: DataFrame, patterns: list[Pattern]) -> DataFrame:
@@ -238,7 +239,8 @@ def _text_hits(rows: DataFrame, patterns: list[Pattern]) -> DataFrame:
     rows = rows.select("doc_key", "source", "path", "all", F.expr("left(text, h.start)").alias("ahead"), "h.*").drop("start")
     rows = rows.withColumn("pos", F.size(F.split("ahead", "\n")) - 1).withColumn("last", F.col("pos") + F.size(F.split("value", "\n")) - 1)
     content = F.array_join(F.slice("all", F.col("pos") + 1, F.col("last") - F.col("pos") + 1), "\n")
-    return rows.withColumn("content", content).withColumn("column", F.length(F.substring_index("ahead", "\n", -1)) + 1).drop("ahead")
+    rows = rows.withColumn("content", content).withColumn("column", F.length(F.substring_index("ahead", "\n", -1)) + 1)
+    return rows.withColumn("before", F.get("all", F.col("pos") - 1)).withColumn("after", F.get("all", F.col("last") + 1)).drop("ahead", "all", "last")
 
 
 def scan(docs: DataFrame, patterns: PatternSet = PatternSet(), most_bytes: int = 1 << 20, any_path: bool = False) -> DataFrame:
@@ -246,7 +248,7 @@ def scan(docs: DataFrame, patterns: PatternSet = PatternSet(), most_bytes: int =
 
     One projection matches the patterns of single lines, each on the lines that hold what
     its matches can't do without, another those that span lines on whole texts;
-    neighbouring lines come from the document's own array of lines, so nothing is shuffled.
+    a line comes along with its two neighbours from the document's own array of lines, so nothing is shuffled.
     """
     place = F.lit(True) if any_path else ~ignored(F.col("path")) & should_scan(F.col("path"))
     rows = docs.where(place & size_gate(F.col("text"), most_bytes)).select("doc_key", "source", "path", "text", F.split("text", "\n").alias("all"))
@@ -256,8 +258,8 @@ def scan(docs: DataFrame, patterns: PatternSet = PatternSet(), most_bytes: int =
     found = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     entropy = fn.shannon_entropy(F.col("value"))
     found = found.withColumn("entropy", entropy).where(~F.col("checked") | fn.is_likely_secret(F.col("value"), F.col("entropy")))
-    before = F.when(F.col("pos") > 0, F.concat(F.lit("... "), F.trim(F.try_element_at("all", F.col("pos"))), F.lit("\n"))).otherwise("")
-    after = F.when(F.col("last") + 1 < F.size("all"), F.concat(F.lit("\n"), F.trim(F.try_element_at("all", F.col("last") + 2)), F.lit(" ..."))).otherwise("")
+    before = F.coalesce(F.concat(F.lit("... "), F.trim("before"), F.lit("\n")), F.lit(""))
+    after = F.coalesce(F.concat(F.lit("\n"), F.trim("after"), F.lit(" ...")), F.lit(""))
     marked = F.concat(F.expr("left(content, `column` - 1)"), F.lit("[SECRET]"), F.expr("substring(content, `column`)"))
     found = found.withColumn("context", F.concat(before, marked, after))
     confidence = F.round(fn.context_confidence(F.col("context"), F.col("value")), 6)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from kvtrail.functions import kv
 from kvtrail.operators import crypto
 from kvtrail.plans.catalog import query
-from kvtrail.plans.views import LINES_OF_H, history, history_from_events
+from kvtrail.plans.views import LINES_OF_H, H, history, history_from_events
 from kvtrail.sources import io
 from kvtrail.sources.scratch import shared_folder
 from kvtrail.streaming import ordered, running, streams
@@ -59,7 +59,7 @@ def stream_change_data(s, d):
     return running.close(values, shared_folder(s, "changes"), lambda x: ordered.change_data(x, LATE)).rows
 
 
-@query("stream_incremental_rescan")
+@query("stream_incremental_rescan", f"with {H}, c as (select left(sha256(fileContent), 16) as content_hash, epoch_us(timestamp) // 300000000 as slot, timestamp, id from h), r as (select *, row_number() over (partition by content_hash, slot order by timestamp, id) as n from c) select id, content_hash from r where n = 1")
 def stream_incremental_rescan(s, d):
     saves = history_from_events(streams.event_stream(s, d).drop("timestamp"))
     return streams.fresh_content(saves, shared_folder(s, "rescan")).select("id", "content_hash")
@@ -104,7 +104,11 @@ def rotate_keys(s, d):
     return sealed.select("id", "key", crypto.decrypt_value(crypto.rotate(F.col("envelope"), _KEY(), _OTHER()), _OTHER()).alias("opened"))
 
 
-@query("export_json")
+_ENTRY = """to_json(key) || ':{"value":' || to_json(case when not encrypted and regexp_matches(lower(key), 'key|secret|password|token|auth') then '*** MASKED SECRET ***' else value end) || ',"encrypted":' || encrypted || case when comment is null then '' else ',"comment":' || to_json(comment) end || '}'"""
+_EXPORTED = f"with {LINES_OF_H}, a as (select id, line, trim(raw, ' ' || chr(9) || chr(13)) as text from hl), p as (select id, line, trim(text[:strpos(text, '=') - 1]) as key, text[strpos(text, '=') + 1:] as rest from a where text <> '' and text not like '#%' and strpos(text, '=') > 1), l as (select id, key, arg_max(rest, line) as rest from p group by 1, 2), x as (select id, key, trim(rest) as value, (trim(rest) like 'ENC[%' and trim(rest) like '%]') as encrypted, case when rest like '%#%' then trim(rest[strpos(rest, '#') + 1:]) end as comment from l)"
+
+
+@query("export_json", f"""{_EXPORTED} select id, '{{"variables":{{' || string_agg({_ENTRY}, ',' order by key) || '}}}}' as document from x group by id""")
 def export_json(s, d):
     return io.export_json(history(s, d), ["id"])
 
@@ -136,7 +140,7 @@ def backup_restore(s, d):
     return io.restore_backup(s, path, "b1").select("id")
 
 
-@query("feedback_sink")
+@query("feedback_sink", f"with {H} select id, timestamp, action from h order by timestamp desc, id desc limit 500")
 def feedback_sink(s, d):
     return io.feedback_sink(history(s, d).select("id", "timestamp", "action"), shared_folder(s, "feedback-sink"))
 
