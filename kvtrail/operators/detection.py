@@ -243,9 +243,11 @@ def _text_hits(rows: DataFrame, patterns: list[Pattern]) -> DataFrame:
     return rows.withColumn("before", F.get("all", F.col("pos") - 1)).withColumn("after", F.get("all", F.col("last") + 1)).drop("ahead", "all", "last")
 
 
-def scan(docs: DataFrame, patterns: PatternSet = PatternSet(), most_bytes: int = 1 << 20, any_path: bool = False) -> DataFrame:
+def scan(docs: DataFrame, patterns: PatternSet = PatternSet(), most_bytes: int = 1 << 20, any_path: bool = False, with_context: bool = False) -> DataFrame:
     """Findings of every pattern in documents that pass the path and size rules, or with any_path those of size alone.
 
+    with_context adds the lines around a finding, the place of the secret marked.
+
     One projection matches the patterns of single lines, each on the lines that hold what
     its matches can't do without, another those that span lines on whole texts;
     a line comes along with its two neighbours from the document's own array of lines, so nothing is shuffled.
@@ -263,7 +265,7 @@ def scan(docs: DataFrame, patterns: PatternSet = PatternSet(), most_bytes: int =
     marked = F.concat(F.expr("left(content, `column` - 1)"), F.lit("[SECRET]"), F.expr("substring(content, `column`)"))
     found = found.withColumn("context", F.concat(before, marked, after))
     confidence = F.round(fn.context_confidence(F.col("context"), F.col("value")), 6)
-    return found.select("doc_key", "source", "path", (F.col("pos") + 1).alias("line"), "column", "type", "value", "priority", confidence.alias("confidence"), fn.risk_level(confidence).alias("risk"))
+    return found.select("doc_key", "source", "path", (F.col("pos") + 1).alias("line"), "column", "type", "value", "priority", confidence.alias("confidence"), fn.risk_level(confidence).alias("risk"), *(["context"] if with_context else []))
 
 
 def findings_rollup(findings: DataFrame) -> DataFrame:

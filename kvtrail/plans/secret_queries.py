@@ -8,7 +8,7 @@ from kvtrail.functions import kv
 from kvtrail.functions import secrets as fn
 from kvtrail.operators import detection as op
 from kvtrail.plans.catalog import query
-from kvtrail.plans.views import CAND, FRAMED, LINES, candidates, documents, framed, lines, table
+from kvtrail.plans.views import CAND, FRAMED, LINES, LINES_OF_H, candidates, documents, framed, history, lines, table
 
 
 # columns are made when a query runs: a session may not exist when this module is imported
@@ -234,6 +234,18 @@ def context_window(spark, sf_dir):
     return op.context_window(lines(documents(spark, sf_dir))).select("doc_key", "line", "before", "after")
 
 
+_TOKENS = op.PatternSet(tuple(p for p in op.DEFAULT_PATTERNS if p.type == "GitHub Personal Access Token"))
+
+
+@query("context_marks", f"""with {LINES_OF_H}, w as (select id, line, raw, lag(raw) over (partition by id order by line) as before, lead(raw) over (partition by id order by line) as after from hl),
+m as (select *, regexp_extract(raw, '\\bghp_[a-zA-Z0-9]{{20,}}\\b') as value from w), c as (select *, strpos(raw, value) as pos from m where value <> '')
+select id, line::int as line, pos::int as "column", value, coalesce('... ' || trim(before) || chr(10), '') || raw[:pos - 1] || '[SECRET]' || raw[pos:] || coalesce(chr(10) || trim(after) || ' ...', '') as context from c""")
+def context_marks(spark, sf_dir):
+    """Every token in a snapshot with the lines around it, as a finding shows them."""
+    docs = history(spark, sf_dir).select(F.col("id").alias("doc_key"), F.lit(None).cast("string").alias("source"), F.lit("file").alias("path"), F.col("fileContent").alias("text"))
+    return op.scan(docs, _TOKENS, any_path=True, with_context=True).select(F.col("doc_key").alias("id"), "line", "column", "value", "context")
+
+
 query("secret_scan")(lambda spark, sf_dir: op.scan(documents(spark, sf_dir)))
 query("findings_rollup")(lambda spark, sf_dir: op.findings_rollup(op.scan(documents(spark, sf_dir))))
 
