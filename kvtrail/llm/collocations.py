@@ -20,6 +20,7 @@ in the same way in every task, so that no task merges the whole of it.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +42,9 @@ _FILTER_WORDS = (1 << 10, 1 << 22)
 _HELD, _ROW = 1 << 20, 1024
 _NAMES = ["pkey", "part", "next", "n", "word"]
 _OTHER, _WHOLE, _SPELLING, _LANGUAGE = np.uint64(0), -1, -2, -3
+#: Bytes of text that a task has in hand at once, about.
+_BLOCK_BYTES = 4 << 20
+_END = re.compile(r"[.,;:!?\x0A-\x0D]")
 _BREAK, _GAP = np.zeros(256, bool), np.zeros(256, bool)
 _BREAK[list(b".,;:!?\n\x0b\x0c\r")] = True
 _GAP[list(b".,;:!?\n\x0b\x0c\r \t")] = True
@@ -84,6 +88,21 @@ def _words(texts: list[str], langs: list[str]) -> tuple[np.ndarray, np.ndarray,
     return names, language, piece, starts, ends, lower
 
 
+def _blocks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[list[str], list[str]]]:
+    """Texts and languages, about `limit` bytes at a time; a very long text comes in parts that end where a piece ends."""
+    for block in blocks(batches, "text", limit):
+        texts, langs = texts_of(block), block.column(1).to_pylist()
+        if len(texts) > 1 or len(texts[0]) <= 2 * limit:
+            yield texts, langs
+            continue
+        text, at = texts[0], 0
+        while at < len(text):
+            found = _END.search(text, at + limit)
+            end = found.end() if found else len(text)
+            yield [text[at:end]], langs
+            at = end
+
+
 class _Held:
     """Counters of a task, of prefixes of one length: name of the prefix, name of its first two words, next word, count."""
 
@@ -169,9 +188,8 @@ def _stripes(docs: DataFrame, lengths: range, frequent: np.ndarray | None = None
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, heavy = shared.value
         held, spelling, langs = {k: _Held() for k in lengths}, {}, {}
-        for block in blocks(batches, "text"):
-            own = block.column(1).to_pylist()
-            name, language, piece, start, end, data = _words(texts_of(block), own)
+        for texts, own in _blocks(batches, _BLOCK_BYTES):
+            name, language, piece, start, end, data = _words(texts, own)
             root = _fold(np.zeros(len(name), np.uint64), language)
             if 0 in held:
                 langs |= {_root(x): x for x in set(own)}

@@ -49,9 +49,9 @@ def test_odd_rows(odd, empty):
     assert collocations.mine(empty).count() == 0 and collocations.mine(odd, min_count=10**6).count() == 0
 
 
-@pytest.mark.parametrize(("held", "share", "top", "percent"), [(1 << 20, 1000, 2000, 100), (500, 40, 7, 60)])
-def test_copies_ties_and_small_tasks(spark, monkeypatch, held, share, top, percent):
-    for name, value in (("_HELD", held), ("HEAVY_SHARE", share), ("LANGUAGE_PARTS", 5), ("_ROW", 16)):
+@pytest.mark.parametrize(("held", "share", "top", "percent", "block"), [(1 << 20, 1000, 2000, 100, 4 << 20), (500, 40, 7, 60, 50)])
+def test_copies_ties_and_small_tasks(spark, monkeypatch, held, share, top, percent, block):
+    for name, value in (("_HELD", held), ("_BLOCK_BYTES", block), ("HEAVY_SHARE", share), ("LANGUAGE_PARTS", 5), ("_ROW", 16)):
         monkeypatch.setattr(collocations, name, value)
     rng = random.Random(4)
     texts = [prose(rng, rng.randint(0, 120)) for _ in range(40)]
