@@ -74,6 +74,58 @@ def test_topk_of_repeated_queries_and_scores_beyond_64_bits(spark):
     assert sorted((r["rank"], r.vec_id, r.score) for r in found) == [(1, 1, top), (2, 2, top), (3, 4, top), (4, 3, -(2**63))]
 
 
+def test_topk_sends_no_queries_through_the_driver(spark):
+    """The groups of queries, one copy for each part of the index, were broadcast when the queries themselves were small."""
+    plan = queries.QUERIES["op4_exact_topk"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "Join" not in plan
+
+
+def best_by_force(vectors, queried, k):
+    """Sorted (query_id, rank, vec_id, score) for rows of (vec_id, vector)."""
+    out = []
+    for q, v in queried:
+        best = sorted((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in vectors if i != q and len(w) == len(v))[:k]
+        out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    return sorted(out)
+
+
+def uneven_vectors(rng):
+    """Near and exact copies, repeated ids, steep and flat vectors, two lengths."""
+    base = np.floor(rng.normal(0, 130, (400, 12)) * np.where(rng.random((400, 1)) < 0.2, 40, 1))
+    base[200:300] = base[:1] + rng.integers(-2, 3, (100, 12))
+    base[300:360] = base[7]
+    base[360:380, 3:] = 0
+    rows = [(k, [int(x) for x in v]) for k, v in enumerate(base)] + [(20, [int(x) for x in v]) for v in base[30:42]] + [(1000 + k, [1] * 12) for k in range(40)]
+    return rows + [(2000 + k, [k, -k, 3]) for k in range(15)]
+
+
+def test_topk_of_several_cells_and_groups(spark, monkeypatch):
+    rows = uneven_vectors(np.random.default_rng(4))
+    monkeypatch.setattr(topk, "GROUP_QUERIES", 7)
+    monkeypatch.setattr(topk, "LEAST_CELLS", 3)
+    vectors = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    found = topk.search(topk.build_index(vectors, 10), vectors.where("vec_id % 10 = 0"), 10, 4).collect()
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in found) == best_by_force(rows, [r for r in rows if r[0] % 10 == 0], 4)
+
+
+@pytest.mark.parametrize("rest", [0.0, 1 / 512, 0.3, 0.9])
+def test_topk_bounds_rule_out_no_row(spark, monkeypatch, rest):
+    """One cell of three blocks, with first tiers that leave nothing, little and most; queries one at a time and all at once."""
+    rows = [r for r in uneven_vectors(np.random.default_rng(6)) if len(r[1]) == 12]
+    monkeypatch.setattr(topk, "REST", rest)
+    blocks = [topk._opened(r.asDict()) for r in topk.build_index(spark.createDataFrame(rows, "vec_id long, v array<long>"), 3).collect()]
+    queried = [r for r in rows if r[0] % 4 == 0]
+    want = best_by_force(rows, queried, 2)
+    for step in (1, len(queried)):
+        got = []
+        for at in range(0, len(queried), step):
+            part = queried[at : at + step]
+            who, ids, score = topk._search_cell(np.array([v for _, v in part]), np.array([q for q, _ in part]), blocks, 2)
+            rank = np.arange(len(who)) - np.searchsorted(who, who) + 1
+            got += [(part[w][0], *x) for w, *x in zip(who.tolist(), rank.tolist(), ids.tolist(), score.tolist(), strict=True)]
+        assert sorted(got) == want
+
+
 def brute_stats(text):
     words = WORD.findall(text)
     threes = Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
